@@ -191,12 +191,12 @@ def linked_pairs(distinct: DataFrame, tau: int = TAU, heavy: int = HEAVY, plan=N
     while True:
         members = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         crowded = written(members, "gph-keys")
-        light = crowded.where(F.col("n") <= heavy).select("mask", "key")
-        pairs = _within(keyed.join(light, ["mask", "key"], "left_semi"), tau, pairs)
         masks = [r["mask"] for r in crowded.where(F.col("n") > heavy).select("mask").distinct().collect()]  # one for each partition and refinement
         if not masks:
-            return pairs.distinct()
-        dense = keyed.join(crowded.where(F.col("n") > heavy).select("mask", "key"), ["mask", "key"], "left_semi")
+            return _within(keyed, tau, pairs).distinct()
+        hot = crowded.where(F.col("n") > heavy).select("mask", "key")
+        pairs = _within(keyed.join(hot, ["mask", "key"], "left_anti"), tau, pairs)
+        dense = keyed.join(hot, ["mask", "key"], "left_semi")
         step, closed = F.lit(None).cast("array<struct<mask:bigint,key:bigint>>"), []
         for mask in masks:
             open_bits = [b for b in range(64) if not mask >> b & 1]
