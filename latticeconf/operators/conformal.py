@@ -35,8 +35,8 @@ def spread(scores: DataFrame, keys: Sequence[str], score: str, ranges: int) -> D
 
 def distinct_scores(calib: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, score, n_calib, n_test): both sides' counts of every score."""
-    both = calib.select(*keys, "score", F.lit(1).alias("c"), F.lit(0).alias("t")).unionByName(test.select(*keys, "score", F.lit(0).alias("c"), F.lit(1).alias("t")))
-    return both.groupBy(*keys, "score").agg(F.sum("c").alias("n_calib"), F.sum("t").alias("n_test"))
+    both = calib.select(*keys, "score", F.lit(1).alias("_c"), F.lit(0).alias("_t")).unionByName(test.select(*keys, "score", F.lit(0).alias("_c"), F.lit(1).alias("_t")))
+    return both.groupBy(*keys, "score").agg(F.sum("_c").alias("n_calib"), F.sum("_t").alias("n_test"))
 
 
 def rank_and_adjust(scores: DataFrame, keys: Sequence[str], ranges: int = 1) -> DataFrame:
@@ -50,9 +50,9 @@ def rank_and_adjust(scores: DataFrame, keys: Sequence[str], ranges: int = 1) ->
     if ranges < 2:
         whole = Window.partitionBy(*keys)
         up = _over(keys, F.col("score"))
-        counted = scores.select(*keys, "score", "n_test", F.sum("n_test").over(whole).alias("m"), F.sum("n_test").over(up).alias("upto"), ((F.sum("n_calib").over(up) - F.col("n_calib") + 1) / (F.sum("n_calib").over(whole) + 1)).alias("p"))
+        counted = scores.select(*keys, "score", "n_test", F.sum("n_test").over(whole).alias("_m"), F.sum("n_test").over(up).alias("_upto"), ((F.sum("n_calib").over(up) - F.col("n_calib") + 1) / (F.sum("n_calib").over(whole) + 1)).alias("p"))
         # a p shared by several scores has its rank at the last of them
-        raw = counted.where("n_test > 0").withColumn("raw", F.col("m") * F.col("p") / F.max("upto").over(Window.partitionBy(*keys, "p")))
+        raw = counted.where("n_test > 0").withColumn("raw", F.col("_m") * F.col("p") / F.max("_upto").over(Window.partitionBy(*keys, "p")))
         return raw.select(*keys, "score", "p", F.least(F.lit(1.0), F.min("raw").over(_over(keys, F.col("p"), down=True))).alias("p_adj"))
     s = spread(scores, keys, "score", ranges)
     own = [*keys, "part"]
@@ -87,11 +87,11 @@ def _grid_quantiles(sample: DataFrame, keys: list[str], levels: Sequence[float])
 def _below_own_quantile(side: DataFrame, share: DataFrame, keys: list[str]) -> DataFrame:
     """Values up to the side's own quantile at its key's share."""
     w = Window.partitionBy(*keys)
-    ranked = side.join(share, keys).withColumn("k", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at, part = interpolated_rank(F.col("share"), F.col("n"))
-    pick = lambda x: F.max(F.when(F.col("k") == x, F.col("value"))).over(w)
-    low, high = pick(at), pick(F.least(at + 1, F.col("n") - 1))
-    return ranked.withColumn("cut", low + (high - low) * part).where("value <= cut")
+    ranked = side.join(share, keys).withColumn("_k", F.row_number().over(w.orderBy("value")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    at, part = interpolated_rank(F.col("share"), F.col("_n"))
+    pick = lambda x: F.max(F.when(F.col("_k") == x, F.col("value"))).over(w)
+    low, high = pick(at), pick(F.least(at + 1, F.col("_n") - 1))
+    return ranked.withColumn("_cut", low + (high - low) * part).where("value <= _cut")
 
 
 def tolerance(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = "medium") -> DataFrame:
@@ -109,10 +109,10 @@ def tolerance(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength:
         raise ValueError(f"strength is a number or one of {', '.join(LEVELS)}")
     wide = share.where("share > 0.1")
     sides = []
-    for name, side in (("c", calib), ("t", test)):
+    for name, side in (("_c", calib), ("_t", test)):
         low = _below_own_quantile(side.select(*keys, F.col("yhat").cast("double").alias("value")), wide, keys)
         sides.append(_grid_quantiles(low, keys, LEVELS[strength]).withColumnRenamed("quantiles", name))
-    shift = sides[0].join(sides[1], keys).select(*keys, (-F.array_max(F.zip_with("c", "t", lambda a, b: F.greatest(F.lit(0.0), b - a)))).alias("shift"))
+    shift = sides[0].join(sides[1], keys).select(*keys, (-F.array_max(F.zip_with("_c", "_t", lambda a, b: F.greatest(F.lit(0.0), b - a)))).alias("shift"))
     return share.join(shift, keys, "left").select(*keys, F.coalesce("shift", F.lit(0.0)).alias("tolerance"))
 
 

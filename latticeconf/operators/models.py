@@ -43,8 +43,9 @@ def crossfit(cells: DataFrame, folds: DataFrame, features: Sequence[str], y: str
     A fold's rows meet in one task, as its model needs them: bounded by the ROIs.
     """
     keys, cols = ["fold_roi", "fold_id"], [*features, y]
-    train = training_rows(cells, folds).select(*keys, *cols)
-    test = assign(cells, folds).select(F.col("roi_idx").alias("fold_roi"), "fold_id", "grid_row", "grid_col", *features)
+    # toDF: both sides come from the same tables and need column ids of their own
+    train = training_rows(cells, folds).select(*keys, *cols).toDF(*keys, *cols)
+    test = assign(cells, folds).select("roi_idx", "fold_id", "grid_row", "grid_col", *features).toDF(*keys, "grid_row", "grid_col", *features)
     schema = "fold_roi int, fold_id int, grid_row long, grid_col long, yhat double"
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ from ..functions.scores import rejected_colour
 from .embedding import mixture
 from .shared import written
 
-PATCH, DENSITY, BIN_SHARE, SIGMA_SHARE, CUT_SHARE, OTSU_BINS, GREY_LEVELS, MIN_SIZE = 16, 100.0, 0.00005, 0.02, 0.9, 256, 64, 10
+PATCH, DENSITY, BIN_SHARE, SIGMA_SHARE, CUT_SHARE, OTSU_BINS, GREY_LEVELS, MIN_SIZE, GROUPS = 16, 100.0, 0.00005, 0.02, 0.9, 256, 64, 10, 3
 
 
 def patch_statistics(pixels: DataFrame, key: str, channels: Sequence[str]) -> DataFrame:
@@ -176,8 +176,11 @@ def texture_rescue(textures: DataFrame, low: DataFrame) -> DataFrame:
     """
     seen = textures.join(low.select("grid_row", "grid_col"), ["grid_row", "grid_col"], "left_semi").where(~rejected_colour(F.col("mean_r"), F.col("mean_g"), F.col("mean_b")))
     names = ["homogeneity", "energy", "entropy"]
+    seen = written(seen, "low-textures")
+    if seen.limit(GROUPS).count() < GROUPS:  # too few to tell groups apart
+        return seen.limit(0).select("grid_row", "grid_col")
     scaled = min_max(seen, {c: f"{c}_norm" for c in names}).drop(*names)
-    labelled = written(mixture(scaled, [f"{c}_norm" for c in names]), "texture")
+    labelled = written(mixture(scaled, [f"{c}_norm" for c in names], GROUPS), "texture")
     keep = lowest_groups(group_means(labelled, "label", [f"{c}_norm" for c in names]), "label", F.col("energy_norm") + F.col("homogeneity_norm") - F.col("entropy_norm"))
     return labelled.join(F.broadcast(keep.select("label")), "label", "left_semi").select("grid_row", "grid_col")
 
