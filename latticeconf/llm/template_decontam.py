@@ -105,11 +105,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN
         return held.select("doc_id", "item_id", "n_windows", "n_item_windows", F.lit(0.0).alias("containment"), *(F.lit(0).cast("long").alias(c) for c in ("n_verbatim", "n_slots", "n_inconsistent")), F.lit("").alias("kind"))
     again = windows_with_values(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     ours = bench.select("item_id", F.col("at").alias("item_at"), "h", F.col("r").alias("item_r"), F.col("t").alias("item_t"))
-    pairs = again.select("doc_id", "h", "r").join(aside(ours), "h").join(held.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    pairs = again.select("doc_id", F.col("at").alias("doc_at"), "h", "r").join(aside(ours), "h").join(held.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
     same = F.lower(F.concat_ws(" ", "r")) == F.lower(F.concat_ws(" ", "item_r"))
     verbatim = pairs.where(same).groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_verbatim"))
+    # a template that an item repeats meets itself at several places: of these the
+    # one in line with most other windows of the item counts
+    lined = pairs.withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    support = lined.groupBy("doc_id", "item_id", "shift").agg((-F.countDistinct("item_at")).alias("against"))
+    best = F.min(F.struct("against", "shift", "item_t", "item_r", "r")).alias("b")
+    placed = lined.join(support, ["doc_id", "item_id", "shift"]).groupBy("doc_id", "item_id", "item_at").agg(best).select("doc_id", "item_id", "b.*")
     slots = F.filter(F.arrays_zip(F.col("item_t"), F.col("item_r"), F.col("r")), lambda x: x["item_t"].rlike(f"[{NUM}{NAME}{UNIT}]"))
-    values = pairs.select("doc_id", "item_id", F.explode(slots).alias("s")).groupBy("doc_id", "item_id", F.lower(F.col("s.item_r")).alias("v")).agg(F.countDistinct(F.lower(F.col("s.r"))).alias("ways"))
+    values = placed.select("doc_id", "item_id", F.explode(slots).alias("s")).groupBy("doc_id", "item_id", F.lower(F.col("s.item_r")).alias("v")).agg(F.countDistinct(F.lower(F.col("s.r"))).alias("ways"))
     slot = values.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("ways") > 1).alias("n_inconsistent"))
     out = held.join(verbatim, ["doc_id", "item_id"], "left").join(slot, ["doc_id", "item_id"], "left").na.fill(0, ["n_verbatim", "n_slots", "n_inconsistent"])
     is_verbatim = F.col("n_verbatim") >= F.lit(contain) * F.col("n_item_windows")
@@ -124,15 +130,17 @@ WITH d AS (SELECT DISTINCT doc_id AS id, text, 0 AS side FROM documents WHERE do
 c AS (SELECT id, side, text, lower(regexp_replace(regexp_replace(regexp_replace(text, '{_NAMED}', '{NAME}', 'g'), '{_NUMBER}', '{NUM}', 'g'), '{_UNITS}', '{NUM}\1{UNIT}\2', 'g')) AS canon FROM d),
 k AS (SELECT id, side, list_filter(string_split_regex(canon, '{_TOKEN_BREAK}'), lambda x: x <> '') AS t, list_filter(string_split_regex(text, '{_TOKEN_BREAK}'), lambda x: x <> '') AS r FROM c),
 w AS (SELECT id, side, unnest(range(1, greatest(2, len(t) - {WINDOW - 2}))) AS i, t, r FROM k WHERE len(t) > 0),
-g AS (SELECT id, side, t[i:i + {WINDOW - 1}] AS t, r[i:i + {WINDOW - 1}] AS r FROM w),
-p AS (SELECT id AS item_id, t, r, len(list_filter(t, lambda x: NOT regexp_matches(x, '[{NUM}{NAME}{UNIT}]'))) AS plain FROM g WHERE side = 1),
+g AS (SELECT id, side, i, t[i:i + {WINDOW - 1}] AS t, r[i:i + {WINDOW - 1}] AS r FROM w),
+p AS (SELECT id AS item_id, i, t, r, len(list_filter(t, lambda x: NOT regexp_matches(x, '[{NUM}{NAME}{UNIT}]'))) AS plain FROM g WHERE side = 1),
 q AS (SELECT * FROM (SELECT *, max(plain) OVER (PARTITION BY item_id) AS most FROM p) WHERE plain >= {LITERALS} OR most < {LITERALS}),
-b AS (SELECT q.item_id, t, r, n AS n_item_windows FROM q JOIN (SELECT item_id, count(DISTINCT t) AS n FROM q GROUP BY 1) USING (item_id)),
-m AS (SELECT g.id AS doc_id, b.item_id, b.n_item_windows, b.t, g.r AS r, b.r AS item_r FROM g JOIN b ON g.side = 0 AND g.t = b.t),
+b AS (SELECT q.item_id, i, t, r, n AS n_item_windows FROM q JOIN (SELECT item_id, count(DISTINCT t) AS n FROM q GROUP BY 1) USING (item_id)),
+m AS (SELECT g.id AS doc_id, b.item_id, b.n_item_windows, b.t, g.r AS r, b.r AS item_r, b.i AS item_i, g.i - b.i AS shift FROM g JOIN b ON g.side = 0 AND g.t = b.t),
 held AS (SELECT doc_id, item_id, n_item_windows, count(DISTINCT t) AS n_windows,
          count(DISTINCT t) FILTER (WHERE lower(array_to_string(r, ' ')) = lower(array_to_string(item_r, ' '))) AS n_verbatim
          FROM m GROUP BY ALL HAVING count(DISTINCT t) >= {CONTAIN} * n_item_windows),
-s AS (SELECT doc_id, item_id, unnest(range(1, len(t) + 1)) AS j, t, r, item_r FROM m SEMI JOIN held USING (doc_id, item_id)),
+x AS (SELECT doc_id, item_id, shift, count(DISTINCT item_i) AS support FROM m GROUP BY ALL),
+y AS (SELECT m.* FROM m SEMI JOIN held USING (doc_id, item_id) JOIN x USING (doc_id, item_id, shift) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, item_i ORDER BY support DESC, shift) = 1),
+s AS (SELECT doc_id, item_id, unnest(range(1, len(t) + 1)) AS j, t, r, item_r FROM y),
 v AS (SELECT doc_id, item_id, lower(item_r[j]) AS v, count(DISTINCT lower(r[j])) AS ways FROM s WHERE regexp_matches(t[j], '[{NUM}{NAME}{UNIT}]') GROUP BY ALL),
 u AS (SELECT doc_id, item_id, count(*) AS n_slots, count(*) FILTER (WHERE ways > 1) AS n_inconsistent FROM v GROUP BY ALL),
 o AS (SELECT h.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_inconsistent, 0) AS n_inconsistent FROM held h LEFT JOIN u USING (doc_id, item_id))
