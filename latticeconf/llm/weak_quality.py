@@ -28,17 +28,20 @@ from .common import ASCII_SPACE, let, written
 KEEP = 0.5
 ROUNDS = 12
 PRIOR = 0.9
+#: Each kind of junk should trip two rules: EM tells a class of bad documents by
+#: votes that go together, and can't see junk that a single rule knows of.
 #: (good, bad) conditions on the features; neither: the rule abstains. Valid in Spark and in DuckDB.
 RULES = {
     "length": ("n_words >= 100", "n_words < 50"),
     "symbols": ("n_symbols = 0", "50 * n_symbols > word_chars"),
+    "plain": ("100 * n_plain >= 92 * word_chars", "100 * n_plain < 90 * word_chars"),
     "dup_lines": ("n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
     "repeats": ("5 * n_repeat_words <= n_words", "2 * n_repeat_words > n_words"),
     "word_length": ("word_chars >= 3 * n_words AND word_chars <= 12 * n_words", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     "capitals": ("10 * n_capitals <= word_chars", "10 * n_capitals > 3 * word_chars"),
     "shouts": ("n_shouts = 0", "10 * n_shouts > n_words"),
 }
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_plain", "n_capitals", "n_shouts")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -69,6 +72,7 @@ def features(docs: DataFrame) -> DataFrame:
         let(F.array_remove(F.split("t", ASCII_SPACE), ""), of_words).alias("w"),
         let(lines, of_lines).alias("l"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).alias("n_symbols"),
+        F.regexp_count("t", F.lit(r"[\p{L}\p{N}]")).alias("n_plain"),
         F.regexp_count("t", F.lit("[A-Z]")).alias("n_capitals"),
         F.regexp_count("t", F.lit("!")).alias("n_shouts"),
     )
@@ -133,6 +137,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d3, (SELECT unnest([0, 1,
 f AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
       coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+      (length(t) - length(regexp_replace(t, '[\p{{L}}\p{{N}}]', '', 'g')))::BIGINT AS n_plain,
       (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals, (length(t) - length(replace(t, '!', '')))::BIGINT AS n_shouts
       FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id),
 v AS (SELECT *, {votes} FROM f),
