@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 WINDOW = 5
 CONTAIN = 0.8
@@ -62,22 +62,23 @@ def _starts(tokens: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - WINDOW)))
 
 
-def _hash(tokens: Column, i: Column) -> Column:
-    return F.xxhash64(*(F.get(tokens, i + k) for k in range(WINDOW)), F.size(F.slice(tokens, 1, WINDOW)))
+def _hashes(tokens: Column) -> Column:
+    """A 64-bit hash for each window; each token is hashed once."""
+    of = lambda h: F.transform(_starts(h), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)), F.least(F.size(h), F.lit(WINDOW))))
+    return let(F.transform(tokens, lambda x: F.xxhash64(x)), of)
 
 
 def window_hashes(docs: DataFrame, key: str) -> DataFrame:
     """(key, at, h): a row for each window of each text."""
-    one = docs.select(key, F.transform(F.array(template_tokens(F.col("text"))), lambda t: F.transform(_starts(t), lambda i: _hash(t, i)))[0].alias("hs"))
+    one = docs.select(key, _hashes(template_tokens(F.col("text"))).alias("hs"))
     return one.select(key, F.posexplode("hs").alias("at", "h"))
 
 
 def windows_with_values(docs: DataFrame, key: str) -> DataFrame:
     """(key, at, h, t, r): windows with their template tokens and raw tokens."""
     both = docs.select(key, template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("r"))
-    cut = lambda t, r: F.transform(_starts(t), lambda i: F.struct(i.alias("at"), _hash(t, i).alias("h"), F.slice(t, i + 1, WINDOW).alias("t"), F.slice(r, i + 1, WINDOW).alias("r")))
-    let = F.transform(F.array(F.struct("t", "r")), lambda x: cut(x["t"], x["r"]))[0]
-    return both.select(key, F.explode(let).alias("w")).select(key, "w.*")
+    cut = lambda x: F.transform(_hashes(x["t"]), lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.slice(x["t"], i + 1, WINDOW).alias("t"), F.slice(x["r"], i + 1, WINDOW).alias("r")))
+    return both.select(key, F.explode(let(F.struct("t", "r"), cut)).alias("w")).select(key, "w.*")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -106,6 +107,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN
     again = windows_with_values(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     ours = bench.select("item_id", F.col("at").alias("item_at"), "h", F.col("r").alias("item_r"), F.col("t").alias("item_t"))
     pairs = again.select("doc_id", F.col("at").alias("doc_at"), "h", "r").join(aside(ours), "h").join(held.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    pairs = written(pairs, "decontam-pairs")
     same = F.lower(F.concat_ws(" ", "r")) == F.lower(F.concat_ws(" ", "item_r"))
     verbatim = pairs.where(same).groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_verbatim"))
     # a template that an item repeats meets itself at several places: of these the
