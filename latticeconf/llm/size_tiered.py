@@ -119,17 +119,24 @@ class ShardedTable:
         return merged.select("shard", F.concat_ws("-", "lane", "tier", "part").alias("grp"), "k", "b")
 
     def compact(self, schema) -> int | None:
-        """Merges once; the committed version, or None if nothing is to be merged."""
+        """Merges once; the committed version, or None if nothing is to be merged.
+
+        Groups are numbered, and a group's number is its partition: by a hash, two
+        groups could meet in one task and one oversized file.
+        """
         base = self.version()
         shards = self.manifest(base)
         todo = self.plan(shards).select("shard", "grp")
-        n = todo.select("grp").distinct().count()
+        groups = todo.select("grp").distinct()  # one row a target file
+        n = groups.count()
         if not n:
             return None
+        numbered = groups.select("grp", (F.row_number().over(Window.orderBy("grp")) - 1).alias("place"))
+        todo = todo.join(numbered, "grp").select("shard", "place")
         few = todo.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
-        plan = todo.select(F.col("shard").alias("_shard"), F.xxhash64("grp").alias("_grp"))
+        plan = todo.select(F.col("shard").alias("_shard"), F.col("place").alias("_place"))
         rows = self._shards(schema, todo).join(F.broadcast(plan) if few else plan, "_shard").drop("_shard")
-        new = self._written(rows.repartition(n, "_grp").sortWithinPartitions("_grp").drop("_grp"), f"m{base + 1:08d}-{uuid.uuid4().hex[:8]}", -(base + 1))
+        new = self._written(rows.repartitionById(n, "_place").drop("_place"), f"m{base + 1:08d}-{uuid.uuid4().hex[:8]}", -(base + 1))
         return self._commit(shards.join(todo, "shard", "left_anti").unionByName(new), base)
 
     def settle(self, schema, most: int = 16) -> int:
