@@ -20,6 +20,8 @@ SLICE characters are read whole, in slices; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -119,21 +121,30 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def _predictor(prototypes: dict[str, np.ndarray]):
-    names, matrix = list(prototypes), np.array([*prototypes.values()])
+class Teller:
+    """Languages and scores of texts by their nearest prototypes."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray]):
+        self.names, self.matrix, self.letters = list(prototypes), np.array([*prototypes.values()]), Letters()
+
+    def tell(self, text: str | None) -> tuple[str, float]:
+        v = self.letters.bundle(text) if self.names else None
+        if v is None:
+            return "und", 0.0
+        norm = np.linalg.norm(v)
+        if not norm:
+            return self.names[0], 0.0
+        cosine = self.matrix @ (v / norm)
+        best = int(cosine.argmax())
+        return self.names[best], float(min(1.0, max(0.0, cosine[best])))
+
 
+def _predictor(prototypes: dict[str, np.ndarray]):
     def run(batches):
-        letters = Letters()
+        teller = Teller(prototypes)
         for batch in batches:
-            pred, score = [], []
-            for text in batch.column(2).to_pylist():
-                v = letters.bundle(text) if names else None
-                norm = 0.0 if v is None else np.linalg.norm(v)
-                cosine = matrix @ (v / norm) if norm else None
-                best = 0 if cosine is None else int(cosine.argmax())
-                pred.append("und" if v is None else names[best])
-                score.append(0.0 if cosine is None else float(min(1.0, max(0.0, cosine[best]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=_SCHEMA)
+            told = [teller.tell(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], schema=_SCHEMA)
 
     return run
 
@@ -146,5 +157,17 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def accepted(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_score: float = MIN_SCORE) -> DataFrame:
-    """Ids of the rows whose language is told with a cosine of min_score or more."""
-    return identify(docs, train_docs).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("doc_id")
+    """The rows whose language is told with a cosine of min_score or more.
+
+    Each row is judged by itself, so rows of one doc_id or of none need no join.
+    """
+    prototypes = learn(docs, train_docs)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        teller = Teller(prototypes)
+        for texts in batches:
+            told = [teller.tell(x) for x in texts.to_pylist()]
+            yield pa.array([None if lang == "und" else x for lang, x in told], pa.float64())
+
+    return docs.where(score(F.col("text").cast("string")) >= min_score)

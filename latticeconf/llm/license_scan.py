@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+RUN = 2048
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: (notice, label, allowed edits); all in the words' normal form.
 NOTICES = (
@@ -62,7 +63,11 @@ class Notice:
 
 
 def candidate_windows(normal: bytes, notice: Notice) -> list[tuple[int, int]]:
-    """Merged [start, end) windows of normal that may hold the notice."""
+    """Merged [start, end) windows of normal that may hold the notice, in order.
+
+    Long runs of windows are cut every RUN bytes, with an overlap that holds a whole
+    occurrence: the search for the best match stays linear.
+    """
     n, k, found = len(notice.text), notice.edits, []
     for offset, piece in notice.pieces:
         p = normal.find(piece)
@@ -75,7 +80,8 @@ def candidate_windows(normal: bytes, notice: Notice) -> list[tuple[int, int]]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    return merged
+    overlap = n + 4 * k + 2
+    return [(p, min(b, p + RUN + overlap)) for a, b in merged for p in range(a, max(a + 1, b - overlap), RUN)]
 
 
 def scan(text: bytes | None, notices: list[Notice], base: dict[str, str] = BASE) -> tuple:
@@ -94,9 +100,10 @@ def scan(text: bytes | None, notices: list[Notice], base: dict[str, str] = BASE)
             p = normal.find(needle, p + 1)
     spans = []
     for x in notices:
+        lead = at = 0
         for a, b in candidate_windows(normal, x):
             window = normal[a:b].decode("utf-8", "ignore")
-            lead = normal.count(b" ", 0, b - len(normal[a:b].lstrip(bytes(range(128, 192)))))
+            lead, at = lead + normal.count(b" ", at, a), a
             for m in x.verify.finditer(window):
                 first = lead + window.count(" ", 0, m.start()) - 1
                 spans.append((x.label, first, first + 1 + m.group().count(" "), sum(m.fuzzy_counts), len(x.text)))

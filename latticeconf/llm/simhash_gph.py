@@ -37,6 +37,7 @@ SHINGLE_WORDS = 3
 HASH_SEED = 42
 HEAVY = 256
 _CHUNK = 1 << 16
+_NO_ID = (1 << 63) - 1
 
 
 def simhash64(text: bytes | None) -> int:
@@ -223,21 +224,24 @@ def _within(keyed: DataFrame, tau: int, pairs: DataFrame | None) -> DataFrame:
 def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(fp, root) for the fingerprints that have a link; ids: (fp, low).
 
-    root is the smallest low reachable. Each round every fingerprint takes the
-    least label among its neighbours and then its label's label; rounds are
-    written to the shared folder and stop when no label changes.
+    root is the smallest low reachable. A label is (low, fingerprint): rows of one
+    doc_id with different texts share a low but not a label, so they don't join
+    groups. Each round every fingerprint takes the least label among its
+    neighbours and then its label's label; rounds are written to the shared folder
+    and stop when no label changes.
     """
     edges = written(pairs.select(F.col("a").alias("fp"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("to"))), "gph-edges")
     touched = edges.select("fp").distinct()
-    labels = written(ids.join(touched, "fp", "left_semi").select("fp", F.col("low").alias("root")), "gph-labels")
+    own = F.struct(F.coalesce("low", F.lit(_NO_ID)).alias("low"), F.col("fp").alias("leader"))
+    labels = written(ids.join(touched, "fp", "left_semi").select("fp", own.alias("root")), "gph-labels")
     while True:
         heard = edges.join(labels, "fp").groupBy(F.col("to").alias("fp")).agg(F.min("root").alias("heard"))
-        one = labels.join(heard, "fp", "left").select("fp", F.col("root").alias("was"), F.least("root", F.coalesce("heard", "root")).alias("one"))
-        # a label is a document id: what that document's own label has become
-        leaders = one.join(ids.select("fp", "low"), "fp").select(F.col("low").alias("one"), F.col("one").alias("two"))
-        new = written(one.join(leaders, "one", "left").select("fp", "was", F.least("one", F.coalesce("two", "one")).alias("root")), "gph-labels")
-        if not new.where(~F.col("was").eqNullSafe(F.col("root"))).take(1):
-            return new.select("fp", "root")
+        one = labels.join(heard, "fp").select("fp", F.col("root").alias("was"), F.least("root", "heard").alias("one"))
+        # what the label of the fingerprint that a label names has become
+        leaders = one.select(F.col("fp").alias("leader"), F.col("one").alias("two"))
+        new = written(one.withColumn("leader", F.col("one.leader")).join(leaders, "leader").select("fp", "was", F.least("one", "two").alias("root")), "gph-labels")
+        if not new.where("was <> root").take(1):
+            return new.select("fp", F.nullif(F.col("root.low"), F.lit(_NO_ID)).alias("root"))
         labels = new.select("fp", "root")
 
 

@@ -103,7 +103,7 @@ class ShardedTable:
         return self._commit(old.unionByName(new), base)
 
     def plan(self, shards: DataFrame) -> DataFrame:
-        """(shard, grp, n_files) for the shards that are to be merged now.
+        """(shard, lane, grp, k, b) for the shards that are to be merged now: their group, its shards and bytes.
 
         Within a lane, shards under half the target are put in order of tier and
         age and cut into groups of about one target file; a group of FAN_IN
@@ -116,7 +116,7 @@ class ShardedTable:
         cut = placed.withColumn("part", F.floor((F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1))) / self.target_bytes)).na.fill(0, ["part"])
         grp = Window.partitionBy("lane", "tier", "part")
         merged = cut.withColumn("k", F.count(F.lit(1)).over(grp)).withColumn("b", F.sum("n_bytes").over(grp)).where((F.col("k") >= self.fan_in) | ((F.col("k") > 1) & (F.col("b") >= self.target_bytes)))
-        return merged.select("shard", F.concat_ws("-", "lane", "tier", "part").alias("grp"), "k", "b")
+        return merged.select("shard", "lane", F.concat_ws("-", "lane", "tier", "part").alias("grp"), "k", "b")
 
     def compact(self, schema) -> int | None:
         """Merges once; the committed version, or None if nothing is to be merged.
@@ -126,12 +126,15 @@ class ShardedTable:
         """
         base = self.version()
         shards = self.manifest(base)
-        todo = self.plan(shards).select("shard", "grp")
-        groups = todo.select("grp").distinct()  # one row a target file
+        todo = self.plan(shards).select("shard", "lane", "grp")
+        groups = todo.select("lane", "grp").distinct()  # one row a target file
         n = groups.count()
         if not n:
             return None
-        numbered = groups.select("grp", (F.row_number().over(Window.orderBy("grp")) - 1).alias("place"))
+        before = F.sum("size").over(Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1))  # over lanes: one row for LANE shards
+        first = groups.groupBy("lane").agg(F.count(F.lit(1)).alias("size")).select("lane", F.coalesce(before, F.lit(0)).alias("first"))
+        within = F.row_number().over(Window.partitionBy("lane").orderBy("grp")) - 1
+        numbered = groups.withColumn("within", within).join(first, "lane").select("grp", (F.col("first") + F.col("within")).cast("int").alias("place"))
         todo = todo.join(numbered, "grp").select("shard", "place")
         few = todo.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
         plan = todo.select(F.col("shard").alias("_shard"), F.col("place").alias("_place"))

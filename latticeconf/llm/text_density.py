@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,13 +48,19 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.drop = ["#page"], [-1], [False]
         self.pieces: list[tuple[int, str | None]] = []  # (node, text); None: a block's edge
-        self.open = [0]
+        self.open, self.live = [0], Counter()  # tags that are open, to pass over what can't be closed
+
+    def _close(self, k: int) -> None:
+        self.live.subtract(self.tag[i] for i in self.open[k:])
+        del self.open[k:]
 
     def _pop_to(self, tags, scope) -> None:
+        if not any(self.live[tag] for tag in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[k]]
             if tag in tags:
-                del self.open[k:]
+                self._close(k)
                 self.pieces.append((self.open[-1], None))
                 return
             if tag in scope:
@@ -67,7 +74,7 @@ class _Tree(HTMLParser):
             for _ in CLOSES[tag]:
                 self._pop_to(CLOSES[tag], SCOPE[tag])
         up = self.open[-1]
-        inside = any(self.tag[k] in ("article", "main") for k in self.open) if tag == "header" else False
+        inside = self.live["article"] > 0 or self.live["main"] > 0
         self.tag.append(tag)
         self.parent.append(up)
         self.drop.append(self.drop[up] or tag in DROPPED or tag == "header" and not inside or _marked(tag, attrs))
@@ -75,13 +82,16 @@ class _Tree(HTMLParser):
             self.pieces.append((up, " "))
         else:
             self.open.append(len(self.tag) - 1)
+            self.live[tag] += 1
 
     def handle_endtag(self, tag):
+        if not self.live[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == tag:
                 if tag in BLOCK:
                     self.pieces.append((self.open[k], None))
-                del self.open[k:]
+                self._close(k)
                 return
             if tag not in BLOCK and self.tag[self.open[k]] in BLOCK:
                 return  # a stray inline end tag doesn't close a block

@@ -190,3 +190,23 @@ def test_long_texts_are_read_whole():
     whole = letters.bundle("ab " * (hyperlang.SLICE // 2))
     assert whole is not None and abs(whole).max() > 0
     assert letters.bundle("12 34") is None and letters.bundle("") is None
+
+
+def test_rejected_rows_go_one_by_one(spark, docs):
+    """Rows without an id, and rows that share one, are each judged by their own text."""
+    text = docs.where("lang IS NOT NULL AND length(text) > 200").first()["text"]
+    own = spark.createDataFrame([(None, text), (None, "1 2 3"), (8, None), (8, text), (9, "")], "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(0).cast("long")})
+    kept = hyperlang.accepted(docs.select(own.columns).unionByName(own.select(own.columns)).where("source = 's' OR doc_id IS NOT NULL"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.where("source = 's'").collect()) == [(0, text), (8, text)]
+    assert kept.columns == own.columns
+
+
+def test_dense_texts_take_linear_time():
+    """Long runs of candidates, digits and stray tags, scanned whole."""
+    notices = [license_scan.Notice(*x) for x in license_scan.NOTICES]
+    k = 5000
+    n, starts, labels, spans = license_scan.scan(b"see the MIT Licence " * k, notices)
+    assert (n, starts, labels) == (4 * k, [], set())
+    assert {s[1] for s in spans if s[0] == "mit"} >= {4 * i + 2 for i in range(k)}
+    assert pii.spans_of("7" * 300_000 + " 10.1.1.1") == [("ip", 300_001, 300_009, 0.7)]
+    assert text_density.extract("<article><p>" + "<i>x</b>" * 30_000 + "</article>") == "x" * 30_000

@@ -107,6 +107,18 @@ def test_groups_against_all_pairs(spark, docs, edge, nothing):
         assert rows(got, "doc_id", "fingerprint", "component_id") == sorted(((i, f"{f:016x}", c) for i, f, c in want), key=key)
 
 
+def test_rows_of_one_id_keep_groups_apart(spark):
+    """Two texts of one doc_id, each in a group of its own: no group is joined and no row repeated."""
+    a, b = (" ".join(f"{x}{i}" for i in range(300)) for x in "ab")
+    data = [(5, a), (7, f"{a} end"), (5, b), (3, f"{b} end"), (None, f"{a} tail"), (5, a)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = groups([(i, fingerprint(t)) for i, t in data])
+    assert rows(simhash_gph.near_duplicate_groups(df), "doc_id", "fingerprint", "component_id") == sorted(((i, f"{f:016x}", c) for i, f, c in want), key=key)
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (6, 7)], "a long, b long")
+    ids = spark.createDataFrame([(1, 5), (2, 7), (3, 5), (4, 3), (6, None), (7, None), (9, 1)], "fp long, low long")
+    assert rows(simhash_gph.components(pairs, ids), "fp", "root") == [(1, 5), (2, 5), (3, 3), (4, 3), (6, None), (7, None)]
+
+
 @pytest.mark.parametrize("plan", [None, [([*range(32)], 1), ([*range(32, 64)], 0)], [([*range(40)], 0), ([*range(40, 64)], 1)], [([*range(64)], 2)]])
 @pytest.mark.parametrize("heavy", [4, 10_000])
 def test_no_link_is_lost(spark, plan, heavy):
