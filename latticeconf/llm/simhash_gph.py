@@ -24,6 +24,10 @@ component; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -149,14 +153,14 @@ def plan_partitions(n: int, both: np.ndarray, tau: int = TAU) -> list[tuple[list
 
 
 def _choose(n: int, k: int) -> int:
-    return 1 if k == 0 else n if k == 1 else n * (n - 1) // 2
+    return math.comb(n, k)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _mask(bits: list[int]) -> int:
+def _mask(bits: Iterable[int]) -> int:
     return sum(1 << b for b in bits)
 
 
@@ -170,11 +174,7 @@ def _keyed(fp: Column, plan: list[tuple[list[int], int]]) -> Column:
     out = []
     for bits, t in plan:
         full = _mask(bits)
-        wilds = [full]
-        if t == 1:
-            wilds = [full & ~(1 << b) for b in bits]
-        elif t == 2:
-            wilds = [full & ~(1 << a) & ~(1 << b) for i, a in enumerate(bits) for b in bits[i + 1 :]]
+        wilds = [full & ~_mask(wild) for wild in combinations(bits, min(t, len(bits)))]
         out += [F.struct(F.lit(_signed(w)).alias("mask"), fp.bitwiseAND(F.lit(_signed(w))).alias("key")) for w in wilds]
     return F.array(*out)
 
@@ -202,7 +202,7 @@ def linked_pairs(distinct: DataFrame, tau: int = TAU, heavy: int = HEAVY, plan=N
         for mask in masks:
             open_bits = [b for b in range(64) if not mask >> b & 1]
             if len(open_bits) <= tau:
-                closed.append(mask)  # a key holds 4 fingerprints at most
+                closed.append(mask)  # a key holds 2 ** tau fingerprints at most
                 continue
             parts = min(tau + 1, len(open_bits))
             finer = [_signed(_mask(g) | mask & (1 << 64) - 1) for g in correlated_groups(open_bits, parts, n, both)]

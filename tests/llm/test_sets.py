@@ -149,6 +149,52 @@ def test_allocation_is_least():
         assert price(got) == pytest.approx(min(price(t) for t in product(range(-1, 3), repeat=m) if sum(t) == total))
 
 
+@pytest.mark.parametrize("tau", [3, 4])
+def test_no_link_is_lost_beyond_two_bits(spark, tau):
+    rng = random.Random(tau)
+    c = rng.getrandbits(63)
+    prints = {c ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 3))) for _ in range(60)} | {rng.getrandbits(63) for _ in range(20)}
+    want = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= tau}
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    for plan in [None] if tau < 4 else [[([*range(16)], 3), ([*range(16, 64)], 0)]]:
+        assert {tuple(r) for r in simhash_gph.linked_pairs(df, tau, plan=plan).collect()} == want
+
+
+def test_pipeline_drops_copies_at_similarity(spark, docs):
+    """No kept pair at a five-word Jaccard of 0.8, none dropped without a chain of such links; keys of more sets than are expanded."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    crowd = []
+    for i in range(60):  # copies of which many differ from each other by more than 0.8 allows
+        one = list(words)
+        for at in rng.sample(range(120), rng.randint(0, 3)):
+            one[at] = f"x{i}-{at}"
+        crowd.append((1000 + i, " ".join(one)))
+    made = spark.createDataFrame([*crowd, (None, " ".join(words)), (2000, None), (2001, " "), (2002, "one two")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(made)
+    texts = {(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is not None}
+    sets = {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    near = {i: {j for j in sets if i != j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0)} for i in sets}
+    want, seen = set(), set()
+    for i in sorted(sets):
+        if i not in seen:
+            want.add(i)
+            todo = [i]
+            while todo:
+                if (j := todo.pop()) not in seen:
+                    seen.add(j)
+                    todo += near[j]
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    named = {i for i in kept if i is not None}
+    assert kept.count(None) == 1 and not any(near[i] & named for i in named) and named >= want
+    assert named & set(range(1000)) == want & set(range(1000))
+
+
 # --- 4: mixture
 
 
