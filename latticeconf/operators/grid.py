@@ -83,14 +83,15 @@ def pool(cells: DataFrame, scale: int | Column, aggs: Sequence[Column], keys: Se
     return at.groupBy(*keys, "grid_row", "grid_col").agg(*aggs)
 
 
-def pool_strided(cells: DataFrame, size: int, stride: int, n_rows: int, n_cols: int, aggs: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
+def pool_strided(cells: DataFrame, size: int, stride: int, n_rows: int | Column, n_cols: int | Column, aggs: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
     """Aggregates of overlapping windows: each cell is sent to the windows that hold it."""
     if not 1 <= stride <= size:
         raise ValueError("stride lies between 1 and the window's size")
 
-    def windows(x: str, n: int) -> Column:
+    def windows(x: str, n: int | Column) -> Column:
+        n = F.lit(n) if isinstance(n, int) else n
         first = F.greatest(F.lit(0), F.ceil((F.col(x) - size + 1) / stride)).cast("long")
-        last = F.least(F.lit((n - size) // stride), F.floor(F.col(x) / stride)).cast("long")
+        last = F.least(F.floor((n - size) / stride), F.floor(F.col(x) / stride)).cast("long")
         return F.when(first <= last, F.sequence(first, last))
 
     sent = cells.withColumn("_r", F.explode(windows("grid_row", n_rows))).withColumn("_c", F.explode(windows("grid_col", n_cols)))

@@ -106,8 +106,9 @@ def pool_any(spark, sf_dir):
 
 @query(f"WITH {SPX_SQL}, r AS (SELECT unnest(range(0, 4)) AS k), w AS (SELECT s.y, (grid_row - a.k) // 2 AS grid_row, (grid_col - b.k) // 2 AS grid_col FROM spx s, r a, r b WHERE grid_row < 10 AND grid_row >= a.k AND grid_col >= b.k AND (grid_row - a.k) % 2 = 0 AND (grid_col - b.k) % 2 = 0 AND grid_row - a.k + 4 <= 10 AND grid_col - b.k + 4 <= 100) SELECT grid_row, grid_col, CAST(sum(y) AS BIGINT) AS total FROM w GROUP BY ALL")
 def pool_strided_overlap(spark, sf_dir):
-    band = cells(spark, sf_dir).where("grid_row < 10")  # a 10 x 100 region, which every scale factor has
-    return grid.pool_strided(band, 4, 2, 10, 100, [F.sum("y").alias("total")])
+    c = cells(spark, sf_dir)  # the SQL above holds the first 10 rows alone: all of the grid at scale 0.001, a part of it beyond
+    sized = c.crossJoin(F.broadcast(grid.extents(c)))
+    return grid.pool_strided(sized, 4, 2, F.col("n_rows"), F.col("n_cols"), [F.sum("y").alias("total")])
 
 
 @query(f"WITH {SPX_SQL}, k AS (SELECT grid_row // 4 AS grid_row, grid_col // 4 AS grid_col, y, row_number() OVER (PARTITION BY grid_row // 4, grid_col // 4 ORDER BY y DESC) AS k FROM spx) SELECT grid_row, grid_col, avg(y) AS top_mean FROM k WHERE k <= 5 GROUP BY ALL")

@@ -126,3 +126,15 @@ def test_cross_fitted_network_beats_the_mean(spark):
     out = models.crossfit(a, table, ["x"], "y", fit).join(a, ["grid_row", "grid_col"]).select("y", "yhat").toPandas()
     assert len(out) == 1600
     assert models.asymmetric_loss((out.y - out.yhat).to_numpy()) < 0.5 * models.asymmetric_loss((out.y - out.y.mean()).to_numpy())
+
+
+def test_strided_query_pools_the_whole_grid(spark, tmp_path):
+    """25 rows of 100 cells, against a loop over all windows."""
+    from latticeconf.plans import grid_queries
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_id < 2500")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    y = {(r["grid_row"], r["grid_col"]): r["y"] for r in grid_queries.cells(spark, str(tmp_path)).collect()}
+    n_rows, n_cols = max(r for r, _ in y) + 1, max(c for _, c in y) + 1
+    want = {(i, j): sum(y.get((2 * i + a, 2 * j + b), 0) for a in range(4) for b in range(4)) for i in range((n_rows - 4) // 2 + 1) for j in range((n_cols - 4) // 2 + 1)}
+    assert n_rows > 20 and {(r["grid_row"], r["grid_col"]): r["total"] for r in grid_queries.pool_strided_overlap(spark, str(tmp_path)).collect()} == want
