@@ -145,18 +145,42 @@ class TokenRollup:
         return sums.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
 
-def rollup_of(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """Totals after three batches and a retry.
+def _revised(docs: DataFrame, vocabulary: str, tokenizer: str) -> tuple[TokenRollup, DataFrame, DataFrame]:
+    """A rollup with the batches load and revise, and the documents' counts of now and at first.
 
     load inserts every document under a first tokenizer version whose counts are
-    characters; revise moves every document to the BPE's counts; purge deletes
-    documents of no tokens; revise is sent again and skipped.
+    characters; revise moves every document to the BPE's counts.
     """
     rollup = TokenRollup(docs.sparkSession)
     now = written(counted(docs, vocabulary, tokenizer), "token-counts")
     first = now.withColumn("tokens", F.col("chars")).withColumn("tokenizer", F.lit("chars"))
     rollup.commit("load", signed(new=first))
     rollup.commit("revise", signed(new=now, old=first))
+    return rollup, now, first
+
+
+def rollup_of(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+    """Totals of the documents that have tokens, after three batches and a retry.
+
+    After load and revise, purge deletes documents of no tokens; revise is sent
+    again and skipped.
+    """
+    rollup, now, first = _revised(docs, vocabulary, tokenizer)
     rollup.commit("purge", signed(old=now.where("tokens = 0")))
     rollup.commit("revise", signed(new=now, old=first))
     return rollup.totals()
+
+
+def rollup_of_all(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+    """Totals of all documents, those of no tokens too, after four batches and two retries.
+
+    After load and revise, withdraw deletes documents of no tokens and restore
+    inserts them again; revise and withdraw are sent again and skipped.
+    """
+    rollup, now, first = _revised(docs, vocabulary, tokenizer)
+    empty = now.where("tokens = 0")
+    rollup.commit("withdraw", signed(old=empty))
+    rollup.commit("restore", signed(new=empty))
+    rollup.commit("revise", signed(new=now, old=first))
+    rollup.commit("withdraw", signed(old=empty))
+    return rollup.totals()

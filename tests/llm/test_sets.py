@@ -78,6 +78,16 @@ def test_rollup_counts_and_retries(spark, docs, edge, nothing):
         assert got == want
 
 
+def test_registered_rollup_counts_every_row(spark, docs, edge, tmp_path):
+    """Null and empty texts are documents; a group of nothing else keeps its row."""
+    none = spark.createDataFrame([(90, None, "xx", "bare", 0), (91, "", "xx", "bare", 0)], docs.schema)
+    docs.limit(40).unionByName(edge.select(docs.columns)).unionByName(none).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_token_counts(spark, str(tmp_path))
+    assert rows(got, "source", "lang", "docs", "chars") == rows(df.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")), "source", "lang", "docs", "chars")
+    assert ("bare", "xx", 2, 0) in rows(got, "source", "lang", "docs", "tokens")
+
+
 def test_rollup_commits_once(spark):
     t = token_rollup.TokenRollup(spark)
     new = spark.createDataFrame([("a", "en", "v1", 1, 10, 40)], token_rollup.DELTA)
