@@ -72,7 +72,7 @@ def candidate_windows(normal: bytes, notice: Notice) -> list[tuple[int, int]]:
     for offset, piece in notice.pieces:
         p = normal.find(piece)
         while p >= 0:
-            found.append((max(0, p - offset - k - 1), min(len(normal), p - offset + n + 4 * k + 2)))  # an edit may put in a character of 4 bytes
+            found.append((max(0, p - offset - 4 * k - 1), min(len(normal), p - offset + n + 4 * k + 2)))  # an edit may put in a character of 4 bytes
             p = normal.find(piece, p + 1)
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -84,6 +84,17 @@ def candidate_windows(normal: bytes, notice: Notice) -> list[tuple[int, int]]:
     return [(p, min(b, p + RUN + overlap)) for a, b in merged for p in range(a, max(a + 1, b - overlap), RUN)]
 
 
+def matches(window: str, notice: Notice) -> list[regex.Match]:
+    """Matches of a window. The search takes the best one first, so what lies before and after it is searched again."""
+    found, parts = [], [(0, len(window))]
+    while parts:
+        a, b = parts.pop()
+        if m := notice.verify.search(window, a, b):
+            found.append(m)
+            parts += [(a, m.start()), (m.end(), b)]
+    return found
+
+
 def scan(text: bytes | None, notices: list[Notice], base: dict[str, str] = BASE) -> tuple:
     """n_words, starts and labels of base phrases, fuzzy spans (label, first word, end word, edits, length)."""
     words = (text or b"").translate(_WORD_BYTES).split()
@@ -104,7 +115,7 @@ def scan(text: bytes | None, notices: list[Notice], base: dict[str, str] = BASE)
         for a, b in candidate_windows(normal, x):
             window = normal[a:b].decode("utf-8", "ignore")
             lead, at = lead + normal.count(b" ", at, a), a
-            for m in x.verify.finditer(window):
+            for m in matches(window, x):
                 first = lead + window.count(" ", 0, m.start()) - 1
                 spans.append((x.label, first, first + 1 + m.group().count(" "), sum(m.fuzzy_counts), len(x.text)))
     return len(words), starts, labels, sorted(set(spans), key=lambda s: (s[1], s[2], s[0], s[3]))

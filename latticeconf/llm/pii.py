@@ -24,6 +24,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
+#: Characters of an IBAN by country; a shorter end than IBAN's is tried at this length alone, where it is known.
+IBAN_CHARS = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -87,6 +89,22 @@ def emails(text: str):
         at = text.find("@", max(at + 1, end))
 
 
+def ibans(text: str):
+    """(start, end) of valid IBANs. IBAN takes in short upper-case words that follow; so ends at earlier words are tried too."""
+    m = IBAN.search(text)
+    while m:
+        start, end = m.span()
+        if _apart(text, start):
+            whole = end
+            while end > start:
+                said = text[start:end].replace(" ", "")
+                if mod97(said) and (end == whole or len(said) == IBAN_CHARS.get(said[:2], len(said))):
+                    yield start, end
+                    break
+                end = text.rfind(" ", start, end)
+        m = IBAN.search(text, max(start + 1, end))
+
+
 def proposed(text: str):
     """(kind, start, end) confirmed by validators, base kinds first."""
     for m in emails(text):
@@ -103,9 +121,8 @@ def proposed(text: str):
         for m in PHONE.finditer(text):
             if 9 <= len(_digits(m.group())) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        if _apart(text, m.start()) and mod97(m.group().replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         if _apart(text, m.start()) and m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000":
             yield "ssn", m.start(), m.end()

@@ -52,6 +52,20 @@ def test_fuzzy_labels(text, labels):
     assert base | {s[0] for s in spans} == labels
 
 
+@pytest.mark.parametrize("text", ["under the \u201cApache License, Version 2.0", "the \u201cmit license\u201d here"])
+def test_characters_of_three_bytes_before_a_notice(text):
+    """One put-in character, however many bytes it has, is one edit."""
+    notice = next(x for x in NOTICES if x.text in ("apache license", "mit license") and x.text[:3] in text.lower())
+    spans = license_scan.scan(text.replace("\u201d", "").encode(), NOTICES)[3]
+    assert any(s[0] == notice.label and s[3] == 1 for s in spans)
+
+
+def test_weaker_matches_before_a_better_one():
+    """The best match of a window doesn't hide those before it."""
+    spans = license_scan.scan(b"mozila public license or mozilla public license", NOTICES)[3]
+    assert [(s[1], s[3]) for s in spans if s[0] == "mpl"] == [(0, 1), (4, 0)]
+
+
 def test_fuzzy_spans_count_words():
     text = "ä b c " * 50 + "Relesed under the MIT license today"
     n, starts, _, spans = license_scan.scan(text.encode(), NOTICES)
@@ -115,6 +129,20 @@ def test_pii_validators(text, kinds):
     assert found == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "ibans"),
+    [
+        ("ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", ["ES91 2100 0418 4502 0005 1332"]),
+        ("BE68 5390 0754 7034 EUR 50", ["BE68 5390 0754 7034"]),
+        ("BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 OK", ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 BIC X", ["DE89370400440532013000"]),
+        ("ES91 2100 0418 4502 0005 1333 BIC CAIXESBB", []),
+    ],
+)
+def test_ibans_before_other_words(text, ibans):
+    assert [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "iban"] == ibans
+
+
 def test_pii_context_and_redaction():
     near, far = pii.context_score("call my phone +1 (555) 010-9999 now", "phone", 14, 31), pii.context_score("x" * 90, "phone", 40, 50)
     assert near > far
