@@ -1,35 +1,60 @@
 """Scoring a stream of cells against a fixed calibration table.
 
 The batch method's ranks need only the calibration scores of a key, so a stream
-of predictions can get its p-values (unadjusted: adjustment needs all tests) by a
-stream-static join, without state.
+of predictions can get its p-values (unadjusted: adjustment needs all tests) by
+stream-static joins, without state. Ranks are exact at any size: a key's distinct
+scores lie, with their counts, in ranges of one row each, and a cell meets the one
+range that its own score falls into.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import clipped_score, confidence
 
-#: Evenly spaced ranks that stand for a key's calibration scores if it has more.
+#: A key of more calibration scores is cut into ranges, at RANGES - 1 of its scores.
 MOST_SCORES = 10_000
+RANGES = 1000
+
+
+def _range(bounds: str, value):
+    """Number of bounds that value has reached; 0 for a key without bounds."""
+    return F.coalesce(F.size(F.filter(bounds, lambda b: b <= value)), F.lit(0))
 
 
 def calibration_table(calib: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, scores, n): each key's sorted scores; beyond MOST_SCORES, as many quantiles."""
+    """(keys, score_range, n, bounds, before, scores): a row for each range of a key's scores.
+
+    scores: the range's distinct scores with their counts; before: scores in lower
+    ranges; bounds: where ranges start, on the key's first row alone. Approximate
+    quantiles only place the bounds.
+    """
     c = calib.withColumn("score", clipped_score(F.col("y"), F.col("yhat"), F.col("null_number")))
-    quantiles = F.percentile_approx("score", F.array(*(F.lit(i / MOST_SCORES) for i in range(1, MOST_SCORES, MOST_SCORES // 1000))), F.lit(100_000))
-    n = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), quantiles.alias("q"))
-    few = c.join(n.where(F.col("n") <= MOST_SCORES).select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list("score")).alias("exact"))
-    return n.join(few, list(keys), "left").select(*keys, "n", F.coalesce("exact", "q").alias("scores"))
+    finite = F.when(F.col("score") < float("inf"), F.col("score"))
+    quantiles = F.percentile_approx(finite, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(100_000))
+    heads = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), quantiles.alias("q"))
+    bounds = F.coalesce(F.when(F.col("n") > MOST_SCORES, F.array_sort(F.array_distinct("q"))), F.array().cast("array<double>"))
+    heads = heads.select(*keys, "n", bounds.alias("bounds"))
+    distinct = c.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("m"))
+    held = distinct.join(heads, list(keys)).withColumn("score_range", _range("bounds", F.col("score")))
+    rows = held.groupBy(*keys, "score_range").agg(F.first("n").alias("n"), F.first("bounds").alias("bounds"), F.sum("m").alias("m"), F.collect_list(F.struct("score", "m")).alias("scores"))
+    lower = Window.partitionBy(*keys).orderBy("score_range")
+    before = F.coalesce(F.sum("m").over(lower.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.row_number().over(lower) == 1
+    return rows.select(*keys, "score_range", "n", F.when(first, F.col("bounds")).alias("bounds"), before.alias("before"), "scores")
 
 
 def score_stream(stream: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The stream with p and confidence; cells of unknown keys get p = 1."""
-    joined = stream.join(table, list(keys), "left")
-    smaller = F.size(F.filter("scores", lambda s: s < -F.col("yhat"))) / F.size("scores") * F.col("n")
+    heads = table.where("bounds IS NOT NULL").select(*keys, "n", "bounds")
+    placed = stream.join(heads, list(keys), "left").withColumn("score_range", _range("bounds", -F.col("yhat")))
+    joined = placed.join(table.select(*keys, "score_range", "before", "scores"), [*keys, "score_range"], "left")
+    less = F.aggregate(F.filter("scores", lambda s: s["score"] < -F.col("yhat")), F.lit(0).cast("long"), lambda a, s: a + s["m"])
+    smaller = F.coalesce("before", F.lit(0)) + F.coalesce(less, F.lit(0))
     p = F.coalesce((smaller + 1) / (F.col("n") + 1), F.lit(1.0))
-    return joined.withColumn("p", p).withColumn("confidence", confidence(F.col("p"))).drop("scores", "n")
+    scored = joined.withColumn("p", p).withColumn("confidence", confidence(F.col("p")))
+    return scored.select(*(c for c in stream.columns if c not in ("p", "confidence")), "p", "confidence")
