@@ -4,9 +4,12 @@ Every DOM node gets its characters per tag, adjusted for the share of link text
 (composite text density); a node's density sum adds its children's densities.
 The node of the greatest sum is the main content's root; the least density on
 its path from the body is the threshold above which other subtrees count as
-content too. Nodes whose tag, role, class or id says menu, footer, advert and so
-on are taken out before densities are computed, as are scripts, styles, forms
-and comments.
+content too; a leaf's sum is its own density, and a leaf beside the content (or
+beside a node around it) counts from HALF the mean of the content's blocks, an h1
+at any density. Nodes whose tag, role, class or id says menu, footer, advert and so
+on are taken out before densities are computed, as are scripts, styles, forms and
+comments; but no class or id takes out what holds main or else the longest
+article, or on a page without either MOST of the text.
 
 Pages are parsed one per row (mapInArrow, no shuffle), with explicit stacks, so
 deep nesting costs no recursion. Defined cases: null, empty or text-free html
@@ -34,6 +37,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead topbar cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments commentlist respond reply replies disqus widget toolbar pagination pager".split()
 )
+#: Share of the page's text that no class or id can take out.
+MOST = 0.75
+#: A leaf beside the content belongs to it from this share of the content's mean density.
+HALF = 0.5
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 _P_STAYS_IN = frozenset("article aside body button caption div td th table section main li object html".split())
@@ -46,7 +53,7 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.drop = ["#page"], [-1], [False]
+        self.tag, self.parent, self.drop, self.mark = ["#page"], [-1], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []  # (node, text); None: a block's edge
         self.open, self.live = [0], Counter()  # tags that are open, to pass over what can't be closed
 
@@ -77,7 +84,8 @@ class _Tree(HTMLParser):
         inside = self.live["article"] > 0 or self.live["main"] > 0
         self.tag.append(tag)
         self.parent.append(up)
-        self.drop.append(self.drop[up] or tag in DROPPED or tag == "header" and not inside or _marked(tag, attrs))
+        self.drop.append(self.drop[up] or tag in DROPPED or tag == "header" and not inside or _hidden(tag, attrs))
+        self.mark.append(_marked(tag, attrs, inside))
         if tag in VOID:
             self.pieces.append((up, " "))
         else:
@@ -105,15 +113,41 @@ class _Tree(HTMLParser):
         self.pieces.append((self.open[-1], data))
 
 
-def _marked(tag: str, attrs) -> bool:
+def _hidden(tag: str, attrs) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
-    for k, v in attrs:
-        if k in ("class", "id") and v and not MARKS.isdisjoint(_SPLIT.split(v.lower())):
-            return True
-        if k == "role" and (v or "").lower() in ROLES or k == "hidden" or k == "aria-hidden" and (v or "").lower() == "true":
-            return True
-    return False
+    return any(k == "role" and (v or "").lower() in ROLES or k == "hidden" or k == "aria-hidden" and (v or "").lower() == "true" for k, v in attrs)
+
+
+def _marked(tag: str, attrs, inside: bool) -> bool:
+    """Whether a class or id speaks against the node; inside an article a header is its own, as the tag is."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    marks = {x for k, v in attrs if k in ("class", "id") and v for x in _SPLIT.split(v.lower())} & MARKS
+    return bool(marks - {"header"} if inside else marks)
+
+
+def drop_marked(tree: _Tree) -> None:
+    """Drops marked nodes, but for those that hold main or else the longest article, or on a page without them most of the text."""
+    n = len(tree.tag)
+    chars = [0] * n
+    for i, s in tree.pieces:
+        if s and not tree.drop[i]:
+            chars[i] += len(_SPACE.sub("", s))
+    for i in range(n - 1, 0, -1):
+        if not tree.drop[i]:
+            chars[tree.parent[i]] += chars[i]
+    live = [i for i in range(n) if chars[i] and not tree.drop[i]]
+    held = [i for i in live if tree.tag[i] == "main"] or sorted((i for i in live if tree.tag[i] == "article"), key=lambda i: (-chars[i], i))[:1]
+    most = math.inf if held else MOST * chars[0]
+    kept = set()
+    for i in held:
+        while i > 0 and i not in kept:
+            kept.add(i)
+            i = tree.parent[i]
+    for i in range(1, n):
+        aside = tree.mark[i] and i not in kept and chars[i] < most
+        tree.drop[i] = tree.drop[i] or tree.drop[tree.parent[i]] or aside
 
 
 def densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
@@ -149,6 +183,8 @@ def densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
             b = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             x = c / max(1, lc) * t / max(1, link_tags[i])
             density[i] = c / t * math.log(max(1.0, x)) / (1.0 + math.log(b))
+        if counts[i] and not total[i]:
+            total[i] = density[i]  # a leaf's sum is its own density
         if i:
             if counts[i]:
                 total[tree.parent[i]] += density[i]
@@ -185,6 +221,12 @@ def main_nodes(tree: _Tree) -> set[int]:
     if tree.tag[i] in ("article", "main"):
         best = i  # the content root is lifted to the article that it lies in
     chosen, stack = {best}, [body]
+    beside = HALF * total[best] / max(1, sum(density[k] > 0 for k in below[best]))
+    i = body if tree.tag[best] in ("article", "main") else best
+    while i != body:  # short blocks beside the content: its title, and leaves nearly as dense as its own
+        i = tree.parent[i]
+        leaves = [k for k in below[i] if tree.tag[k] in BLOCK and total[k] == density[k] and chars[k] and not tree.drop[k]]
+        chosen.update(k for k in leaves if tree.tag[k] == "h1" or density[k] >= beside)
     while stack:
         i = stack.pop()
         if i in chosen or density[i] < threshold:
@@ -202,6 +244,7 @@ def extract(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    drop_marked(tree)
     chosen = main_nodes(tree)
     inside = [False] * len(tree.tag)
     for i in range(len(tree.tag)):

@@ -172,6 +172,24 @@ def test_main_text(html, text):
     assert text_density.extract(html) == text
 
 
+LEAD, BODY = "a lead that says at some length what follows below it here " * 3, "many words of body text that go on and on for a while " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div><h1>Title</h1><p class=lead>{LEAD}</p><div class=body>{f'<p>{BODY}</p>' * 5}</div></div></body>", ["Title", LEAD, *[BODY] * 5]),
+        ("<body><div class='content has-sidebar'><article><h1>T</h1><p>Some text.</p></article></div></body>", ["T", "Some text."]),
+        ("<body><div id='header-fixed-page'><div><main><p>Some text.</p></main></div><div class='sidebar'>x</div></div></body>", ["Some text."]),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>Some text.</p><div class='share'>tell all</div></article>", ["T", "Some text."]),
+        (f"<body><div class='page-with-sidebar'>{f'<p>{BODY}</p>' * 3}</div><p class=footer>short foot</p></body>", [BODY] * 3),
+        (f"<body><main><p>{BODY}</p></main><div class=related><article><p>another story</p></article></div></body>", [BODY]),
+    ],
+)
+def test_marks_and_leaves_lose_no_content(html, text):
+    assert text_density.extract(html) == "\n".join(x.strip() for x in text)
+
+
 def test_main_text_of_pages(spark, data):
     """Against the pages' own template: the article's h1 and p blocks."""
     import html as h
