@@ -44,19 +44,26 @@ _CHUNK = 1 << 16
 _NO_ID = (1 << 63) - 1
 
 
-def simhash64(text: bytes | None) -> int:
-    """Fingerprint of one text: majority bits of its shingles' XXH64."""
+def shingle_hashes(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of the text's shingles of so many words, repeats included; none for a text without words."""
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space alone
     if not words:
-        return 0
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
+        return np.zeros(0, dtype=np.uint64)
+    n, digest = max(1, len(words) - size + 1), xxhash.xxh64_intdigest
+    return np.fromiter((digest(b" ".join(words[i : i + size]), HASH_SEED) for i in range(n)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for lo in range(0, n, _CHUNK):
-        hi = min(n, lo + _CHUNK)
-        h = np.fromiter((digest(b" ".join(words[i : i + SHINGLE_WORDS]), HASH_SEED) for i in range(lo, hi)), np.uint64, hi - lo)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    for lo in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[lo : lo + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def simhash64(text: bytes | None) -> int:
+    """Fingerprint of one text: majority bits of its shingles' XXH64."""
+    return majority(shingle_hashes(text))
 
 
 def _fingerprint_batches(batches):
@@ -245,12 +252,17 @@ def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         labels = new.select("fp", "root")
 
 
+def grouped(prints: DataFrame, tau: int = TAU, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (doc_id, fp): the distinct fingerprints with their smallest doc_id, their links, and the groups of those that have one."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "gph-distinct")
+    pairs = written(linked_pairs(distinct.select("fp"), tau, heavy), "gph-pairs")
+    return distinct, pairs, components(pairs, distinct.select("fp", "low"))
+
+
 def near_duplicate_groups(docs: DataFrame, tau: int = TAU, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links), a row for each row of docs."""
     prints = written(fingerprints(docs), "gph-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "gph-distinct")
-    pairs = written(linked_pairs(distinct.select("fp"), tau, heavy), "gph-pairs")
-    roots = components(pairs, distinct.select("fp", "low"))
+    distinct, pairs, roots = grouped(prints, tau, heavy)
     links = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     classes = distinct.join(roots, "fp", "left").join(links, "fp", "left").select("fp", F.coalesce("root", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")

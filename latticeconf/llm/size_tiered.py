@@ -3,32 +3,36 @@
 append() writes arrivals as small immutable shards (each task writes its own
 rows, at most ARRIVAL_ROWS to a file: no shuffle). compact() puts runs of similar
 size in one tier and merges FAN_IN or more of a tier into files of about
-TARGET_BYTES. Both end by committing a new manifest version: the manifest's
-files are written first, then a commit record of one row, which is one file and
-so one rename. A version without its record doesn't exist: a lost driver or
-executor leaves unreferenced files, never a half-changed table. Readers take the
-highest recorded version, whose shards are never altered.
+TARGET_BYTES. Both write their files first, then a manifest under a name of its
+own, and commit by one rename of a small file that names it to the next version's
+place, which fails if another writer has taken that place. So a driver or executor
+lost at any point leaves unreferenced files, never a half-changed table, and the
+next call goes on from the last version. A writer that loses the race reads the
+new version and tries again: new shards are added to it as they are, a merge only
+if the shards that it replaces are still there (else it is planned anew). Readers
+take the highest version, whose shards are never altered; expire() removes older
+versions and the shards that no kept version has.
 
 Planning works on manifest rows alone (one a shard, in lanes of LANE shards, so
 that no window grows with the table); data moves once for each merge, to the
 task that writes its target file.
 
 Defined cases: an empty append commits a version with the same shards; null
-values are data like others; repeated rows are kept; two writers that race for a
-version: the second one fails on the existing path and may retry; columns of the
-data named like the manifest's don't clash, as the manifest is a table of its
-own.
+values are data like others; repeated rows are kept; ties of run and size are
+ordered by name; columns of the data named like the manifest's don't clash, as the
+manifest is a table of its own.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import claim, names_in, note_at, removed, shared_dir, written
 
 ARRIVAL_ROWS = 8192
 TARGET_BYTES = 64 << 20
@@ -41,26 +45,28 @@ MANIFEST = "shard string, tier int, n_rows long, n_bytes long, run long"
 
 
 class ShardedTable:
-    """A table of shards below root: data/, manifest/v=K and commits/v=K."""
+    """A table of shards below root: data/, manifests/ and commits/VERSION."""
 
     def __init__(self, spark: SparkSession, root: str, arrival_rows: int = ARRIVAL_ROWS, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.root = spark, root.rstrip("/")
         self.arrival_rows, self.target_bytes, self.fan_in = arrival_rows, target_bytes, fan_in
 
+    def versions(self) -> list[int]:
+        """Committed versions that haven't been removed."""
+        return [int(x) for x in names_in(self.spark, f"{self.root}/commits")]
+
     def version(self) -> int:
         """The highest committed version; 0 before the first commit."""
-        try:
-            return self.spark.read.schema("version long").parquet(f"{self.root}/commits").agg(F.max("version")).collect()[0][0] or 0
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+        return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
         if not v:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v={v}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{note_at(self.spark, self._place(v))}")
+
+    def _place(self, version: int) -> str:
+        return f"{self.root}/commits/{version:010d}"
 
     def read(self, schema, version: int | None = None) -> DataFrame:
         """Rows of a committed version."""
@@ -77,11 +83,14 @@ class ShardedTable:
         keep = shards.select(F.col("shard").alias("_shard"))
         return rows.withColumn("_shard", name).join(F.broadcast(keep) if few else keep, "_shard", "left_semi")
 
-    def _commit(self, shards: DataFrame, base: int) -> int:
-        v = base + 1
-        shards.select(*(f.split()[0] for f in MANIFEST.split(", "))).write.parquet(f"{self.root}/manifest/v={v}")
-        self.spark.range(v, v + 1, 1, 1).select(F.col("id").alias("version")).write.parquet(f"{self.root}/commits/v={v}")
-        return v
+    def _commit(self, shards: DataFrame, base: int) -> int | None:
+        """The new version with these shards; None if another writer has made it meanwhile."""
+        name = f"{base + 1:010d}-{uuid.uuid4().hex}"
+        shards.select(*(f.split()[0] for f in MANIFEST.split(", "))).write.parquet(f"{self.root}/manifests/{name}")
+        if claim(self.spark, self._place(base + 1), name):
+            return base + 1
+        removed(self.spark, f"{self.root}/manifests/{name}")
+        return None
 
     def _written(self, rows: DataFrame, folder: str, run: int) -> DataFrame:
         """Writes rows and describes the new files."""
@@ -98,9 +107,10 @@ class ShardedTable:
     def append(self, rows: DataFrame) -> int:
         """Adds rows as new small shards; returns the committed version."""
         base = self.version()
-        old = self.manifest(base)
         new = self._written(rows, f"a{base + 1:08d}-{uuid.uuid4().hex[:8]}", base + 1)
-        return self._commit(old.unionByName(new), base)
+        while not (v := self._commit(self.manifest(base).unionByName(new), base)):
+            base = self.version()
+        return v
 
     def plan(self, shards: DataFrame) -> DataFrame:
         """(shard, lane, grp, k, b) for the shards that are to be merged now: their group, its shards and bytes.
@@ -126,7 +136,7 @@ class ShardedTable:
         """
         base = self.version()
         shards = self.manifest(base)
-        todo = self.plan(shards).select("shard", "lane", "grp")
+        todo = written(self.plan(shards).select("shard", "lane", "grp"), "shard-plan")
         groups = todo.select("lane", "grp").distinct()  # one row a target file
         n = groups.count()
         if not n:
@@ -135,26 +145,54 @@ class ShardedTable:
         first = groups.groupBy("lane").agg(F.count(F.lit(1)).alias("size")).select("lane", F.coalesce(before, F.lit(0)).alias("first"))
         within = F.row_number().over(Window.partitionBy("lane").orderBy("grp")) - 1
         numbered = groups.withColumn("within", within).join(first, "lane").select("grp", (F.col("first") + F.col("within")).cast("int").alias("place"))
-        todo = todo.join(numbered, "grp").select("shard", "place")
-        few = todo.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+        todo = written(todo.join(numbered, "grp").select("shard", "place"), "shard-places")
+        merged = todo.count()
         plan = todo.select(F.col("shard").alias("_shard"), F.col("place").alias("_place"))
-        rows = self._shards(schema, todo).join(F.broadcast(plan) if few else plan, "_shard").drop("_shard")
+        rows = self._shards(schema, todo).join(F.broadcast(plan) if merged <= BROADCAST_SHARDS else plan, "_shard").drop("_shard")
         new = self._written(rows.repartitionById(n, "_place").drop("_place"), f"m{base + 1:08d}-{uuid.uuid4().hex[:8]}", -(base + 1))
-        return self._commit(shards.join(todo, "shard", "left_anti").unionByName(new), base)
-
-    def settle(self, schema, most: int = 16) -> int:
-        """compact() until nothing is left to merge."""
-        for _ in range(most):
-            if self.compact(schema) is None:
-                break
+        while shards.join(todo, "shard", "left_semi").count() == merged:
+            if v := self._commit(shards.join(todo, "shard", "left_anti").unionByName(new), base):
+                return v
+            base = self.version()
+            shards = self.manifest(base)
+        return self.compact(schema)  # another writer has merged some of these shards
+
+    def settle(self, schema, keep: int | None = None) -> int:
+        """compact() until nothing is left to merge, which ends as each merge leaves fewer shards; keep: as for expire()."""
+        while self.compact(schema) is not None:
+            if keep:
+                self.expire(keep)
         return self.version()
 
+    def expire(self, keep: int = 1) -> None:
+        """Removes all but the latest versions, and their shards and manifests that no kept version has.
+
+        Commits go first, so that no version is left without its shards. Only
+        metadata passes the driver, a row at a time. Not while readers use an old version.
+        """
+        kept = self.versions()[-keep:]
+        old = [v for v in self.versions() if v not in kept]
+        if not old:
+            return
+        live = written(reduce(DataFrame.unionByName, map(self.manifest, kept)).select("shard").distinct(), "shards-live")
+        dead = written(reduce(DataFrame.unionByName, map(self.manifest, old)).select("shard").distinct().join(live, "shard", "left_anti"), "shards-dead")
+        folders = {r[0] for r in live.select(F.substring_index("shard", "/", 1)).distinct().collect()}
+        for v in old:
+            name = note_at(self.spark, self._place(v))
+            removed(self.spark, self._place(v))
+            removed(self.spark, f"{self.root}/manifests/{name}")
+        whole = {r[0] for r in dead.select(F.substring_index("shard", "/", 1)).distinct().collect()} - folders  # one a commit
+        for folder in sorted(whole):
+            removed(self.spark, f"{self.root}/data/{folder}")
+        for r in dead.where(~F.substring_index("shard", "/", 1).isin(*whole)).toLocalIterator():
+            removed(self.spark, f"{self.root}/data/{r['shard']}")
+
 
 def shard(docs: DataFrame, arrival_rows: int = ARRIVAL_ROWS, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardedTable:
-    """docs appended to a new table in the shared folder and compacted."""
+    """docs appended to a new table in the shared folder and compacted; superseded shards are removed."""
     t = ShardedTable(docs.sparkSession, shared_dir(docs.sparkSession, "shards"), arrival_rows, target_bytes, fan_in)
     t.append(docs)
-    t.settle(docs.schema)
+    t.settle(docs.schema, keep=1)
     return t
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticeconf.llm import poisson_mix, queries, simhash_gph, size_tiered, template_decontam, token_rollup, weak_quality
+from latticeconf.llm import common, near_copies, poisson_mix, queries, simhash_gph, size_tiered, template_decontam, token_rollup, weak_quality
 
 from .brute import fingerprint, groups, quality_base
 
@@ -170,6 +170,48 @@ def test_no_link_is_lost_beyond_two_bits(spark, tau):
         assert {tuple(r) for r in simhash_gph.linked_pairs(df, tau, plan=plan).collect()} == want
 
 
+def near_pairs(texts):
+    """All pairs at a five-word Jaccard of 0.8, by comparing all."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return {i: {j for j in sets if i != j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0)} for i in sets}
+
+
+def near_copy_groups(texts):
+    """The smallest doc_id of each group."""
+    near, want, seen = near_pairs(texts), set(), set()
+    for i in sorted(near):
+        if i not in seen:
+            want.add(i)
+            todo = [i]
+            while todo:
+                if (j := todo.pop()) not in seen:
+                    seen.add(j)
+                    todo += near[j]
+    return want
+
+
+def test_shared_passages_split_by_further_bands(spark):
+    """Sets that share a passage crowd keys without being similar; the similar pairs among them are still linked."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(40):
+        own = [f"o{i}-{k}" for k in range(22)]
+        texts[2 * i] = " ".join(passage + own)
+        at = rng.randrange(22)
+        texts[2 * i + 1] = " ".join(passage + own[:at] + ["x"] + own[at + 1 :])
+    got = {}
+    for r in near_copies.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r["doc_id"]] = r["component_id"]
+    near = near_pairs(texts)
+    for i in texts:
+        assert got[i] in near[i] | {i}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(40)) >= 39
+
+
 def test_pipeline_drops_copies_at_similarity(spark, docs):
     """No kept pair at a five-word Jaccard of 0.8, none dropped without a chain of such links; keys of more sets than are expanded."""
     import corpus_pipeline
@@ -185,20 +227,7 @@ def test_pipeline_drops_copies_at_similarity(spark, docs):
     made = spark.createDataFrame([*crowd, (None, " ".join(words)), (2000, None), (2001, " "), (2002, "one two")], "doc_id long, text string")
     df = docs.select("doc_id", "text").unionByName(made)
     texts = {(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is not None}
-    sets = {}
-    for i, t in texts:
-        w = (t or "").lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    near = {i: {j for j in sets if i != j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0)} for i in sets}
-    want, seen = set(), set()
-    for i in sorted(sets):
-        if i not in seen:
-            want.add(i)
-            todo = [i]
-            while todo:
-                if (j := todo.pop()) not in seen:
-                    seen.add(j)
-                    todo += near[j]
+    near, want = near_pairs(dict(texts)), near_copy_groups(dict(texts))
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     named = {i for i in kept if i is not None}
     assert kept.count(None) == 1 and not any(near[i] & named for i in named) and named >= want
@@ -275,11 +304,78 @@ def test_shards_hold_each_row_once(spark, docs, tmp_path):
 
 
 def test_uncommitted_versions_do_not_exist(spark, docs, tmp_path):
+    """Whatever a lost writer has left behind, the table is as it was and takes the next append."""
     t = size_tiered.ShardedTable(spark, f"{tmp_path}/t")
     t.append(docs.limit(20))
-    docs.limit(5).write.parquet(f"{tmp_path}/t/data/a00000002-lost")
-    t.manifest(1).write.parquet(f"{tmp_path}/t/manifest/v=7")  # its commit record is missing
+    docs.limit(5).write.parquet(f"{tmp_path}/t/data/a00000002-lost")  # lost after the data
+    t.manifest(1).write.parquet(f"{tmp_path}/t/manifests/0000000002-lost")  # lost after the manifest
+    os.makedirs(f"{tmp_path}/t/commits", exist_ok=True)
+    with open(f"{tmp_path}/t/commits/_lost", "w") as f:  # lost before the rename
+        f.write("0000000002-lost")
     assert t.version() == 1 and t.read(docs.schema).count() == 20
+    assert t.append(docs.limit(7)) == 2 and t.read(docs.schema).count() == 27
+
+
+def test_writers_that_race_for_a_version(spark, docs, tmp_path, monkeypatch):
+    """The later commit goes on from the earlier one's version; no row is lost or doubled."""
+    a, b = (size_tiered.ShardedTable(spark, f"{tmp_path}/t", arrival_rows=5, target_bytes=100_000, fan_in=2) for _ in "ab")
+    a.append(docs.limit(40))
+    real = size_tiered.ShardedTable._commit
+
+    def beaten(self, shards, base, other):
+        monkeypatch.setattr(size_tiered.ShardedTable, "_commit", real)
+        other()
+        return real(self, shards, base)
+
+    for write, other in ((lambda: a.append(docs.limit(10)), lambda: b.append(docs.limit(3))), (lambda: a.compact(docs.schema), lambda: b.append(docs.limit(2))), (lambda: a.append(docs.limit(4)), lambda: b.compact(docs.schema)), (lambda: a.compact(docs.schema), lambda: b.settle(docs.schema))):
+        before, n = a.version(), a.read(docs.schema).count()
+        monkeypatch.setattr(size_tiered.ShardedTable, "_commit", lambda self, shards, base, other=other: beaten(self, shards, base, other))
+        write()
+        assert a.version() > before + 1 or n == 59
+    assert a.read(docs.schema).count() == 40 + 10 + 3 + 2 + 4
+    assert a.versions() == list(range(1, a.version() + 1))
+
+
+def test_claims_are_made_once(spark, tmp_path):
+    assert common.claim(spark, f"{tmp_path}/x/1", "one") and not common.claim(spark, f"{tmp_path}/x/1", "two")
+    assert common.note_at(spark, f"{tmp_path}/x/1") == "one" and common.names_in(spark, f"{tmp_path}/x") == ["1"]
+    assert common.names_in(spark, f"{tmp_path}/none") == [] and not common.exists(spark, f"{tmp_path}/x/2")
+
+
+def test_expired_versions_leave_the_last_one_whole(spark, docs, tmp_path):
+    t = size_tiered.ShardedTable(spark, f"{tmp_path}/t", arrival_rows=10, target_bytes=300_000, fan_in=3)
+    t.append(docs)
+    t.settle(docs.schema)
+    t.append(docs.limit(12))
+    live = {r["shard"] for r in t.manifest().collect()}
+    t.expire()
+    assert t.versions() == [t.version()] and len(os.listdir(f"{tmp_path}/t/manifests")) == 1
+    files = {os.path.relpath(f, f"{tmp_path}/t/data") for f in glob.glob(f"{tmp_path}/t/data/*/*.parquet")}
+    assert files == live and t.read(docs.schema).count() == docs.count() + 12
+
+
+def test_merge_plan_against_a_plain_one(spark, tmp_path):
+    """Groups of a tier in order of age, cut at the target, merged from FAN_IN shards or a full target on."""
+    rng = random.Random(5)
+    t = size_tiered.ShardedTable(spark, f"{tmp_path}/t", target_bytes=1 << 20, fan_in=3)
+    shards = [(f"a/{i:04d}", None, 1, rng.choice([rng.randrange(1, 1 << 17), rng.randrange(1, 1 << 21)]), rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(shards, size_tiered.MANIFEST).withColumn("tier", t._tier(F.col("n_bytes")))
+    tiers = {}
+    for r in df.where(f"n_bytes < {1 << 19}").orderBy("run", "shard").collect():
+        tiers.setdefault(r["tier"], []).append(r)
+    want = set()
+    for rows_ in tiers.values():
+        at, parts = 0, {}
+        for r in rows_:
+            parts.setdefault(at // (1 << 20), []).append(r)
+            at += r["n_bytes"]
+        for p in parts.values():
+            if len(p) >= 3 or len(p) > 1 and sum(r["n_bytes"] for r in p) >= 1 << 20:
+                want.add(frozenset(r["shard"] for r in p))
+    got = {}
+    for r in t.plan(df).collect():
+        got.setdefault(r["grp"], set()).add(r["shard"])
+    assert set(map(frozenset, got.values())) == want and want
 
 
 def test_shards_of_edge_cases(spark, edge, nothing):
@@ -341,9 +437,8 @@ def test_pipeline_stage_by_stage(spark, data):
     stages = dict(p.STAGES)
     kept = stages["language ID"](spark, docs, data)
     assert kept.columns == docs.columns and kept.count() >= 0.97 * docs.count()
-    want = groups([(r["doc_id"], fingerprint(r["text"])) for r in kept.select("doc_id", "text").collect()])
     single = stages["SimHash near-dedup"](spark, kept, data)
-    assert rows(single, "doc_id") == sorted(((c,) for c in {c for _, _, c in want}), key=key)
+    assert rows(single, "doc_id") == [(i,) for i in sorted(near_copy_groups({r["doc_id"]: r["text"] for r in kept.collect()}))]
     clean = stages["benchmark decontamination"](spark, single, data)
     bench = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     dirty = {r["doc_id"] for r in single.collect() if any(" ".join(b.split()) in " ".join((r["text"] or "").split()) for b in bench)}
