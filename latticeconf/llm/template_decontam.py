@@ -1,25 +1,30 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, capitalised names and units become typed placeholders; windows of five
-template tokens of documents and of benchmark items are joined by hash. An item
+Numbers, runs of capitalised words and units become typed placeholders; windows of
+five template tokens of documents and of benchmark items are joined by hash. An item
 is found in a document that holds CONTAIN of its windows. The slots' raw values
-are then compared: an item's value that turns up changed must have changed the
-same way wherever it stands, which tells a re-parameterised question from texts
-that merely share phrases.
-
-Scale. One pass turns each document into window hashes (JVM expressions only) and
-joins them to the benchmark's, which are broadcast if there are at most
-BROADCAST_WINDOWS of them and shuffled otherwise. Only documents that hold
-enough of an item's windows are read again for the slot check. Nothing groups by
-window, so a passage that many documents share meets only as counts by document
-and item.
+are then compared: a name that turns up changed must have changed the same way
+wherever it stands, and the number or unit of each place must be one and the same in
+all windows over that place, which tells a re-parameterised question from texts
+that merely share phrases. Names can't be told once the case has changed, so a
+second form of both sides, in lower case and with placeholders for numbers and units
+alone, finds copies of another case.
+
+Scale. One pass turns each document into window strings (native expressions on the
+row, no shuffle) and joins their hashes to the benchmark's: broadcast up to
+BROADCAST_WINDOWS windows, beyond that shuffled, after a broadcast of the bare
+hashes (8 bytes each, up to BROADCAST_HASHES) has dropped all others. Only documents
+that hold enough of an item's windows are read again for the slot check. Nothing
+groups by window, so a passage that many documents share meets only as counts by
+document and item.
 
 Defined cases: null text has no tokens and is never found; rows of one doc_id
 count as one document, and rows without a doc_id can't be named and stay out of
-the report (and in the data when filtering); an item of fewer than five tokens is
-found only where a document is that same sequence; an item with no window of
-LITERALS plain tokens uses all its windows; ties between items are all reported;
-extra columns are ignored; an empty table on either side finds nothing.
+the report (and in the data when filtering); an item of SHORT lower-case tokens is
+found wherever they stand in a row, one of fewer only where a document is that same
+sequence; an item with no window of LITERALS plain tokens uses all its windows; ties
+between items are all reported; extra columns are ignored; an empty table on
+either side finds nothing.
 """
 
 from __future__ import annotations
@@ -27,125 +32,178 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import written
 
 WINDOW = 5
+#: Lengths of items under WINDOW that are looked for inside documents.
+SHORT = (3, 4)
 CONTAIN = 0.8
 LITERALS = 3
-#: Share of an item's slot values that may change in more than one way.
+#: Share of an item's slots that may change in more than one way.
 INCONSISTENT = 0.2
 BROADCAST_WINDOWS = 200_000
+BROADCAST_HASHES = 4_000_000
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Unit words that become a placeholder after a number.
-UNITS = "km cm mm kg mg lb lbs oz ml mph kph hz khz mhz ghz kb mb gb tb usd eur gbp percent dollars dollar euros euro cents cent pounds pound meters meter metres metre miles mile feet foot inches inch hours hour minutes minute seconds second days day weeks week months month years year grams gram kilograms liters liter litres litre degrees".split()
-_TOKEN_BREAK = rf"[^\p{{L}}\p{{N}}{NUM}{NAME}{UNIT}]+"
-_NAMED = r"\p{Lu}[\p{L}\p{N}]*"
-_NUMBER = r"\p{N}[\p{L}\p{N}]*"
-_UNITS = rf"{NUM}( ?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})([^\p{{L}}\p{{N}}]|$)"
-
-
-def raw_tokens(text: Column) -> Column:
-    return F.array_remove(F.split(text, _TOKEN_BREAK), "")
-
-
-def template_tokens(text: Column) -> Column:
-    """Tokens as in raw_tokens, one for one, in template form."""
-    t = F.regexp_replace(text, _NAMED, NAME)
-    t = F.regexp_replace(t, _NUMBER, NUM)
-    t = F.lower(F.regexp_replace(t, _UNITS, f"{NUM}$1{UNIT}$2"))
-    return raw_tokens(t)
-
-
-def _starts(tokens: Column) -> Column:
-    """0 .. n - WINDOW; 0 alone for shorter texts, nothing for empty ones."""
-    n = F.size(tokens)
-    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - WINDOW)))
-
-
-def _hashes(tokens: Column) -> Column:
-    """A 64-bit hash for each window; each token is hashed once."""
-    of = lambda h: F.transform(_starts(h), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)), F.least(F.size(h), F.lit(WINDOW))))
-    return let(F.transform(tokens, lambda x: F.xxhash64(x)), of)
-
-
-def window_hashes(docs: DataFrame, key: str) -> DataFrame:
-    """(key, at, h): a row for each window of each text."""
-    one = docs.select(key, _hashes(template_tokens(F.col("text"))).alias("hs"))
-    return one.select(key, F.posexplode("hs").alias("at", "h"))
-
-
-def windows_with_values(docs: DataFrame, key: str) -> DataFrame:
-    """(key, at, h, t, r): windows with their template tokens and raw tokens."""
-    both = docs.select(key, template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("r"))
-    cut = lambda x: F.transform(_hashes(x["t"]), lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.slice(x["t"], i + 1, WINDOW).alias("t"), F.slice(x["r"], i + 1, WINDOW).alias("r")))
-    return both.select(key, F.explode(let(F.struct("t", "r"), cut)).alias("w")).select(key, "w.*")
+UNITS = "km cm mm kg mg lb lbs oz ml mph kph hz khz mhz ghz kb mb gb tb usd eur gbp percent dollars dollar euros euro cents cent pounds pound meters meter metres metre kilometers kilometer kilometres kilometre centimeters centimetres miles mile feet foot inches inch hours hour minutes minute seconds second days day weeks week months month years year grams gram kilograms kilogram liters liter litres litre degrees degree".split()
+_NAMED = r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*"
+_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
+_BREAK = rf"[^\p{{L}}\p{{N}}{NUM}{NAME}]+"
+_VALUE = rf"([{NUM}{NAME}])[^ ]*"
+_SLOT = f"[{NUM}{NAME}{UNIT}]"
+_UNITS = rf"{NUM} (?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})( |$)"
+#: The forms: 0 with names, 1 in lower case without; windows of form 1 have a separator of their own, so that hashes differ.
+FORMS = (0, 1)
+_BETWEEN = (" ", "\x1f")
+
+
+def _source(text: Column, form: int) -> Column:
+    """The text that a form starts from, without characters that stand for placeholders."""
+    clean = F.translate(text, NUM + NAME + UNIT, "   ")
+    return F.lower(clean) if form else clean
+
+
+def template(text: Column, form: int) -> Column:
+    """The text's template tokens, joined by spaces."""
+    t = _source(text, form)
+    if not form:
+        t = F.regexp_replace(t, _NAMED, f" {NAME} ")
+    t = F.lower(F.regexp_replace(t, _NUMBER, f" {NUM} "))
+    return _with_units(F.trim(F.regexp_replace(t, _BREAK, " ")))
+
+
+def _with_units(t: Column) -> Column:
+    return F.regexp_replace(t, _UNITS, f"{NUM} {UNIT}$1")
+
+
+def valued(text: Column, form: int) -> Column:
+    """As template() before units, with each placeholder followed by its value in lower case; spaces in it become _."""
+    slot, t = _NUMBER if form else f"{_NAMED}|{_NUMBER}", _source(text, form)
+    mark = lambda v: F.when(v.rlike(r"^\p{N}"), NUM).otherwise(NAME)
+    said = lambda v: F.coalesce(F.concat(F.lit(" "), mark(v), F.translate(F.lower(v), " ", "_"), F.lit(" ")), F.lit(""))
+    pieces = F.arrays_zip(F.split(t, slot).alias("p"), F.regexp_extract_all(t, F.lit(slot), F.lit(0)).alias("v"))
+    whole = F.array_join(F.transform(pieces, lambda z: F.concat(F.regexp_replace(F.lower(z["p"]), _BREAK, " "), said(z["v"]))), "")
+    return F.trim(F.regexp_replace(whole, " +", " "))
+
+
+def _grams(t: Column, n: int, form: int) -> Column:
+    """All runs of n tokens of a template, joined by the form's separator."""
+    sep = _BETWEEN[form]
+    run = rf"(?=([^{sep}]++(?:{sep}[^{sep}]++){{{n - 1}}}))[^{sep}]+"
+    return F.regexp_extract_all(t, F.lit(run), F.lit(1))
+
+
+def _windows(text: Column, form: int, short: list[int]) -> Column:
+    """Window strings of a text: runs of WINDOW tokens, or the whole of a shorter text; in form 1 runs of the short lengths as well."""
+    t = F.translate(template(text, form), " ", _BETWEEN[form])
+    found = F.concat(_grams(t, WINDOW, form), F.when((t != "") & (F.size(F.split(t, _BETWEEN[form])) < WINDOW), F.array(t)).otherwise(F.array().cast("array<string>")))
+    spare = lambda n: lambda w: F.length(w) - F.length(F.translate(w, NUM + UNIT, "")) <= n - LITERALS
+    return F.concat(found, *(F.filter(_grams(t, n, form), spare(n)) for n in short)) if form and short else found
+
+
+def window_hashes(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
+    """(key, h): a row for each window of each text in either form."""
+    both = F.concat(*(_windows(F.col("text"), form, short) for form in FORMS))
+    return docs.select(key, F.explode(both).alias("w")).select(key, F.xxhash64("w").alias("h"))
+
+
+def windows_with_values(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
+    """(key, form, at, size, h, t, r): windows with their template tokens and values."""
+    out = None
+    for form in FORMS:
+        one = docs.select(key, valued(F.col("text"), form).alias("v")).where("v <> ''")
+        one = one.select(key, F.split(_with_units(F.regexp_replace("v", _VALUE, "$1")), " ").alias("t"), F.split("v", " ").alias("r"))
+        size = F.least(F.size("t"), F.lit(WINDOW))
+        for n in [size, *(map(F.lit, short) if form else ())]:
+            starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n))
+            w = one.select(key, "t", "r", n.alias("size"), F.explode(starts).alias("at"))
+            kept = F.lit(True) if n is size else F.size(F.filter("t", lambda x: ~x.rlike(_SLOT))) >= LITERALS
+            w = w.select(key, F.lit(form).alias("form"), "at", "size", *(F.slice(c, F.col("at") + 1, F.col("size")).alias(c) for c in ("t", "r")))
+            w = w.where(kept).withColumn("h", F.xxhash64(F.array_join("t", _BETWEEN[form])))
+            out = w if out is None else out.unionByName(w)
+    return out
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of items that take part in the join: (item_id, at, h, t, r, n_item_windows)."""
+    """Windows of items that take part in the join: (item_id, form, at, size, h, t, r, n_tokens, n_item_windows)."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    w = windows_with_values(items, "item_id")
-    plain = F.size(F.filter("t", lambda x: ~x.rlike(f"[{NUM}{NAME}{UNIT}]")))
-    w = w.withColumn("plain", plain)
-    rich = w.groupBy("item_id").agg(F.max("plain").alias("most"))
-    w = w.join(rich, "item_id").where(f"plain >= {LITERALS} OR most < {LITERALS}").drop("plain", "most")
-    n = w.groupBy("item_id").agg(F.countDistinct("h").alias("n_item_windows"))
-    return w.join(n, "item_id")
+    w = windows_with_values(items, "item_id", [])
+    w = w.withColumn("plain", F.size(F.filter("t", lambda x: ~x.rlike(_SLOT))))
+    rich = w.groupBy("item_id", "form").agg(F.max("plain").alias("most"))
+    w = w.join(rich, ["item_id", "form"]).where(f"plain >= {LITERALS} OR most < {LITERALS}")
+    n = w.groupBy("item_id", "form").agg(F.countDistinct("h").alias("n_item_windows"))
+    return w.drop("most").join(n, ["item_id", "form"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """A row for each document and item that it holds."""
+    key = ["doc_id", "item_id", "form"]
     bench = written(benchmark_windows(benchmark), "decontam-items")
-    keys = bench.groupBy("h", "item_id").agg(F.first("n_item_windows").alias("n_item_windows"))
-    small = keys.limit(broadcast_windows + 1).count() <= broadcast_windows
-    aside = F.broadcast if small else (lambda x: x)
+    short = sorted(r["size"] for r in bench.where(f"form = 1 AND plain >= {LITERALS}").where(F.col("size").isin(*SHORT)).select("size").distinct().collect())  # two numbers at most
+    keys = bench.groupBy("h", "item_id", "form").agg(F.first("n_item_windows").alias("n_item_windows"))
+    n_keys = keys.limit(broadcast_hashes + 1).count()
+    aside = F.broadcast if n_keys <= broadcast_windows else (lambda x: x)
+    first = F.broadcast(keys.select("h").distinct()) if broadcast_windows < n_keys <= broadcast_hashes else None
+    known = lambda w: w if first is None else w.join(first, "h", "left_semi")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = window_hashes(texts, "doc_id").join(aside(keys), "h").groupBy("doc_id", "item_id", "n_item_windows").agg(F.countDistinct("h").alias("n_windows"))
+    hits = known(window_hashes(texts, "doc_id", short)).join(aside(keys), "h").groupBy(*key, "n_item_windows").agg(F.countDistinct("h").alias("n_windows"))
     held = written(hits.where(F.col("n_windows") >= F.lit(contain) * F.col("n_item_windows")), "decontam-held")
-    if not held.take(1):
-        return held.select("doc_id", "item_id", "n_windows", "n_item_windows", F.lit(0.0).alias("containment"), *(F.lit(0).cast("long").alias(c) for c in ("n_verbatim", "n_slots", "n_inconsistent")), F.lit("").alias("kind"))
-    again = windows_with_values(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    ours = bench.select("item_id", F.col("at").alias("item_at"), "h", F.col("r").alias("item_r"), F.col("t").alias("item_t"))
-    pairs = again.select("doc_id", F.col("at").alias("doc_at"), "h", "r").join(aside(ours), "h").join(held.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    again = windows_with_values(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", short)
+    ours = bench.select("item_id", "form", F.col("at").alias("item_at"), "h", F.col("r").alias("item_r"), F.col("t").alias("item_t"))
+    pairs = again.select("doc_id", "form", F.col("at").alias("doc_at"), "h", "r").join(aside(ours), ["h", "form"]).join(held.select(*key), key, "left_semi")
     pairs = written(pairs, "decontam-pairs")
-    same = F.lower(F.concat_ws(" ", "r")) == F.lower(F.concat_ws(" ", "item_r"))
-    verbatim = pairs.where(same).groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_verbatim"))
+    verbatim = pairs.where(F.array_join("r", " ") == F.array_join("item_r", " ")).groupBy(*key).agg(F.countDistinct("h").alias("n_verbatim"))
     # a template that an item repeats meets itself at several places: of these the
     # one in line with most other windows of the item counts
     lined = pairs.withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    support = lined.groupBy("doc_id", "item_id", "shift").agg((-F.countDistinct("item_at")).alias("against"))
+    support = lined.groupBy(*key, "shift").agg((-F.countDistinct("item_at")).alias("against"))
     best = F.min(F.struct("against", "shift", "item_t", "item_r", "r")).alias("b")
-    placed = lined.join(support, ["doc_id", "item_id", "shift"]).groupBy("doc_id", "item_id", "item_at").agg(best).select("doc_id", "item_id", "b.*")
-    slots = F.filter(F.arrays_zip(F.col("item_t"), F.col("item_r"), F.col("r")), lambda x: x["item_t"].rlike(f"[{NUM}{NAME}{UNIT}]"))
-    values = placed.select("doc_id", "item_id", F.explode(slots).alias("s")).groupBy("doc_id", "item_id", F.lower(F.col("s.item_r")).alias("v")).agg(F.countDistinct(F.lower(F.col("s.r"))).alias("ways"))
-    slot = values.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("ways") > 1).alias("n_inconsistent"))
-    out = held.join(verbatim, ["doc_id", "item_id"], "left").join(slot, ["doc_id", "item_id"], "left").na.fill(0, ["n_verbatim", "n_slots", "n_inconsistent"])
+    placed = lined.join(support, [*key, "shift"]).groupBy(*key, "item_at").agg(best).select(*key, "item_at", "b.*")
+    slots = placed.select(*key, "item_at", F.posexplode(F.arrays_zip("item_t", "item_r", "r")).alias("j", "s")).where(F.col("s.item_t").rlike(_SLOT))
+    place = F.when(F.col("s.item_t") == NAME, F.col("s.item_r")).otherwise((F.col("item_at") + F.col("j")).cast("string"))
+    values = slots.groupBy(*key, place.alias("place")).agg(F.countDistinct("s.r").alias("ways"))
+    slot = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("ways") > 1).alias("n_inconsistent"))
+    out = held.join(verbatim, key, "left").join(slot, key, "left").na.fill(0, ["n_verbatim", "n_slots", "n_inconsistent"])
     is_verbatim = F.col("n_verbatim") >= F.lit(contain) * F.col("n_item_windows")
     consistent = F.col("n_inconsistent") <= F.lit(INCONSISTENT) * F.col("n_slots")
-    kind = F.when(is_verbatim, "verbatim").when(consistent, "re-parameterised")
-    return out.withColumn("kind", kind).where("kind IS NOT NULL").select("doc_id", "item_id", "n_windows", "n_item_windows", (F.col("n_windows") / F.col("n_item_windows")).alias("containment"), "n_verbatim", "n_slots", "n_inconsistent", "kind")
+    out = out.withColumn("kind", F.when(is_verbatim, "verbatim").when(consistent, "re-parameterised")).where("kind IS NOT NULL")
+    # of both forms a verbatim finding counts, else that with names
+    named = ["n_windows", "n_item_windows", "n_verbatim", "n_slots", "n_inconsistent", "kind"]
+    out = out.groupBy("doc_id", "item_id").agg(F.min(F.struct(F.col("kind") != "verbatim", "form", *named)).alias("x")).select("doc_id", "item_id", *(f"x.{c}" for c in named))
+    return out.select("doc_id", "item_id", "n_windows", "n_item_windows", (F.col("n_windows") / F.col("n_item_windows")).alias("containment"), "n_verbatim", "n_slots", "n_inconsistent", "kind")
+
+
+def _sql_tokens(form: int) -> str:
+    """SELECT of id, side, u (the text), form, r (tokens with values) and t (template tokens) from d."""
+    clean = f"translate(text, '{NUM}{NAME}{UNIT}', '   ')"
+    source, slot = (f"lower({clean})", _NUMBER) if form else (clean, f"{_NAMED}|{_NUMBER}")
+    said = f"' ' || CASE WHEN regexp_matches(z[2], '^\\p{{N}}') THEN '{NUM}' ELSE '{NAME}' END || replace(lower(z[2]), ' ', '_') || ' '"
+    whole = f"array_to_string(list_transform(list_zip(string_split_regex({source}, '{slot}'), regexp_extract_all({source}, '{slot}', 0)), lambda z: regexp_replace(lower(z[1]), '{_BREAK}', ' ', 'g') || coalesce({said}, '')), '')"
+    return rf"SELECT id, side, u, form, string_split(v, ' ') AS r, string_split(regexp_replace(regexp_replace(v, '{_VALUE}', '\1', 'g'), '{_UNITS}', '{NUM} {UNIT}\1', 'g'), ' ') AS t FROM (SELECT id, side, u, {form} AS form, trim(regexp_replace({whole}, ' +', ' ', 'g')) AS v FROM d) WHERE v <> ''"
 
 
 ORACLE = rf"""
-WITH d AS (SELECT DISTINCT doc_id AS id, text, 0 AS side FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
-           UNION ALL SELECT DISTINCT item_id, text, 1 FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-c AS (SELECT id, side, text, lower(regexp_replace(regexp_replace(regexp_replace(text, '{_NAMED}', '{NAME}', 'g'), '{_NUMBER}', '{NUM}', 'g'), '{_UNITS}', '{NUM}\1{UNIT}\2', 'g')) AS canon FROM d),
-k AS (SELECT id, side, list_filter(string_split_regex(canon, '{_TOKEN_BREAK}'), lambda x: x <> '') AS t, list_filter(string_split_regex(text, '{_TOKEN_BREAK}'), lambda x: x <> '') AS r FROM c),
-w AS (SELECT id, side, unnest(range(1, greatest(2, len(t) - {WINDOW - 2}))) AS i, t, r FROM k WHERE len(t) > 0),
-g AS (SELECT id, side, i, t[i:i + {WINDOW - 1}] AS t, r[i:i + {WINDOW - 1}] AS r FROM w),
-p AS (SELECT id AS item_id, i, t, r, len(list_filter(t, lambda x: NOT regexp_matches(x, '[{NUM}{NAME}{UNIT}]'))) AS plain FROM g WHERE side = 1),
-q AS (SELECT * FROM (SELECT *, max(plain) OVER (PARTITION BY item_id) AS most FROM p) WHERE plain >= {LITERALS} OR most < {LITERALS}),
-b AS (SELECT q.item_id, i, t, r, n AS n_item_windows FROM q JOIN (SELECT item_id, count(DISTINCT t) AS n FROM q GROUP BY 1) USING (item_id)),
-m AS (SELECT g.id AS doc_id, b.item_id, b.n_item_windows, b.t, g.r AS r, b.r AS item_r, b.i AS item_i, g.i - b.i AS shift FROM g JOIN b ON g.side = 0 AND g.t = b.t),
-held AS (SELECT doc_id, item_id, n_item_windows, count(DISTINCT t) AS n_windows,
-         count(DISTINCT t) FILTER (WHERE lower(array_to_string(r, ' ')) = lower(array_to_string(item_r, ' '))) AS n_verbatim
+WITH d AS MATERIALIZED (SELECT *, row_number() OVER () AS u FROM (SELECT DISTINCT doc_id AS id, text, 0 AS side FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+           UNION ALL SELECT DISTINCT item_id, text, 1 FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+k AS MATERIALIZED ({_sql_tokens(0)} UNION ALL {_sql_tokens(1)}),
+lens AS (SELECT DISTINCT len(t) AS n FROM k WHERE side = 1 AND form = 1 AND len(t) IN {SHORT} AND len(list_filter(t, lambda x: NOT regexp_matches(x, '{_SLOT}'))) >= {LITERALS}),
+tok AS (SELECT id, side, u, form, len(t) AS n, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS t, unnest(r) AS r FROM k),
+five AS (SELECT id, side, form, n, i, [t, {', '.join(f'lead(t, {j}) OVER w' for j in range(1, WINDOW))}] AS t, [r, {', '.join(f'lead(r, {j}) OVER w' for j in range(1, WINDOW))}] AS r FROM tok WINDOW w AS (PARTITION BY u, form ORDER BY i)),
+g AS (SELECT id, side, form, i, t, r FROM five WHERE i <= n - {WINDOW - 1} UNION ALL SELECT id, side, form, i, t[1:n], r[1:n] FROM five WHERE n < {WINDOW} AND i = 1
+      UNION ALL SELECT id, side, form, i, t[1:m], r[1:m] FROM five, (SELECT n AS m FROM lens) WHERE side = 0 AND form = 1 AND i <= n - m + 1 AND len(list_filter(t[1:m], lambda x: NOT regexp_matches(x, '{_SLOT}'))) >= {LITERALS}),
+p AS (SELECT id AS item_id, form, i, t, r, len(list_filter(t, lambda x: NOT regexp_matches(x, '{_SLOT}'))) AS plain FROM g WHERE side = 1),
+q AS (SELECT * FROM (SELECT *, max(plain) OVER (PARTITION BY item_id, form) AS most FROM p) WHERE plain >= {LITERALS} OR most < {LITERALS}),
+b AS (SELECT q.item_id, q.form, i, t, r, n AS n_item_windows FROM q JOIN (SELECT item_id, form, count(DISTINCT t) AS n FROM q GROUP BY ALL) c ON q.item_id = c.item_id AND q.form = c.form),
+m AS (SELECT DISTINCT g.id AS doc_id, b.item_id, b.form, b.n_item_windows, b.t, g.r AS r, b.r AS item_r, b.i AS item_i, g.i - b.i AS shift FROM g JOIN b ON g.side = 0 AND g.form = b.form AND g.t = b.t),
+held AS (SELECT doc_id, item_id, form, n_item_windows, count(DISTINCT t) AS n_windows, count(DISTINCT t) FILTER (WHERE r = item_r) AS n_verbatim
          FROM m GROUP BY ALL HAVING count(DISTINCT t) >= {CONTAIN} * n_item_windows),
-x AS (SELECT doc_id, item_id, shift, count(DISTINCT item_i) AS support FROM m GROUP BY ALL),
-y AS (SELECT m.* FROM m SEMI JOIN held USING (doc_id, item_id) JOIN x USING (doc_id, item_id, shift) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, item_i ORDER BY support DESC, shift) = 1),
-s AS (SELECT doc_id, item_id, unnest(range(1, len(t) + 1)) AS j, t, r, item_r FROM y),
-v AS (SELECT doc_id, item_id, lower(item_r[j]) AS v, count(DISTINCT lower(r[j])) AS ways FROM s WHERE regexp_matches(t[j], '[{NUM}{NAME}{UNIT}]') GROUP BY ALL),
-u AS (SELECT doc_id, item_id, count(*) AS n_slots, count(*) FILTER (WHERE ways > 1) AS n_inconsistent FROM v GROUP BY ALL),
-o AS (SELECT h.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_inconsistent, 0) AS n_inconsistent FROM held h LEFT JOIN u USING (doc_id, item_id))
+x AS (SELECT doc_id, item_id, form, shift, count(DISTINCT item_i) AS support FROM m GROUP BY ALL),
+y AS (SELECT m.* FROM m SEMI JOIN held USING (doc_id, item_id, form) JOIN x USING (doc_id, item_id, form, shift) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, form, item_i ORDER BY support DESC, shift) = 1),
+s AS (SELECT doc_id, item_id, form, item_i, unnest(range(1, len(t) + 1)) AS j, t, r, item_r FROM y),
+v AS (SELECT doc_id, item_id, form, CASE WHEN t[j] = '{NAME}' THEN item_r[j] ELSE (item_i + j)::VARCHAR END AS place, count(DISTINCT r[j]) AS ways FROM s WHERE regexp_matches(t[j], '{_SLOT}') GROUP BY ALL),
+u AS (SELECT doc_id, item_id, form, count(*) AS n_slots, count(*) FILTER (WHERE ways > 1) AS n_inconsistent FROM v GROUP BY ALL),
+o AS (SELECT h.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_inconsistent, 0) AS n_inconsistent FROM held h LEFT JOIN u USING (doc_id, item_id, form)),
+e AS (SELECT *, CASE WHEN n_verbatim >= {CONTAIN} * n_item_windows THEN 'verbatim' WHEN n_inconsistent <= {INCONSISTENT} * n_slots THEN 're-parameterised' END AS kind FROM o)
 SELECT doc_id, item_id, n_windows, n_item_windows, n_windows / n_item_windows AS containment, n_verbatim, n_slots, n_inconsistent, kind
-FROM (SELECT *, CASE WHEN n_verbatim >= {CONTAIN} * n_item_windows THEN 'verbatim' WHEN n_inconsistent <= {INCONSISTENT} * n_slots THEN 're-parameterised' END AS kind FROM o) WHERE kind IS NOT NULL
+FROM e WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY kind <> 'verbatim', form) = 1
 """

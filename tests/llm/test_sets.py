@@ -394,8 +394,11 @@ ITEM = "If a train leaves Dover at 40 km per hour and another leaves Calais at 6
     ("text", "kind"),
     [
         (f"Some words before. {ITEM} And after it, more words.", "verbatim"),
-        (ITEM.upper(), None),
+        (f"All before. {ITEM.upper()} and after", "verbatim"),
+        (ITEM.lower(), "verbatim"),
+        (ITEM.lower().replace("40", "1,250.5").replace("60", "80").replace("300", "9"), "re-parameterised"),
         (ITEM.replace("40", "55").replace("60", "80").replace("300", "940").replace("Dover", "Lyon").replace("Calais", "Ghent"), "re-parameterised"),
+        (ITEM.replace("40 km", "4,050.5km").replace("Dover", "San Marino").replace("Calais", "Val d"), "re-parameterised"),
         ("If a train leaves the yard it may be late. " * 5, None),
         (ITEM[:60], None),
         (None, None),
@@ -409,19 +412,56 @@ def test_template_matches(spark, text, kind):
 
 
 def test_slots_must_change_alike(spark):
-    """A value that changes in many ways tells a list of similar phrases from a question put anew."""
-    item = "take 5 red apples and give 5 green apples to the boy then add 5 ripe apples to the box on the table"
-    alike = item.replace("5", "7")
-    unlike = "take 6 red apples and give 7 green apples to the boy then add 8 ripe apples to the box on the table"
-    docs = spark.createDataFrame([(1, alike), (2, unlike)], "doc_id long, text string")
+    """A name that changes in many ways tells a list of similar phrases from a question put anew; numbers stand for themselves."""
+    item = "give the box that Tom holds to the boy then tell the aunt that Tom was kind and wait until 5 more boxes reach Tom with 5 bows"
+    docs = {1: item.replace("Tom", "Ann Lee"), 2: item.replace("5 more", "7 more").replace("5 bows", "9 bows"), 3: item.replace("Tom", "Ann", 1).replace("Tom was", "Eve was")}
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
-    assert [r["doc_id"] for r in template_decontam.contaminated(docs, bench).collect()] == [1]
+    found = template_decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench)
+    assert rows(found, "doc_id", "kind") == [(1, "re-parameterised"), (2, "re-parameterised")]
+
+
+SHORT_ITEMS = ["Who wrote Hamlet?", "Name the largest moon.", "What boils at 100?", "Define entropy", "Is 7 prime?"]
+
+
+def test_short_items_inside_documents(spark):
+    """Items of three and four tokens are found in any case wherever they stand; shorter ones, or with less plain text, where they are the document."""
+    bench = spark.createDataFrame(list(enumerate(SHORT_ITEMS)), "item_id long, text string")
+    docs = [(10 * i + k, f(x)) for i, x in enumerate(SHORT_ITEMS) for k, f in enumerate((lambda x: f"A quiz of ours asks: {x} And then some more.", lambda x: f"a quiz, {x.upper()} then", lambda x: x.lower()))]
+    docs.append((99, "who wrote the play and named the largest boat at 100"))
+    found = template_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert rows(found, "doc_id", "item_id") == [(0, 0), (1, 0), (2, 0), (10, 1), (11, 1), (12, 1), (20, 2), (21, 2), (22, 2), (32, 3), (42, 4)]
+
+
+def test_items_of_another_case_are_found(spark, data):
+    """Every benchmark item, in upper, lower and title case within another text."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    docs = [(i * 10 + k, f"Words of our own go before it, {f(t)} and some others after.") for i, t in items for k, f in enumerate((str.upper, str.lower, str.title))]
+    found = template_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{data}/benchmark.parquet"))
+    hit = set(rows(found, "doc_id", "item_id")) & {(i * 10 + k, i) for i, _ in items for k in range(3)}
+    assert len(hit) >= 0.95 * len(docs)  # letters such as sharp s are spelt anew in another case
+    assert hit >= {(i * 10 + k, i) for i, t in items for k in range(3) if t.upper().lower() == t.lower()}
+
+
+def test_values_stand_by_their_tokens(spark):
+    """The tokens with values and the template tokens are one for one."""
+    texts = ["Tom Ann paid 1,200.50usd for 5km, in May 2020. iPhone7 X", "ÀB 3.4.5 cÉd 7Kg \ue000 x", "", "  ", "km 5 km 6 mm 7", "A1 B2,3 C"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, text string")
+    for form in template_decontam.FORMS:
+        for r in df.select(template_decontam.template(F.col("text"), form).alias("t"), template_decontam._with_units(F.regexp_replace(template_decontam.valued(F.col("text"), form), template_decontam._VALUE, "$1")).alias("v")).collect():
+            assert r["t"] == r["v"]
+
+
+def test_clashing_names_with_a_hit(spark):
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("h", "form", "item_id", "kind", "w", "t", "r", "at", "size")})
+    found = template_decontam.contaminated(docs, spark.createDataFrame([(9, ITEM, "x")], "item_id long, text string, form string"))
+    assert rows(found, "doc_id", "item_id", "kind") == [(1, 9, "verbatim")]
 
 
 def test_decontamination_without_broadcast(spark, docs, data, edge, nothing):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     cols = ("doc_id", "item_id", "n_windows", "kind")
-    assert rows(template_decontam.contaminated(docs, bench), *cols) == rows(template_decontam.contaminated(docs, bench, broadcast_windows=0), *cols)
+    want = rows(template_decontam.contaminated(docs, bench), *cols)
+    assert want == rows(template_decontam.contaminated(docs, bench, broadcast_windows=0), *cols) and want == rows(template_decontam.contaminated(docs, bench, broadcast_windows=0, broadcast_hashes=0), *cols)
     assert template_decontam.contaminated(edge, bench).count() == 0
     assert template_decontam.contaminated(nothing, bench).count() == 0
     assert template_decontam.contaminated(docs, bench.limit(0)).count() == 0
