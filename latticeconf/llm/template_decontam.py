@@ -46,46 +46,53 @@ BROADCAST_HASHES = 4_000_000
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Unit words that become a placeholder after a number.
 UNITS = "km cm mm kg mg lb lbs oz ml mph kph hz khz mhz ghz kb mb gb tb usd eur gbp percent dollars dollar euros euro cents cent pounds pound meters meter metres metre kilometers kilometer kilometres kilometre centimeters centimetres miles mile feet foot inches inch hours hour minutes minute seconds second days day weeks week months month years year grams gram kilograms kilogram liters liter litres litre degrees degree".split()
-_NAMED = r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*"
-_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
-_BREAK = rf"[^\p{{L}}\p{{N}}{NUM}{NAME}]+"
-_VALUE = rf"([{NUM}{NAME}])[^ ]*"
+#: Repetition is possessive, which Java's expressions run in a loop; by recursion a long run would overflow the stack.
+_NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
+_NAMED = r"(^| )\p{Lu}[^ ]*+(?: \p{Lu}[^ ]*+)*+"
 _SLOT = f"[{NUM}{NAME}{UNIT}]"
-_UNITS = rf"{NUM} (?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})( |$)"
+_UNIT = rf"((?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}))( |$)"
 #: The forms: 0 with names, 1 in lower case without; windows of form 1 have a separator of their own, so that hashes differ.
 FORMS = (0, 1)
 _BETWEEN = (" ", "\x1f")
 
 
-def _source(text: Column, form: int) -> Column:
-    """The text that a form starts from, without characters that stand for placeholders."""
-    clean = F.translate(text, NUM + NAME + UNIT, "   ")
-    return F.lower(clean) if form else clean
+def _source(text: Column) -> Column:
+    """The text without characters that would pass for a number's placeholder."""
+    return F.when(F.contains(text, F.lit(NUM)), F.translate(text, NUM, " ")).otherwise(text)
 
 
-def template(text: Column, form: int) -> Column:
-    """The text's template tokens, joined by spaces."""
-    t = _source(text, form)
-    if not form:
-        t = F.regexp_replace(t, _NAMED, f" {NAME} ")
-    t = F.lower(F.regexp_replace(t, _NUMBER, f" {NUM} "))
-    return _with_units(F.trim(F.regexp_replace(t, _BREAK, " ")))
+def numbered(text: Column) -> Column:
+    """The text's words, numbers and units as placeholders, joined by spaces; case is kept."""
+    t = F.regexp_replace(F.regexp_replace(_source(text), _NUMBER, f" {NUM} "), rf"[^\p{{L}}{NUM}]+", " ")
+    return F.regexp_replace(F.trim(t), f"{NUM} {_UNIT}", f"{NUM} {UNIT}$2")
 
 
-def _with_units(t: Column) -> Column:
-    return F.regexp_replace(t, _UNITS, f"{NUM} {UNIT}$1")
+def template(numbers: Column, form: int) -> Column:
+    """Template tokens of numbered() text in a form, joined by spaces."""
+    return F.lower(numbers if form else F.regexp_replace(numbers, _NAMED, f"$1{NAME}"))
 
 
-def valued(text: Column, form: int) -> Column:
-    """As template() before units, with each placeholder followed by its value in lower case; spaces in it become _."""
-    slot, t = _NUMBER if form else f"{_NAMED}|{_NUMBER}", _source(text, form)
-    mark = lambda v: F.when(v.rlike(r"^\p{N}"), NUM).otherwise(NAME)
-    said = lambda v: F.coalesce(F.concat(F.lit(" "), mark(v), F.translate(F.lower(v), " ", "_"), F.lit(" ")), F.lit(""))
-    pieces = F.arrays_zip(F.split(t, slot).alias("p"), F.regexp_extract_all(t, F.lit(slot), F.lit(0)).alias("v"))
-    whole = F.array_join(F.transform(pieces, lambda z: F.concat(F.regexp_replace(F.lower(z["p"]), _BREAK, " "), said(z["v"]))), "")
+def _filled(text: Column, pattern: str, clean, said) -> Column:
+    """The text with clean() of what lies between the pattern's matches and said() of these."""
+    pieces = F.arrays_zip(F.split(text, pattern).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"))
+    whole = F.array_join(F.transform(pieces, lambda z: F.concat(clean(z["p"]), F.coalesce(said(z["v"]), F.lit("")))), "")
     return F.trim(F.regexp_replace(whole, " +", " "))
 
 
+def valued(text: Column, form: int) -> Column:
+    """As template() of numbered(), with each placeholder followed by its value in lower case; spaces in it become _."""
+    t = _filled(_source(text), _NUMBER, lambda p: F.regexp_replace(p, r"[^\p{L}]+", " "), lambda v: F.concat(F.lit(f" {NUM}"), v, F.lit(" ")))
+    t = F.regexp_replace(t, f"({NUM}[^ ]*) {_UNIT}", f"$1 {UNIT}$2$3")
+    if not form:
+        t = _filled(t, _NAMED, lambda p: p, lambda v: F.concat(F.lit(f" {NAME}"), F.translate(F.trim(v), " ", "_")))
+    return F.lower(t)
+
+
+def _bare(values: Column) -> Column:
+    """template() from valued()."""
+    return F.regexp_replace(values, f"({_SLOT})[^ ]*", "$1")
+
+
 def _grams(t: Column, n: int, form: int) -> Column:
     """All runs of n tokens of a template, joined by the form's separator."""
     sep = _BETWEEN[form]
@@ -93,18 +100,20 @@ def _grams(t: Column, n: int, form: int) -> Column:
     return F.regexp_extract_all(t, F.lit(run), F.lit(1))
 
 
-def _windows(text: Column, form: int, short: list[int]) -> Column:
-    """Window strings of a text: runs of WINDOW tokens, or the whole of a shorter text; in form 1 runs of the short lengths as well."""
-    t = F.translate(template(text, form), " ", _BETWEEN[form])
-    found = F.concat(_grams(t, WINDOW, form), F.when((t != "") & (F.size(F.split(t, _BETWEEN[form])) < WINDOW), F.array(t)).otherwise(F.array().cast("array<string>")))
+def _windows(t: Column, form: int, short: list[int]) -> Column:
+    """Window strings of a template: runs of WINDOW tokens, or the whole of a shorter text; in form 1 runs of the short lengths as well."""
+    t = F.translate(t, " ", _BETWEEN[form]) if form else t
+    few = F.length(t) - F.length(F.translate(t, _BETWEEN[form], "")) < WINDOW - 1
     spare = lambda n: lambda w: F.length(w) - F.length(F.translate(w, NUM + UNIT, "")) <= n - LITERALS
-    return F.concat(found, *(F.filter(_grams(t, n, form), spare(n)) for n in short)) if form and short else found
+    parts = [_grams(t, WINDOW, form), *(F.filter(_grams(t, n, form), spare(n)) for n in short if form)]
+    return F.when((t != "") & few, F.concat(F.array(t), *parts[1:])).otherwise(F.concat(*parts))
 
 
 def window_hashes(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
     """(key, h): a row for each window of each text in either form."""
-    both = F.concat(*(_windows(F.col("text"), form, short) for form in FORMS))
-    return docs.select(key, F.explode(both).alias("w")).select(key, F.xxhash64("w").alias("h"))
+    own = docs.select(key, numbered(F.col("text")).alias("n")).select(key, *(template(F.col("n"), form).alias(f"t{form}") for form in FORMS))
+    both = F.concat(*(_windows(F.col(f"t{form}"), form, short) for form in FORMS))
+    return own.select(key, F.explode(both).alias("w")).select(key, F.xxhash64("w").alias("h"))
 
 
 def windows_with_values(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
@@ -112,13 +121,13 @@ def windows_with_values(docs: DataFrame, key: str, short: list[int]) -> DataFram
     out = None
     for form in FORMS:
         one = docs.select(key, valued(F.col("text"), form).alias("v")).where("v <> ''")
-        one = one.select(key, F.split(_with_units(F.regexp_replace("v", _VALUE, "$1")), " ").alias("t"), F.split("v", " ").alias("r"))
+        one = one.select(key, F.split(_bare(F.col("v")), " ").alias("t"), F.split("v", " ").alias("r"))
         size = F.least(F.size("t"), F.lit(WINDOW))
         for n in [size, *(map(F.lit, short) if form else ())]:
             starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n))
             w = one.select(key, "t", "r", n.alias("size"), F.explode(starts).alias("at"))
-            kept = F.lit(True) if n is size else F.size(F.filter("t", lambda x: ~x.rlike(_SLOT))) >= LITERALS
             w = w.select(key, F.lit(form).alias("form"), "at", "size", *(F.slice(c, F.col("at") + 1, F.col("size")).alias(c) for c in ("t", "r")))
+            kept = F.lit(True) if n is size else F.size(F.filter("t", lambda x: ~x.rlike(_SLOT))) >= LITERALS
             w = w.where(kept).withColumn("h", F.xxhash64(F.array_join("t", _BETWEEN[form])))
             out = w if out is None else out.unionByName(w)
     return out
@@ -173,19 +182,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN
     return out.select("doc_id", "item_id", "n_windows", "n_item_windows", (F.col("n_windows") / F.col("n_item_windows")).alias("containment"), "n_verbatim", "n_slots", "n_inconsistent", "kind")
 
 
-def _sql_tokens(form: int) -> str:
-    """SELECT of id, side, u (the text), form, r (tokens with values) and t (template tokens) from d."""
-    clean = f"translate(text, '{NUM}{NAME}{UNIT}', '   ')"
-    source, slot = (f"lower({clean})", _NUMBER) if form else (clean, f"{_NAMED}|{_NUMBER}")
-    said = f"' ' || CASE WHEN regexp_matches(z[2], '^\\p{{N}}') THEN '{NUM}' ELSE '{NAME}' END || replace(lower(z[2]), ' ', '_') || ' '"
-    whole = f"array_to_string(list_transform(list_zip(string_split_regex({source}, '{slot}'), regexp_extract_all({source}, '{slot}', 0)), lambda z: regexp_replace(lower(z[1]), '{_BREAK}', ' ', 'g') || coalesce({said}, '')), '')"
-    return rf"SELECT id, side, u, form, string_split(v, ' ') AS r, string_split(regexp_replace(regexp_replace(v, '{_VALUE}', '\1', 'g'), '{_UNITS}', '{NUM} {UNIT}\1', 'g'), ' ') AS t FROM (SELECT id, side, u, {form} AS form, trim(regexp_replace({whole}, ' +', ' ', 'g')) AS v FROM d) WHERE v <> ''"
+def _sql_pattern(pattern: str) -> str:
+    """The same expression without Java's possessive repetition."""
+    return pattern.replace("++", "+").replace("*+", "*")
+
+
+def _sql_filled(text: str, pattern: str, clean: str, said: str) -> str:
+    pattern = _sql_pattern(pattern)
+    whole = f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{pattern}'), regexp_extract_all({text}, '{pattern}', 0)), lambda z: {clean} || coalesce({said}, '')), '')"
+    return f"trim(regexp_replace({whole}, ' +', ' ', 'g'))"
+
+
+_SQL_VALUED = rf"regexp_replace({_sql_filled(f"replace(text, '{NUM}', ' ')", _NUMBER, r"regexp_replace(z[1], '[^\p{L}]+', ' ', 'g')", f"' {NUM}' || z[2] || ' '")}, '({NUM}[^ ]*) {_UNIT}', '\1 {UNIT}\2\3', 'g')"
+_SQL_NAMED = _sql_filled("v", _NAMED, "z[1]", f"' {NAME}' || replace(trim(z[2]), ' ', '_')")
 
 
 ORACLE = rf"""
 WITH d AS MATERIALIZED (SELECT *, row_number() OVER () AS u FROM (SELECT DISTINCT doc_id AS id, text, 0 AS side FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
            UNION ALL SELECT DISTINCT item_id, text, 1 FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
-k AS MATERIALIZED ({_sql_tokens(0)} UNION ALL {_sql_tokens(1)}),
+v0 AS MATERIALIZED (SELECT id, side, u, {_SQL_VALUED} AS v FROM d),
+v1 AS (SELECT id, side, u, 0 AS form, lower({_SQL_NAMED}) AS v FROM v0 UNION ALL SELECT id, side, u, 1, lower(v) FROM v0),
+k AS MATERIALIZED (SELECT id, side, u, form, string_split(v, ' ') AS r, string_split(regexp_replace(v, '({_SLOT})[^ ]*', '\1', 'g'), ' ') AS t FROM v1 WHERE v <> ''),
 lens AS (SELECT DISTINCT len(t) AS n FROM k WHERE side = 1 AND form = 1 AND len(t) IN {SHORT} AND len(list_filter(t, lambda x: NOT regexp_matches(x, '{_SLOT}'))) >= {LITERALS}),
 tok AS (SELECT id, side, u, form, len(t) AS n, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS t, unnest(r) AS r FROM k),
 five AS (SELECT id, side, form, n, i, [t, {', '.join(f'lead(t, {j}) OVER w' for j in range(1, WINDOW))}] AS t, [r, {', '.join(f'lead(r, {j}) OVER w' for j in range(1, WINDOW))}] AS r FROM tok WINDOW w AS (PARTITION BY u, form ORDER BY i)),
