@@ -4,11 +4,14 @@ Each rule votes good (1), bad (-1) or abstains (0) on every document.
 Expectation-maximisation over the counts of vote patterns (3 ** rules rows at
 most, whatever the corpus) estimates how often each rule votes good on good and
 on bad documents; the posterior probability of quality then replaces a filter
-that demands that all rules pass.
+that demands that all rules pass. Two bounds tie the class called good to goodness,
+whatever share of the corpus is junk: a rule that votes on a good document votes
+good with probability TRUST at least, and no rule votes good more often on bad
+documents than on good ones.
 
 Native: features are expressions over one row (no shuffle; a text is never
-exploded), pattern counts are one partially aggregated groupBy, and each EM
-round is an aggregate of the pattern table, read back as one row.
+exploded), pattern counts are one partially aggregated groupBy, read once (6,561
+rows at most), and the posterior is an expression over the votes.
 
 Defined cases: null and empty texts have no words and fail the base rule;
 repeated rows vote alike; equal posteriors are kept from KEEP on; texts of any
@@ -28,6 +31,8 @@ from .common import ASCII_SPACE, let, written
 KEEP = 0.5
 ROUNDS = 12
 PRIOR = 0.9
+#: Least probability of a good vote of a rule on a good document, given that it votes.
+TRUST = 0.8
 #: Each kind of junk should trip two rules: EM tells a class of bad documents by
 #: votes that go together, and can't see junk that a single rule knows of.
 #: (good, bad) conditions on the features; neither: the rule abstains. Valid in Spark and in DuckDB.
@@ -87,7 +92,7 @@ def _posterior(prior: float, good: dict[str, float], bad: dict[str, float]) -> s
     """SQL for P(good | votes) with the given shares of good votes."""
     terms = [f"CAST({math.log(prior / (1 - prior))!r} AS DOUBLE)"]
     for r in RULES:
-        up, down = math.log(good[r] / bad[r]), math.log((1 - good[r]) / (1 - bad[r]))
+        up, down = _weight(good[r], bad[r], 1), _weight(good[r], bad[r], -1)
         terms.append(f"CASE v_{r} WHEN 1 THEN CAST({up!r} AS DOUBLE) WHEN -1 THEN CAST({down!r} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")
     return f"1 / (1 + exp(-({' + '.join(terms)})))"
 
@@ -98,19 +103,28 @@ _START = f"CASE WHEN least({', '.join(f'v_{r}' for r in RULES)}) < 0 THEN 0.1D E
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> str:
     """SQL for the posterior after EM on (v_rule.., n), one row a pattern."""
-    p = _START
+    rows = sorted(([r[f"v_{k}"] for k in RULES], r["n"]) for r in patterns.collect())
+    total = sum(n for _, n in rows)
+    if not total or not rounds:
+        return _START
+    p = [0.1 if min(v) < 0 else PRIOR for v, _ in rows]
     for _ in range(rounds):
-        e = patterns.withColumn("p", F.expr(p))
-        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("n")]
-        for r in RULES:
-            for name, weight in (("g", F.col("p")), ("b", 1 - F.col("p"))):
-                sums += [F.sum(F.when(F.col(f"v_{r}") == 1, F.col("n") * weight).otherwise(0.0)).alias(f"{name}up_{r}"), F.sum(F.when(F.col(f"v_{r}") != 0, F.col("n") * weight).otherwise(0.0)).alias(f"{name}all_{r}")]
-        s = e.agg(*sums).collect()[0]
-        if not s["n"]:
-            return _START
-        prior = (s["good"] + 1) / (s["n"] + 2)
-        p = _posterior(prior, {r: (s[f"gup_{r}"] + 1) / (s[f"gall_{r}"] + 2) for r in RULES}, {r: (s[f"bup_{r}"] + 1) / (s[f"ball_{r}"] + 2) for r in RULES})
-    return p
+        good, bad = {}, {}
+        for i, r in enumerate(RULES):
+            up = [n * x for (v, n), x in zip(rows, p, strict=True) if v[i] == 1]
+            all_good = [n * x for (v, n), x in zip(rows, p, strict=True) if v[i]]
+            down = [n * (1 - x) for (v, n), x in zip(rows, p, strict=True) if v[i] == 1]
+            all_bad = [n * (1 - x) for (v, n), x in zip(rows, p, strict=True) if v[i]]
+            good[r] = max(TRUST, (sum(up) + 1) / (sum(all_good) + 2))
+            bad[r] = min(good[r], (sum(down) + 1) / (sum(all_bad) + 2))
+        prior = (sum(n * x for (_, n), x in zip(rows, p, strict=True)) + 1) / (total + 2)
+        start = math.log(prior / (1 - prior))
+        p = [1 / (1 + math.exp(-start - sum(_weight(good[r], bad[r], x) for r, x in zip(RULES, v, strict=True)))) for v, _ in rows]
+    return _posterior(prior, good, bad)
+
+
+def _weight(good: float, bad: float, vote: int) -> float:
+    return math.log(good / bad) if vote > 0 else math.log((1 - good) / (1 - bad)) if vote < 0 else 0.0
 
 
 def judge(docs: DataFrame, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
@@ -146,9 +160,10 @@ e0 AS (SELECT *, CASE WHEN least({names}) < 0 THEN 0.1::DOUBLE ELSE {PRIOR}::DOU
     for k in range(rounds):
         sums = ", ".join(f"(sum(n * {w}) FILTER (WHERE v_{r} = 1) + 1) / (sum(n * {w}) FILTER (WHERE v_{r} <> 0) + 2) AS {a}_{r}" for r in RULES for a, w in (("g", "p"), ("b", "(1 - p)")))
         fall = sums.replace("(sum(", "(coalesce(sum(").replace(" = 1) + 1)", " = 1), 0) + 1)").replace(" <> 0) + 2)", " <> 0), 0) + 2)")
+        held = ", ".join(f"greatest({TRUST}, g_{r}) AS g_{r}, least(greatest({TRUST}, g_{r}), b_{r}) AS b_{r}" for r in RULES)
         terms = " + ".join(f"CASE v_{r} WHEN 1 THEN ln(g_{r} / b_{r}) WHEN -1 THEN ln((1 - g_{r}) / (1 - b_{r})) ELSE 0 END" for r in RULES)
         sql += f""",
-m{k} AS (SELECT (sum(n * p) + 1) / (sum(n) + 2) AS prior, {fall} FROM e{k}),
+m{k} AS (SELECT prior, {held} FROM (SELECT (sum(n * p) + 1) / (sum(n) + 2) AS prior, {fall} FROM e{k})),
 e{k + 1} AS (SELECT {names}, n, 1 / (1 + exp(-(ln(prior / (1 - prior)) + {terms}))) AS p FROM pat, m{k})"""
     return sql + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {keep} AS kept, round(p, 6) AS quality
