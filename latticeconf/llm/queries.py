@@ -14,7 +14,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rollup.rollup_of_all(table(spark, sf_dir, "documents"))
+    return token_rollup.rollup_of(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poisson_mix.mix(table(spark, sf_dir, "documents"))
+    return poisson_mix.mix(table(spark, sf_dir, "documents"), poisson_mix.TARGETS, absent="spread")
 
 
 def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

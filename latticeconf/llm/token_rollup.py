@@ -4,10 +4,11 @@ A batch of changes carries documents with their old and new counts: an insert
 adds, a delete takes away, a revision does both (also when the source, language
 or tokenizer version changes). A batch is first reduced to signed sums by
 (source, lang, tokenizer), which are additive, and written as one immutable
-delta; a commit record of one row, named by the batch's id, makes it count. A
-batch id that has been committed is skipped, so a retried batch changes
-nothing; an uncommitted delta is overwritten by the retry. Totals are the sum of
-the committed deltas, or of the last snapshot and the deltas since.
+delta under a name of its own; a small file named by the batch's id, put in place by
+one exclusive rename, names the delta and makes it count. So a batch id counts once,
+whoever sends it and however often: a second writer's rename fails and its delta
+isn't read. Totals are the last snapshot and the deltas since; snapshot() folds these
+into the next one, so that reading doesn't grow with the number of batches.
 
 Only signed sums are kept, so a delta's size is the number of groups, not of
 documents. Hot sources are pre-aggregated by every task before the shuffle.
@@ -24,14 +25,17 @@ columns are ignored; an empty batch commits an empty delta.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import claim, exists, moved, names_in, note_at, removed, shared_dir, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -88,7 +92,7 @@ def _slices(text: str) -> Iterator[str]:
 
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, source, lang, tokenizer, docs, tokens, chars), a row for each document."""
+    """(doc_id, source, lang, tokenizer, docs, tokens, chars, bytes), a row for each document."""
     with open(vocabulary, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -96,11 +100,11 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str = "byt
         counter = BpeCounter(ranks_of(held.value))
         for pdf in batches:
             tokens = [counter.count(t) for t in pdf.pop("text")]
-            yield pdf.assign(tokens=pd.Series(tokens, dtype="int64"))[["doc_id", "source", "lang", "chars", "tokens"]]
+            yield pdf.assign(tokens=pd.Series(tokens, dtype="int64"))[["doc_id", "source", "lang", "chars", "bytes", "tokens"]]
 
-    rows = docs.select("doc_id", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.col("text").cast("string"))
-    out = rows.mapInPandas(count, "doc_id long, source string, lang string, chars long, tokens long")
-    return out.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("docs"), "tokens", "chars")
+    rows = docs.select("doc_id", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.col("text").cast("string"))
+    out = rows.mapInPandas(count, "doc_id long, source string, lang string, chars long, bytes long, tokens long")
+    return out.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("docs"), "tokens", "chars", "bytes")
 
 
 def signed(new: DataFrame | None = None, old: DataFrame | None = None) -> DataFrame:
@@ -116,68 +120,100 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, (root or shared_dir(spark, "token-rollup")).rstrip("/")
 
-    def committed(self) -> set[str]:
-        """Ids of the batches that count."""
-        try:
-            return {r["batch_id"] for r in self.spark.read.schema("batch_id string").option("recursiveFileLookup", True).parquet(f"{self.root}/commits").select("batch_id").distinct().collect()}
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return set()
-            raise
+    def _snapshot(self) -> dict:
+        """The last snapshot's number, its folder (none before the first) and the batches that it has folded in."""
+        last = max(names_in(self.spark, f"{self.root}/snapshots"), default="")
+        return json.loads(note_at(self.spark, f"{self.root}/snapshots/{last}")) | {"at": int(last)} if last else {"at": 0, "data": None, "folded": []}
+
+    def _open(self, snapshot: dict) -> list[str]:
+        """Committed batches that the snapshot doesn't hold; as many as were committed since."""
+        return [b for b in names_in(self.spark, f"{self.root}/batches") if b not in set(snapshot["folded"])]
+
+    def is_committed(self, batch_id: str) -> bool:
+        # a batch moves from batches to folded, so that in this order it is seen in one of them
+        return exists(self.spark, f"{self.root}/batches/{batch_id}") or exists(self.spark, f"{self.root}/folded/{batch_id}")
 
     def commit(self, batch_id: str, delta: DataFrame) -> bool:
         """Adds a batch once; False if it had been committed before."""
-        if not re.fullmatch(r"[\w-]+", batch_id):
-            raise ValueError("a batch id consists of letters, digits, _ and -")
-        if batch_id in self.committed():
+        if not re.fullmatch(r"[A-Za-z0-9][\w-]*", batch_id):
+            raise ValueError("a batch id consists of letters, digits, _ and -, and starts with a letter or digit")
+        if self.is_committed(batch_id):
+            return False
+        name = f"{batch_id}-{uuid.uuid4().hex}"
+        delta.write.parquet(f"{self.root}/deltas/{name}")
+        if not claim(self.spark, f"{self.root}/batches/{batch_id}", name):
+            removed(self.spark, f"{self.root}/deltas/{name}")
             return False
-        delta.write.mode("overwrite").parquet(f"{self.root}/deltas/{batch_id}")
-        self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/{batch_id}")
         return True
 
-    def totals(self) -> DataFrame:
-        """Sums over the committed batches; groups that came to nothing are left out."""
-        done = sorted(self.committed())
-        if not done:
+    def _paths(self, snapshot: dict, batches: list[str]) -> list[str]:
+        paths = [f"{self.root}/deltas/{note_at(self.spark, f'{self.root}/batches/{b}')}" for b in batches]
+        return paths + ([f"{self.root}/snapshot-data/{snapshot['data']}"] if snapshot["data"] else [])
+
+    def _sums(self, paths: list[str]) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], DELTA)
-        deltas = self.spark.read.schema(DELTA).parquet(*(f"{self.root}/deltas/{b}" for b in done))
-        sums = deltas.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+        sums = self.spark.read.schema(DELTA).parquet(*paths).groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
         return sums.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
+    def totals(self) -> DataFrame:
+        """Sums over the committed batches; groups that came to nothing are left out."""
+        while True:
+            snapshot = self._snapshot()
+            try:
+                paths = self._paths(snapshot, self._open(snapshot))
+            except Py4JJavaError:  # a batch may be put away while it is read
+                paths = None
+            if self._snapshot()["at"] == snapshot["at"] and paths is not None:  # else another was made meanwhile
+                return self._sums(paths)
+
+    def snapshot(self) -> bool:
+        """Folds the batches since the last snapshot into a new one; False if another writer did meanwhile.
+
+        Run by one maintainer at a time, as no batch may be folded twice: the
+        snapshot's own exclusive rename sees to it. Readers and committing writers
+        needn't wait.
+        """
+        last = self._snapshot()
+        self._put_away(last)  # in case the one before was cut short
+        batches = self._open(last)
+        name = uuid.uuid4().hex
+        self._sums(self._paths(last, batches)).coalesce(1).write.parquet(f"{self.root}/snapshot-data/{name}")
+        if not claim(self.spark, f"{self.root}/snapshots/{last['at'] + 1:010d}", json.dumps({"data": name, "folded": batches})):
+            removed(self.spark, f"{self.root}/snapshot-data/{name}")
+            return False
+        self._put_away({"folded": batches})
+        return True
+
+    def _put_away(self, snapshot: dict) -> None:
+        for b in snapshot["folded"]:
+            if exists(self.spark, f"{self.root}/batches/{b}"):
+                moved(self.spark, f"{self.root}/batches/{b}", f"{self.root}/folded/{b}")
+
 
 def _revised(docs: DataFrame, vocabulary: str, tokenizer: str) -> tuple[TokenRollup, DataFrame, DataFrame]:
     """A rollup with the batches load and revise, and the documents' counts of now and at first.
 
-    load inserts every document under a first tokenizer version whose counts are
-    characters; revise moves every document to the BPE's counts.
+    load inserts every document under a first tokenizer version, that of plain
+    bytes; revise moves every document to the BPE's counts.
     """
     rollup = TokenRollup(docs.sparkSession)
     now = written(counted(docs, vocabulary, tokenizer), "token-counts")
-    first = now.withColumn("tokens", F.col("chars")).withColumn("tokenizer", F.lit("chars"))
+    first = now.withColumn("tokens", F.col("bytes")).withColumn("tokenizer", F.lit("bytes"))
     rollup.commit("load", signed(new=first))
     rollup.commit("revise", signed(new=now, old=first))
     return rollup, now, first
 
 
 def rollup_of(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """Totals of the documents that have tokens, after three batches and a retry.
-
-    After load and revise, purge deletes documents of no tokens; revise is sent
-    again and skipped.
-    """
-    rollup, now, first = _revised(docs, vocabulary, tokenizer)
-    rollup.commit("purge", signed(old=now.where("tokens = 0")))
-    rollup.commit("revise", signed(new=now, old=first))
-    return rollup.totals()
-
-
-def rollup_of_all(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """Totals of all documents, those of no tokens too, after four batches and two retries.
+    """Totals of all documents, those of no tokens too, after four batches, a snapshot and two retries.
 
-    After load and revise, withdraw deletes documents of no tokens and restore
-    inserts them again; revise and withdraw are sent again and skipped.
+    After load and revise a snapshot is taken; withdraw deletes documents of no
+    tokens and restore inserts them again; revise and withdraw are sent again and
+    skipped.
     """
     rollup, now, first = _revised(docs, vocabulary, tokenizer)
+    rollup.snapshot()
     empty = now.where("tokens = 0")
     rollup.commit("withdraw", signed(old=empty))
     rollup.commit("restore", signed(new=empty))
