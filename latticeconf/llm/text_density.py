@@ -8,7 +8,7 @@ content too; a leaf's sum is its own density, and a leaf beside the content (or
 beside a node around it) counts from HALF the mean of the content's blocks, an h1
 at any density. Nodes whose tag, role, class or id says menu, footer, advert and so
 on are taken out before densities are computed, as are scripts, styles, forms and
-comments; but no class or id takes out what holds main or else the longest
+comments; but no class or id, and no form, takes out what holds main or else the longest
 article, or on a page without either MOST of the text.
 
 Pages are parsed one per row (mapInArrow, no shuffle), with explicit stacks, so
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head script style noscript template nav aside footer form button select textarea input iframe object embed svg canvas audio video dialog menu title".split())
+DROPPED = frozenset("head script style noscript template nav aside footer button select textarea input iframe object embed svg canvas audio video dialog menu title".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noscript object script style template title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Parts of class and id names that mark what isn't the article.
 MARKS = frozenset(
@@ -74,6 +76,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if self.live["head"] and tag not in IN_HEAD:
+            self._pop_to(("head",), ())  # </head> may be left out
         if tag in BLOCK:
             self._pop_to(("p",), _P_STAYS_IN)
             self.pieces.append((self.open[-1], None))
@@ -123,6 +127,8 @@ def _marked(tag: str, attrs, inside: bool) -> bool:
     """Whether a class or id speaks against the node; inside an article a header is its own, as the tag is."""
     if tag in ("html", "body", "article", "main"):
         return False
+    if tag == "form":  # a page may be wrapped in one
+        return True
     marks = {x for k, v in attrs if k in ("class", "id") and v for x in _SPLIT.split(v.lower())} & MARKS
     return bool(marks - {"header"} if inside else marks)
 
