@@ -9,7 +9,7 @@ greatest cosine.
 Learning takes at most about TRAIN_DOCS texts of each language, chosen by a hash
 of the id among all rows, and reduces on the executors to one vector a language;
 prediction is one pass without shuffle, with the prototypes (languages x D
-floats) in the closure. Letters' vectors come from a hash of the code point, so
+floats) as a broadcast. Letters' vectors come from a hash of the code point, so
 every task makes the same ones.
 
 Defined cases: null text, or text without a letter, is "und" with score 0, as is
@@ -27,12 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 D = 1024
 TRAIN_DOCS = 2000
 SLICE = 1 << 20
 SEED = 20240601
-#: A text whose best cosine is less is rejected by the filtering stage.
-MIN_SCORE = 0.05
+#: A text whose best cosine is less is rejected by the filtering stage. With D = 1024 texts of no learned
+#: language reach about 0.05 by chance; of SHORT_CHARS characters or fewer, so do texts of a learned one.
+MIN_SCORE, SHORT_SCORE, SHORT_CHARS = 0.1, 0.05, 30
+#: Languages whose rates are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 _SCALE = 1 << 20
 
 
@@ -105,13 +110,11 @@ def _profile_batches(batches):
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
     """Unit prototype of each language from rows that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, k in n.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / k))).otherwise(share)
-    taken = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < share * (1 << 30))
-    rows = taken.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_profile_batches, "lang string, place int, x long").groupBy("lang", "place").agg(F.sum("x").alias("x")).collect()  # languages x D numbers
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
+    share = written(known.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("share")), "lang-shares")
+    few = share.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    taken = known.join(F.broadcast(share) if few else share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rows = taken.select("lang", "text").mapInArrow(_profile_batches, "lang string, place int, x long").groupBy("lang", "place").agg(F.sum("x").alias("x")).collect()  # languages x D numbers
     out: dict[str, np.ndarray] = {}
     for r in rows:
         out.setdefault(r["lang"], np.zeros(D))[r["place"]] = r["x"]
@@ -139,9 +142,9 @@ class Teller:
         return self.names[best], float(min(1.0, max(0.0, cosine[best])))
 
 
-def _predictor(prototypes: dict[str, np.ndarray]):
+def _predictor(prototypes):
     def run(batches):
-        teller = Teller(prototypes)
+        teller = Teller(prototypes.value)
         for batch in batches:
             told = [teller.tell(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], schema=_SCHEMA)
@@ -151,23 +154,24 @@ def _predictor(prototypes: dict[str, np.ndarray]):
 
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs."""
-    prototypes = learn(docs, train_docs)
+    prototypes = docs.sparkSession.sparkContext.broadcast(learn(docs, train_docs))
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(_predictor(prototypes), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose language is told with a cosine of min_score or more.
+def accepted(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_score: float = MIN_SCORE, short_score: float = SHORT_SCORE) -> DataFrame:
+    """The rows whose language is told with a cosine of min_score or more; for short texts, of short_score.
 
     Each row is judged by itself, so rows of one doc_id or of none need no join.
     """
-    prototypes = learn(docs, train_docs)
+    prototypes = docs.sparkSession.sparkContext.broadcast(learn(docs, train_docs))
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        teller = Teller(prototypes)
+        teller = Teller(prototypes.value)
         for texts in batches:
             told = [teller.tell(x) for x in texts.to_pylist()]
             yield pa.array([None if lang == "und" else x for lang, x in told], pa.float64())
 
-    return docs.where(score(F.col("text").cast("string")) >= min_score)
+    least = F.when(F.length("text") <= SHORT_CHARS, short_score).otherwise(min_score)
+    return docs.where(score(F.col("text").cast("string")) >= least)
