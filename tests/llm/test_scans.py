@@ -190,6 +190,93 @@ def test_marks_and_leaves_lose_no_content(html, text):
     assert text_density.extract(html) == "\n".join(x.strip() for x in text)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><article><p>Some text.</p></article>", "Some text."),
+        ("<head><title>t</title><link rel=x><p>Some text.</p>", "Some text."),
+        (f"<body><form action=/ method=post><input name=x><div><h1>T</h1>{f'<p>{BODY}</p>' * 3}</div><button>Go</button></form></body>", "\n".join(["T", *[BODY.strip()] * 3])),
+        ("<form><article><p>Some text.</p><form>tell us</form></article></form>", "Some text."),
+        ("<body><div class='side-by-side'><article><p>Some text.</p></article></div><div class='no-sidebar'><p>x</p></div></body>", "Some text."),
+        ("<body><div class='social-science'><article><p>Some text.</p></article></div></body>", "Some text."),
+    ],
+)
+def test_heads_and_forms(html, text):
+    assert text_density.extract(html) == text
+
+
+def test_densities_against_a_plain_version():
+    """Composite text density and its sums of every block of a well-formed page, by recursion."""
+    import math
+    from xml.etree import ElementTree as E
+
+    page = f"<body><div><p>{LEAD}</p><p>{BODY}<a>link one</a> and <a>two</a></p><ul><li><a>x</a></li><li>words <b>here</b></li></ul></div><div><p>short</p><section><p>{BODY}</p><p><a>{LEAD}</a></p></section></div></body>"
+    root = E.fromstring(page)
+    size = lambda s: len("".join((s or "").split()))
+    chars = lambda e: sum(size(t) for t in e.itertext())
+    linked = lambda e: chars(e) if e.tag == "a" else sum(map(linked, e))
+    counted = lambda e: sum(1 for x in e.iter() if x is not e and (x.tag == "a" or x.tag in text_density.BLOCK))
+    share = linked(root) / chars(root)
+
+    def density(e):
+        c, lc, t, lt = chars(e), linked(e), max(1, counted(e)), sum(1 for x in e.iter("a") if x is not e)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / (1 + math.log(base))
+
+    tree = text_density._Tree()
+    tree.feed(page)
+    tree.close()
+    got, total, _ = text_density.densities(tree)
+    assert tree.tag[1:] == [e.tag for e in root.iter()]
+    for i, e in enumerate(root.iter(), 1):
+        assert got[i] == pytest.approx(density(e))
+        below = [x for x in e if x.tag == "a" or x.tag in text_density.BLOCK]
+        if below and e.tag in text_density.BLOCK:
+            assert total[i] == pytest.approx(sum(map(density, below))) or not sum(map(density, below))
+
+
+def test_pages_of_null_html_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a b</p>"), (1, "u", "<p>a b</p>"), (None, None, None), (2, "u", "")], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("text", "n_chars", "node")})
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in text_density.main_text(df).collect()) == [(0, "", 0), (1, "a b", 3), (1, "a b", 3), (2, "", 0)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32))
+def test_fuzzy_spans_against_edit_distances(seed):
+    """Every place where a notice ends within its edits, by a plain table of edit distances, lies in a reported span or beside one that overlaps it, and no span has more edits than the table says it needs."""
+    import random
+
+    rng = random.Random(seed)
+    x = rng.choice([n for n in NOTICES if len(n.text) < 45])
+    parts = []
+    for _ in range(3):
+        s = list(x.text)
+        for _ in range(rng.randint(0, x.edits)):
+            k = rng.randrange(1, len(s) - 1)
+            s[k : k + 1] = rng.choice([[], ["q"], ["q", s[k]]])
+        parts += [rng.choice(["and then", "or", "a b c"]), "".join(s)]
+    words = " ".join([*parts, "so it ends"]).split()
+    spans = [s for s in license_scan.scan(" ".join(words).encode(), [x], {})[3]]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    for _, first, end, edits, _ in spans:
+        assert distance(" ".join(words[first:end]), x.text) <= edits <= x.edits
+    n = len(x.text.split())
+    for i in range(len(words)):
+        for k in range(max(1, n - 2), n + 3):
+            if i + k <= len(words) and distance(" ".join(words[i : i + k]), x.text) <= x.edits:
+                assert any(a < i + k and i < b for _, a, b, *_ in spans), (words[i : i + k], spans)
+
+
 def test_main_text_of_pages(spark, data):
     """Against the pages' own template: the article's h1 and p blocks."""
     import html as h
@@ -224,6 +311,15 @@ def test_language_edges(spark, docs, edge, nothing):
     assert hyperlang.identify(nothing).count() == 0
 
 
+def test_texts_of_no_learned_language_go(spark, docs):
+    """Scripts that were not learned are rejected; ties go to the language first by name."""
+    foreign = ["Это обычный русский текст о погоде и природе в нашей стране, где люди живут", "Αυτό είναι ένα ελληνικό κείμενο για τον καιρό και τη φύση", "قطة صغيرة تجلس على الطاولة في البيت الكبير وتنظر", "漢字の文章です。今日は天気がとてもいいので散歩に行きましょう、公園まで歩きます"]
+    own = spark.createDataFrame([(10**6 + i, t, None, "f", 0) for i, t in enumerate(foreign)], docs.schema)
+    assert hyperlang.accepted(docs.unionByName(own)).where("source = 'f'").count() == 0
+    v = hyperlang.Letters().bundle("some text of letters")
+    assert hyperlang.Teller({"a": v, "b": v}).tell("some text of letters")[0] == "a"
+
+
 def test_language_ignores_labels(spark, docs):
     """Held-out rows' labels and any row's source don't matter to predictions."""
     a = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in hyperlang.identify(docs).collect()}
