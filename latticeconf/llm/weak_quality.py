@@ -6,8 +6,8 @@ most, whatever the corpus) estimates how often each rule votes good on good and
 on bad documents; the posterior probability of quality then replaces a filter
 that demands that all rules pass. Two bounds tie the class called good to goodness,
 whatever share of the corpus is junk: a rule that votes on a good document votes
-good with probability TRUST at least, and no rule votes good more often on bad
-documents than on good ones.
+good with probability TRUST at least, and on a bad one bad with probability CATCH
+at least, so that each rule is better than chance.
 
 Native: features are expressions over one row (no shuffle; a text is never
 exploded), pattern counts are one partially aggregated groupBy, read once (6,561
@@ -31,8 +31,8 @@ from .common import ASCII_SPACE, let, written
 KEEP = 0.5
 ROUNDS = 12
 PRIOR = 0.9
-#: Least probability of a good vote of a rule on a good document, given that it votes.
-TRUST = 0.8
+#: Least probability of a good vote of a rule on a good document, and of a bad vote on a bad one, given that it votes.
+TRUST, CATCH = 0.99, 0.2
 #: Each kind of junk should trip two rules: EM tells a class of bad documents by
 #: votes that go together, and can't see junk that a single rule knows of.
 #: (good, bad) conditions on the features; neither: the rule abstains. Valid in Spark and in DuckDB.
@@ -116,7 +116,7 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> str:
             down = [n * (1 - x) for (v, n), x in zip(rows, p, strict=True) if v[i] == 1]
             all_bad = [n * (1 - x) for (v, n), x in zip(rows, p, strict=True) if v[i]]
             good[r] = max(TRUST, (sum(up) + 1) / (sum(all_good) + 2))
-            bad[r] = min(good[r], (sum(down) + 1) / (sum(all_bad) + 2))
+            bad[r] = min(1 - CATCH, (sum(down) + 1) / (sum(all_bad) + 2))
         prior = (sum(n * x for (_, n), x in zip(rows, p, strict=True)) + 1) / (total + 2)
         start = math.log(prior / (1 - prior))
         p = [1 / (1 + math.exp(-start - sum(_weight(good[r], bad[r], x) for r, x in zip(RULES, v, strict=True)))) for v, _ in rows]
@@ -160,7 +160,7 @@ e0 AS (SELECT *, CASE WHEN least({names}) < 0 THEN 0.1::DOUBLE ELSE {PRIOR}::DOU
     for k in range(rounds):
         sums = ", ".join(f"(sum(n * {w}) FILTER (WHERE v_{r} = 1) + 1) / (sum(n * {w}) FILTER (WHERE v_{r} <> 0) + 2) AS {a}_{r}" for r in RULES for a, w in (("g", "p"), ("b", "(1 - p)")))
         fall = sums.replace("(sum(", "(coalesce(sum(").replace(" = 1) + 1)", " = 1), 0) + 1)").replace(" <> 0) + 2)", " <> 0), 0) + 2)")
-        held = ", ".join(f"greatest({TRUST}, g_{r}) AS g_{r}, least(greatest({TRUST}, g_{r}), b_{r}) AS b_{r}" for r in RULES)
+        held = ", ".join(f"greatest({TRUST}, g_{r}) AS g_{r}, least({1 - CATCH}, b_{r}) AS b_{r}" for r in RULES)
         terms = " + ".join(f"CASE v_{r} WHEN 1 THEN ln(g_{r} / b_{r}) WHEN -1 THEN ln((1 - g_{r}) / (1 - b_{r})) ELSE 0 END" for r in RULES)
         sql += f""",
 m{k} AS (SELECT prior, {held} FROM (SELECT (sum(n * p) + 1) / (sum(n) + 2) AS prior, {fall} FROM e{k})),
