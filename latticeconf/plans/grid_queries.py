@@ -104,9 +104,9 @@ def pool_any(spark, sf_dir):
     return grid.pool(_whole(cells(spark, sf_dir), 2), 2, [F.bool_or(F.col("cluster") == 3).alias("hit")])
 
 
-@query(f"WITH {SPX_SQL}, r AS (SELECT unnest(range(0, 4)) AS k), w AS (SELECT s.y, (grid_row - a.k) // 2 AS grid_row, (grid_col - b.k) // 2 AS grid_col FROM spx s, r a, r b WHERE grid_row < 10 AND grid_row >= a.k AND grid_col >= b.k AND (grid_row - a.k) % 2 = 0 AND (grid_col - b.k) % 2 = 0 AND grid_row - a.k + 4 <= 10 AND grid_col - b.k + 4 <= 100) SELECT grid_row, grid_col, CAST(sum(y) AS BIGINT) AS total FROM w GROUP BY ALL")
+@query(f"WITH {SPX_SQL}, {EXT_SQL}, r AS (SELECT unnest(range(0, 4)) AS k), w AS (SELECT s.y, (grid_row - a.k) // 2 AS grid_row, (grid_col - b.k) // 2 AS grid_col FROM spx s, ext, r a, r b WHERE grid_row >= a.k AND grid_col >= b.k AND (grid_row - a.k) % 2 = 0 AND (grid_col - b.k) % 2 = 0 AND grid_row - a.k + 4 <= n_rows AND grid_col - b.k + 4 <= n_cols) SELECT grid_row, grid_col, CAST(sum(y) AS BIGINT) AS total FROM w GROUP BY ALL")
 def pool_strided_overlap(spark, sf_dir):
-    c = cells(spark, sf_dir)  # the SQL above holds the first 10 rows alone: all of the grid at scale 0.001, a part of it beyond
+    c = cells(spark, sf_dir)
     sized = c.crossJoin(F.broadcast(grid.extents(c)))
     return grid.pool_strided(sized, 4, 2, F.col("n_rows"), F.col("n_cols"), [F.sum("y").alias("total")])
 
