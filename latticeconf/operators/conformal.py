@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import LEVELS, clipped_score, confidence
+from .shared import written
+
+DIGITS = 9
+#: Distinct scores of a key that one task sorts; keys of more are dealt to ranges.
+TASK_SCORES = 1_000_000
 
 
 def _over(keys: Sequence[str], order: Column, down: bool = False):
@@ -39,6 +44,12 @@ def distinct_scores(calib: DataFrame, test: DataFrame, keys: Sequence[str]) -> D
     return both.groupBy(*keys, "score").agg(F.sum("_c").alias("n_calib"), F.sum("_t").alias("n_test"))
 
 
+def ranges_for(scores: DataFrame, keys: Sequence[str], most: int = TASK_SCORES) -> int:
+    """How many ranges the key of most distinct scores needs, so that a range has about most of them."""
+    largest = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    return max(1, -(-largest // most))
+
+
 def rank_and_adjust(scores: DataFrame, keys: Sequence[str], ranges: int = 1) -> DataFrame:
     """(keys, score, p, p_adj) for scores that test rows have.
 
@@ -113,11 +124,12 @@ def tolerance(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength:
         low = _below_own_quantile(side.select(*keys, F.col("yhat").cast("double").alias("value")), wide, keys)
         sides.append(_grid_quantiles(low, keys, LEVELS[strength]).withColumnRenamed("quantiles", name))
     shift = sides[0].join(sides[1], keys).select(*keys, (-F.array_max(F.zip_with("_c", "_t", lambda a, b: F.greatest(F.lit(0.0), b - a)))).alias("shift"))
-    return share.join(shift, keys, "left").select(*keys, F.coalesce("shift", F.lit(0.0)).alias("tolerance"))
+    # rounded, so that equal scores stay equal whatever the order of the interpolation's sums
+    return share.join(shift, keys, "left").select(*keys, (F.round(F.coalesce("shift", F.lit(0.0)), DIGITS) + 0.0).alias("tolerance"))
 
 
-def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = 0.0, score: Callable[[Column, Column, Column], Column] = clipped_score, ranges: int = 1) -> DataFrame:
-    """Test rows with p, p_adj and confidence.
+def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = 0.0, score: Callable[[Column, Column, Column], Column] = clipped_score, ranges: int | None = 1) -> DataFrame:
+    """Test rows with p, p_adj and confidence. ranges: None takes as many as the counted scores ask for.
 
     calib: keys, y, yhat, null_number; test: keys, yhat, null_number and whatever
     else is to be kept. Rows whose cluster key is NULL keep p = 1. A key without
@@ -131,7 +143,11 @@ def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: s
     if isinstance(strength, str) or strength:
         tol = tolerance(cal.withColumn("is_null", F.col("y") <= c), test.where(known), keys, strength)
         cal = cal.join(tol, keys).withColumn("score", F.col("score") + F.col("tolerance")).drop("tolerance")
-    p = rank_and_adjust(distinct_scores(cal, out.where(known), keys), keys, ranges)
+    scores = distinct_scores(cal, out.where(known), keys)
+    if ranges is None:
+        scores = written(scores, "conformal-scores")
+        ranges = ranges_for(scores, keys)
+    p = rank_and_adjust(scores, keys, ranges)
     joined = out.join(p, [*keys, "score"], "left").drop("score")
     filled = joined.withColumns({"p": F.coalesce("p", F.lit(1.0)), "p_adj": F.coalesce("p_adj", F.lit(1.0))})
     return filled.withColumn("confidence", confidence(F.col("p_adj")))

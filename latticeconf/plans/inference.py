@@ -16,6 +16,7 @@ from ..operators.conformal import adjusted
 from ..operators.grid import extents, in_rects, pool, whole_windows, with_membership
 from ..operators.members import running_norm
 from ..operators.models import crossfit_mean
+from ..operators.shared import written
 
 KEYS = ["target", "scale", "cluster"]
 
@@ -29,7 +30,7 @@ def _pooled(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return p.withColumn("yhat", F.when(F.col("kind") == "type", F.col("yhat") / (F.col("scale") * F.col("scale"))).otherwise(F.col("yhat").cast("double"))).where("tissue")
 
 
-def confidence(cells: DataFrame, rects: Sequence[tuple], folds: DataFrame, scales: Sequence[int], strength: str | float = 0.0, ranges: int = 1) -> DataFrame:
+def confidence(cells: DataFrame, rects: Sequence[tuple], folds: DataFrame, scales: Sequence[int], strength: str | float = "medium", ranges: int | None = None) -> DataFrame:
     """(target, scale, grid_row, grid_col, cluster, y, null_number, p, p_adj, confidence) of windows that reach outside the ROIs.
 
     cells: grid_row, grid_col, tissue, cluster, and by target: target, kind,
@@ -42,11 +43,13 @@ def confidence(cells: DataFrame, rects: Sequence[tuple], folds: DataFrame, scale
     fitted = crossfit_mean(known, folds, "category", "y").select("roi_idx", "target", "grid_row", "grid_col", whole_number)
     calib = in_roi.join(fitted, ["roi_idx", "target", "grid_row", "grid_col"], "left").na.fill(0, ["yhat"])
     calib = calib.select("*", every, F.lit(True).alias("in_roi"), F.col("height").alias("n_rows"), F.col("width").alias("n_cols")).withColumns({"grid_row": F.col("grid_row") - F.col("row0"), "grid_col": F.col("grid_col") - F.col("col0")})
-    calib = _pooled(calib, ["roi_idx"])
+    calib = written(_pooled(calib, ["roi_idx"]), "confidence-windows")
     norm = running_norm(calib.where("kind = 'expression'"), ["target", "scale"], "roi_idx", "y")
     last = norm.groupBy("target", "scale").agg(F.max("norm").alias("norm"))
     divided = lambda df, by, keys: df.join(F.broadcast(by), keys, "left").withColumns({"y": F.col("y") / F.coalesce("norm", F.lit(1.0)), "yhat": F.col("yhat") / F.coalesce("norm", F.lit(1.0))})
     model = known.groupBy("category").agg(F.floor(F.sum("y") / F.count("y")).alias("yhat"))
     test = with_membership(cells, rects).join(F.broadcast(model), "category", "left").na.fill(0, ["yhat"]).crossJoin(F.broadcast(extents(cells))).select("*", every)
     test = _pooled(test, []).where("out_roi")
-    return adjusted(divided(calib, norm, ["target", "scale", "roi_idx"]), divided(test, last, ["target", "scale"]), KEYS, strength, ranges=ranges).select("target", "scale", "grid_row", "grid_col", "cluster", "y", "null_number", "p", "p_adj", "confidence")
+    # both are read several times: for shares, quantiles and ranks
+    sides = written(divided(calib, norm, ["target", "scale", "roi_idx"]), "confidence-calib"), written(divided(test, last, ["target", "scale"]), "confidence-test")
+    return adjusted(*sides, KEYS, strength, ranges=ranges).select("target", "scale", "grid_row", "grid_col", "cluster", "y", "null_number", "p", "p_adj", "confidence")

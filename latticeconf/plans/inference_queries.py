@@ -69,14 +69,19 @@ def confidence_score(spark, sf_dir):
     return conformal.adjusted(*_sides(spark, sf_dir), ["cluster"]).select("event_id", F.round("confidence", 6).alias("confidence"))
 
 
-def _quantile(side: str) -> str:
-    return f"""{side}k AS (SELECT b.cluster, yhat::DOUBLE AS v, share, row_number() OVER (PARTITION BY b.cluster ORDER BY yhat) - 1 AS k, count(*) OVER (PARTITION BY b.cluster) AS n FROM b JOIN wide USING (cluster) WHERE {'calib' if side == 'c' else 'NOT calib'}),
+def _quantile(side: str, rows: str, keys: str = "cluster") -> str:
+    """Quantiles of a side's predictions up to its own quantile at the share of nulls; side: c or t, rows: its table."""
+    return f"""{side}k AS (SELECT {keys}, yhat::DOUBLE AS v, share, row_number() OVER (PARTITION BY {keys} ORDER BY yhat) - 1 AS k, count(*) OVER (PARTITION BY {keys}) AS n FROM {rows} JOIN wide USING ({keys})),
 {side}h AS (SELECT *, floor((n - 1) * share) AS lo, (n - 1) * share - floor((n - 1) * share) AS f FROM {side}k),
-{side}q AS (SELECT cluster, max(v) FILTER (WHERE k = lo) + (max(v) FILTER (WHERE k = least(lo + 1, n - 1)) - max(v) FILTER (WHERE k = lo)) * max(f) AS cut FROM {side}h GROUP BY 1),
-{side}l AS (SELECT cluster, quantile_cont(v, [{', '.join(map(str, LEVELS['medium']))}]) AS q FROM {side}h JOIN {side}q USING (cluster) WHERE v <= cut GROUP BY 1)"""
+{side}q AS (SELECT {keys}, max(v) FILTER (WHERE k = lo) + (max(v) FILTER (WHERE k = least(lo + 1, n - 1)) - max(v) FILTER (WHERE k = lo)) * max(f) AS cut FROM {side}h GROUP BY ALL),
+{side}l AS (SELECT {keys}, quantile_cont(v, [{', '.join(map(str, LEVELS['medium']))}]) AS q FROM {side}h JOIN {side}q USING ({keys}) WHERE v <= cut GROUP BY ALL)"""
 
 
-TOLERANCE = f"{BASE}, sh AS (SELECT cluster, avg((y <= {NULL_NUMBER})::INTEGER) AS share FROM b WHERE calib GROUP BY 1), wide AS (SELECT * FROM sh WHERE share > 0.1), {_quantile('c')}, {_quantile('t')}, shift AS (SELECT cluster, -list_max(list_transform(list_zip(cl.q, tl.q), lambda x: greatest(0, x[2] - x[1]))) AS shift FROM cl JOIN tl USING (cluster)), tol AS (SELECT cluster, coalesce(shift, 0) AS tolerance FROM sh LEFT JOIN shift USING (cluster))"
+def _tolerance(calib: str, test: str, null: str, keys: str = "cluster") -> str:
+    return f"sh AS (SELECT {keys}, avg((y <= {null})::INTEGER) AS share FROM {calib} GROUP BY ALL), wide AS (SELECT * FROM sh WHERE share > 0.1), {_quantile('c', calib, keys)}, {_quantile('t', test, keys)}, shift AS (SELECT {keys}, -list_max(list_transform(list_zip(cl.q, tl.q), lambda x: greatest(0, x[2] - x[1]))) AS shift FROM cl JOIN tl USING ({keys})), tol AS (SELECT {keys}, round(coalesce(shift, 0), 9) + 0.0 AS tolerance FROM sh LEFT JOIN shift USING ({keys}))"
+
+
+TOLERANCE = f"{BASE}, bc AS (SELECT * FROM b WHERE calib), bt AS (SELECT * FROM b WHERE NOT calib), {_tolerance('bc', 'bt', str(NULL_NUMBER))}"
 
 
 @query(f"WITH {TOLERANCE} SELECT cluster, round(tolerance, 6) AS tolerance FROM tol")
@@ -136,7 +141,8 @@ t1 AS (SELECT target, kind, null_number, scale, grid_row // scale AS grid_row, g
 t2 AS (SELECT * REPLACE ({_MEAN}) FROM t1 WHERE tissue AND out_roi),
 last AS (SELECT target, scale, max(norm) AS norm FROM norm GROUP BY ALL),
 tes AS (SELECT t.target, t.scale, grid_row, grid_col, cluster, null_number, t.y / coalesce(norm, 1) AS y, t.yhat / coalesce(norm, 1) AS yhat FROM t2 t LEFT JOIN last l ON l.target = t.target AND l.scale = t.scale),
-u AS (SELECT target, scale, cluster, 1 AS c, NULL AS grid_row, NULL AS grid_col, NULL AS y, null_number, CASE WHEN y <= null_number THEN -yhat ELSE 'infinity'::DOUBLE END AS score FROM cal UNION ALL SELECT target, scale, cluster, 0, grid_row, grid_col, y, null_number, -yhat FROM tes),
+{_tolerance('cal', 'tes', 'null_number', 'target, scale, cluster')},
+u AS (SELECT target, scale, cluster, 1 AS c, NULL AS grid_row, NULL AS grid_col, NULL AS y, null_number, CASE WHEN y <= null_number THEN -yhat + tolerance ELSE 'infinity'::DOUBLE END AS score FROM cal JOIN tol USING (target, scale, cluster) UNION ALL SELECT target, scale, cluster, 0, grid_row, grid_col, y, null_number, -yhat FROM tes),
 v AS (SELECT *, (sum(c) OVER (PARTITION BY target, scale, cluster ORDER BY score RANGE UNBOUNDED PRECEDING) - sum(c) OVER (PARTITION BY target, scale, cluster, score) + 1) / (sum(c) OVER (PARTITION BY target, scale, cluster) + 1) AS p FROM u),
 w AS (SELECT *, count(*) OVER (PARTITION BY target, scale, cluster) * p / count(*) OVER (PARTITION BY target, scale, cluster ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM v WHERE c = 0),
 a AS (SELECT *, least(1, min(raw) OVER (PARTITION BY target, scale, cluster ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS p_adj FROM w)
