@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 99
@@ -17,13 +17,14 @@ def discoveries(tested: DataFrame, keys: Sequence[str]) -> DataFrame:
     return admitted.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("y") > F.col("null_number")).alias("true_hits"))
 
 
-def fdp_curve(tested: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, fdr, fdp, n_discover) at 0.01 .. 0.99.
+def fdp_curve(tested: DataFrame, keys: Sequence[str], mask: Column | None = None) -> DataFrame:
+    """(keys, fdr, fdp, n_discover) at 0.01 .. 0.99; mask: rows whose truth is known, as cells with a type are for type targets.
 
     Rows are counted by the lowest level that admits them; a cumulative sum over
     99 rows a key then replaces a product of levels and rows.
     """
     keys = list(keys)
+    tested = tested if mask is None else tested.where(mask)
     levels = tested.select(*keys).distinct().withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))))
     w = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     grown = levels.join(discoveries(tested, keys), [*keys, "level"], "left").na.fill(0, ["hits", "true_hits"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K, PRE_PCA, SEED = 15, 80, 42
@@ -19,20 +21,45 @@ def halves(df: DataFrame, emb: str, size: int) -> DataFrame:
     return df.withColumns({"emb_global": F.slice(emb, 1, size // 2), "emb_local": F.slice(emb, size // 2 + 1, size - size // 2)})
 
 
+def pooled_vectors(df: DataFrame, emb: str, scale: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, grid_row, grid_col, emb): mean vector by window, as partial sums of whole vectors on the map side."""
+    at = df.select(*keys, F.floor(F.col("grid_row") / scale).cast("long").alias("grid_row"), F.floor(F.col("grid_col") / scale).cast("long").alias("grid_col"), array_to_vector(F.col(emb).cast("array<double>")).alias("v"))
+    return at.groupBy(*keys, "grid_row", "grid_col").agg(Summarizer.mean(F.col("v")).alias("v")).select(*keys, "grid_row", "grid_col", vector_to_array("v").alias("emb"))
+
+
 def pool_mean(df: DataFrame, emb: str, scale: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, grid_row, grid_col, place, value): mean of each component by window.
+    """As pooled_vectors, a row for each component: (keys, grid_row, grid_col, place, value)."""
+    return pooled_vectors(df, emb, scale, keys).select(*keys, "grid_row", "grid_col", F.posexplode("emb").alias("place", "value"))
 
-    Components are rows, so that means are partial sums on the map side.
-    """
-    at = df.select(*keys, F.floor(F.col("grid_row") / scale).cast("long").alias("grid_row"), F.floor(F.col("grid_col") / scale).cast("long").alias("grid_col"), F.posexplode(emb).alias("place", "x"))
-    return at.groupBy(*keys, "grid_row", "grid_col", "place").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
+def stored(spark: SparkSession, path: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
+    """The model at path; where there is none, fit() makes it and it is put there."""
+    try:
+        return PipelineModel.load(path)
+    except Exception as e:
+        if not re.search("does not exist|PATH_NOT_FOUND|FileNotFound", str(e)):
+            raise
+    model = fit()
+    model.write().save(path)
+    return model
 
-def pooled_vectors(df: DataFrame, emb: str, scale: int, keys: Sequence[str] = ()) -> DataFrame:
-    """As pool_mean, put together as one array a window."""
-    cells = pool_mean(df, emb, scale, keys)
-    listed = cells.groupBy(*keys, "grid_row", "grid_col").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("a"))
-    return listed.withColumn("emb", F.transform("a", lambda x: x["value"])).drop("a")
+
+def reduce_slides(slides: DataFrame, rois: DataFrame, emb: str, size: int, k: int, path: str, scales: Sequence[int] = (1,)) -> DataFrame:
+    """(kind, scale, ..) with reduced: one model of all slides' vectors, made once, applied to slides and ROIs at every scale.
+
+    slides and rois have slide_id, grid_row, grid_col and emb; of rois, roi_idx as well.
+    """
+    as_vectors = lambda df: halves(df, emb, size).withColumns({c: array_to_vector(F.col(c).cast("array<double>")) for c in ("emb_global", "emb_local")})
+    model = stored(slides.sparkSession, path, lambda: pca_pipeline(["emb_global", "emb_local"], k).fit(as_vectors(slides)))
+    out = None
+    for kind, df, keys in (("slide", slides, ["slide_id"]), ("roi", rois, ["slide_id", "roi_idx"])):
+        for scale in scales:
+            pooled = pooled_vectors(df, emb, scale, keys)
+            one = model.transform(as_vectors(pooled.withColumnRenamed("emb", emb) if emb != "emb" else pooled))
+            roi = F.col("roi_idx") if kind == "roi" else F.lit(None).cast("int")
+            one = one.select(F.lit(kind).alias("kind"), F.lit(scale).alias("scale"), "slide_id", roi.alias("roi_idx"), "grid_row", "grid_col", vector_to_array("reduced").alias("reduced"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def pca_pipeline(columns: Sequence[str], k: int) -> Pipeline:

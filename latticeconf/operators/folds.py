@@ -74,6 +74,11 @@ def _in(kind: str):
     return (r >= F.col(f"{kind}_top")) & (r < F.col(f"{kind}_bottom")) & (c >= F.col(f"{kind}_left")) & (c < F.col(f"{kind}_right"))
 
 
+def in_fold():
+    """Whether a cell lies in the fold that it is joined to."""
+    return _in("f")
+
+
 def assign(cells: DataFrame, folds: DataFrame) -> DataFrame:
     """Cells with the fold whose centre holds them; folds are few, so this is a broadcast join."""
     return cells.join(F.broadcast(folds), "roi_idx").where(_in("c"))

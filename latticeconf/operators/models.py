@@ -1,9 +1,10 @@
 """Predictors and cross-fitting.
 
-A predictor is a function fit_predict(train, test) -> values on pandas frames; it
-is applied by fold in applyInPandas, so folds run as separate tasks. Two are
-given: the mean by category, which is also plain SQL (crossfit_mean), and a
-small multilayer perceptron with an asymmetric loss in NumPy.
+Two predictors are fitted from sums that folds take their share out of, at any
+size: the mean by category (crossfit_mean, also plain SQL) and ridge regression of
+several targets (crossfit_ridge). Any other is a function fit_predict(train, test)
+-> values on pandas frames, applied by fold in applyInPandas to a bounded sample
+(crossfit); given is a small multilayer perceptron with an asymmetric loss in NumPy.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import assign, training_rows
+from .folds import assign, in_fold, training_rows
 
 EPOCHS, RATE, UNDER, HIDDEN = 20, 1e-3, 2.0, (128, 64, 128)
+#: Cells that the models of crossfit() are fitted on, at most.
+MOST_ROWS = 200_000
 
 
 def crossfit_mean(cells: DataFrame, folds: DataFrame, category: str, y: str) -> DataFrame:
@@ -29,7 +32,7 @@ def crossfit_mean(cells: DataFrame, folds: DataFrame, category: str, y: str) ->
     Sums over all rows less the fold's own: no row is repeated for each fold.
     """
     every = cells.groupBy(category).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
-    own = cells.join(F.broadcast(folds), "roi_idx").where((F.col("grid_row") >= F.col("f_top")) & (F.col("grid_row") < F.col("f_bottom")) & (F.col("grid_col") >= F.col("f_left")) & (F.col("grid_col") < F.col("f_right")))
+    own = cells.join(F.broadcast(folds), "roi_idx").where(in_fold())
     held = own.groupBy("roi_idx", "fold_id", category).agg(F.sum(y).alias("fs"), F.count(y).alias("fn"))
     models = every.crossJoin(F.broadcast(folds.select("roi_idx", "fold_id"))).join(held, ["roi_idx", "fold_id", category], "left").na.fill(0, ["fs", "fn"])
     left = F.col("n") - F.col("fn")
@@ -37,14 +40,94 @@ def crossfit_mean(cells: DataFrame, folds: DataFrame, category: str, y: str) ->
     return assign(cells, folds).join(models, ["roi_idx", "fold_id", category])
 
 
-def crossfit(cells: DataFrame, folds: DataFrame, features: Sequence[str], y: str, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> DataFrame:
+def _moments(keys: Sequence[str], df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """(keys, xx, xy): sums of products of the features (with a constant) with each other and with the targets."""
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
+    xx = [F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]
+    xy = [F.sum(a * F.col(t).cast("double")) for t in targets for a in x]
+    return df.groupBy(*keys).agg(F.array(*xx).alias("xx"), F.array(*xy).alias("xy"))
+
+
+def _ridge(xx: np.ndarray, xy: np.ndarray, n: int, targets: int, penalty: float) -> list[list[float]]:
+    a = np.zeros((n, n))
+    a[np.triu_indices(n)] = xx
+    a = a + np.triu(a, 1).T + penalty * np.diag([0.0] + [1.0] * (n - 1))
+    return np.linalg.lstsq(a, np.asarray(xy).reshape(targets, n).T, rcond=None)[0].T.tolist()
+
+
+def crossfit_ridge(cells: DataFrame, folds: DataFrame, features: Sequence[str], targets: Sequence[str], penalty: float = 1.0) -> tuple[DataFrame, list[list[float]]]:
+    """Centre cells with yhat (array, by target) of ridge regressions that leave their fold out; and the full model's coefficients.
+
+    A fold's normal equations are those of all cells less its own, so that cells
+    are read once, whatever the number of folds; only sums (a row a fold) reach the
+    driver. Coefficients: a list a target, constant first; apply with ridge_values().
+    """
+    n, k = len(features) + 1, len(targets)
+    every = _moments([], cells, features, targets).collect()[0]
+    if every["xx"][0] is None:
+        return assign(cells, folds).withColumn("yhat", F.array().cast("array<double>")), [[0.0] * n] * k
+    whole = np.array(every["xx"]), np.array(every["xy"])
+    own = cells.join(F.broadcast(folds), "roi_idx").where(in_fold())
+    held = {(r["roi_idx"], r["fold_id"]): (np.array(r["xx"]), np.array(r["xy"])) for r in _moments(["roi_idx", "fold_id"], own, features, targets).collect()}
+    none = (0.0, 0.0)
+    rows = []
+    for f in folds.select("roi_idx", "fold_id").distinct().collect():
+        xx, xy = held.get((f["roi_idx"], f["fold_id"]), none)
+        rows.append((f["roi_idx"], f["fold_id"], _ridge(whole[0] - xx, whole[1] - xy, n, k, penalty)))
+    models = cells.sparkSession.createDataFrame(rows, "roi_idx int, fold_id int, model array<array<double>>")
+    out = assign(cells, folds).join(F.broadcast(models), ["roi_idx", "fold_id"]).withColumn("yhat", ridge_values(F.col("model"), features)).drop("model")
+    return out, _ridge(*whole, n, k, penalty)
+
+
+def ridge_values(model: Column, features: Sequence[str]) -> Column:
+    """Values of each target: products of the coefficients with (1, features)."""
+    x = F.array(F.lit(1.0), *(F.col(c).cast("double") for c in features))
+    return F.transform(model, lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+
+
+def full_model_values(cells: DataFrame, coefficients: list[list[float]], features: Sequence[str]) -> DataFrame:
+    """cells with yhat of the full model, as used outside the ROIs."""
+    model = F.array(*(F.array(*map(F.lit, w)) for w in coefficients))
+    return cells.withColumn("yhat", ridge_values(model, features))
+
+
+def temperature(held_out: DataFrame, logits: str, label: str, lowest: float = 0.05, highest: float = 20.0, rounds: int = 4, steps: int = 24) -> float:
+    """The temperature of least mean cross-entropy on held-out rows, by a search that narrows a grid.
+
+    logits: array<double>, label: index from 0. Each round is one aggregate over all
+    rows for all of its temperatures.
+    """
+    lo, hi = np.log(lowest), np.log(highest)
+    best = 0.0
+    for _ in range(rounds):
+        grid = np.linspace(lo, hi, steps)
+        top = F.array_max(logits)
+        loss = lambda t: F.avg(F.ln(F.aggregate(logits, F.lit(0.0), lambda s, z: s + F.exp((z - top) / t))) - (F.get(logits, F.col(label).cast("int")) - top) / t)  # noqa: B023, E731
+        row = held_out.agg(*(loss(float(np.exp(g))).alias(f"t{i}") for i, g in enumerate(grid))).collect()[0]
+        if row[0] is None:
+            return 1.0
+        at = int(np.argmin(list(row)))
+        best, lo, hi = grid[at], grid[max(0, at - 1)], grid[min(steps - 1, at + 1)]
+    return float(np.exp(best))
+
+
+def softmax(logits: str, temperature: float = 1.0) -> Column:
+    e = F.transform(logits, lambda z: F.exp((z - F.array_max(logits)) / temperature))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+
+
+def crossfit(cells: DataFrame, folds: DataFrame, features: Sequence[str], y: str, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], most_rows: int = MOST_ROWS) -> DataFrame:
     """Centre cells with yhat of a model that was fitted by fold on its training rows.
 
-    A fold's rows meet in one task, as its model needs them: bounded by the ROIs.
+    A fold's training rows meet in one task, as its model needs them; so models are
+    fitted on a sample of about most_rows cells, chosen by a hash of the place. A
+    fold's centre is bounded by the fold's width. crossfit_ridge has no such bound.
     """
+    share = min(1.0, most_rows / max(1, cells.count()))
+    sample = cells.where(F.pmod(F.xxhash64("roi_idx", "grid_row", "grid_col"), F.lit(1 << 30)) < share * (1 << 30))
     keys, cols = ["fold_roi", "fold_id"], [*features, y]
     # toDF: both sides come from the same tables and need column ids of their own
-    train = training_rows(cells, folds).select(*keys, *cols).toDF(*keys, *cols)
+    train = training_rows(sample, folds).select(*keys, *cols).toDF(*keys, *cols)
     test = assign(cells, folds).select("roi_idx", "fold_id", "grid_row", "grid_col", *features).toDF(*keys, "grid_row", "grid_col", *features)
     schema = "fold_roi int, fold_id int, grid_row long, grid_col long, yhat double"
 

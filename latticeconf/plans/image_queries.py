@@ -170,3 +170,54 @@ def mlp_classifier(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
     out = models.type_classifier(v.select(F.col("vector").alias("features"), "label"), 64, epochs=60).transform(v.withColumnRenamed("vector", "features"))
     return out.select("vec_id", F.array_max(vector_to_array("probability")).alias("top_probability"), F.col("prediction").cast("int").alias("prediction"))
+
+
+#: Facts of fitted models that hold whatever the fit: SQL can state these, not the fits.
+_HALF_VARIANCE = "SELECT half, round(sum(v), 6) AS variance, round(sum(m), 6) + 0.0 AS mean FROM (SELECT half, var_pop(x) AS v, 0.0::DOUBLE AS m FROM (SELECT CASE WHEN i <= 32 THEN 'global' ELSE 'local' END AS half, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) GROUP BY half, i) GROUP BY half"
+
+
+@query(_HALF_VARIANCE)
+def pca_keeps_variance(spark, sf_dir):
+    """All components of a half are centred and hold the half's whole variance."""
+    _, out = embedding.reduce_halves(table(spark, sf_dir, "embeddings"), "embedding", 64, 32)
+    facts = embedding.component_facts(out, "reduced")
+    half = F.when(F.col("place") < 32, "global").otherwise("local").alias("half")
+    return facts.groupBy(half).agg(F.round(F.sum("variance"), 6).alias("variance"), (F.round(F.sum("mean"), 6) + 0.0).alias("mean"))
+
+
+@query("SELECT count(*) AS n, true AS in_range, true AS nearest FROM embeddings")
+def kmeans_assigns_all(spark, sf_dir):
+    """Every row has one of the k labels, that of the nearest centre."""
+    model, out = embedding.stratify(_vectors(spark, sf_dir), "vector", 64)
+    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.stages[-1].clusterCenters()))
+    x = vector_to_array("vector")
+    far = F.transform(centres, lambda c: F.aggregate(F.zip_with(c, x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    near = F.get(far, F.col("cluster")) <= F.array_min(far) + 1e-9
+    return out.select("cluster", near.alias("near")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("cluster").between(0, embedding.K - 1)).alias("in_range"), F.bool_and("near").alias("nearest"))
+
+
+@query(f"WITH {_MEANS} SELECT count(*) AS n, true AS in_range FROM m")
+def gmm_labels_all(spark, sf_dir):
+    return gmm_groups(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("label").between(0, 2)).alias("in_range"))
+
+
+@query("SELECT count(*) AS n, true AS sums_to_one, true AS takes_the_top FROM embeddings")
+def mlp_gives_distributions(spark, sf_dir):
+    """Probabilities of every row sum to 1, and the prediction is the likeliest type."""
+    v = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
+    out = models.type_classifier(v.select(F.col("vector").alias("features"), "label"), 64, epochs=20).transform(v.withColumnRenamed("vector", "features"))
+    p = vector_to_array("probability")
+    one = F.abs(F.aggregate(p, F.lit(0.0), lambda s, x: s + x) - 1) < 1e-9
+    top = F.get(p, F.col("prediction").cast("int")) == F.array_max(p)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.bool_and(one).alias("sums_to_one"), F.bool_and(top).alias("takes_the_top"))
+
+
+def _smooth_sql(axis: str, other: str, n: str, rows: str) -> str:
+    at = f"o.{axis} + kn.d"
+    mirrored = f"(CASE WHEN {at} < 0 THEN -1 - ({at}) WHEN {at} >= {n} THEN 2 * {n} - 1 - ({at}) ELSE {at} END)"
+    return f"SELECT o.grid_row, o.grid_col, sum(g.y * w) AS y FROM {rows} o CROSS JOIN kn CROSS JOIN ext JOIN {rows} g ON g.{axis} = {mirrored} AND g.{other} = o.{other} GROUP BY ALL"
+
+
+@query(f"WITH {SPX_SQL}, {_KERNEL}, ext AS (SELECT max(grid_row) + 1 AS n_rows, max(grid_col) + 1 AS n_cols FROM spx), s1 AS ({_smooth_sql('grid_row', 'grid_col', 'n_rows', 'spx')}), s2 AS ({_smooth_sql('grid_col', 'grid_row', 'n_cols', 's1')}) SELECT grid_row, grid_col, round(y, 4) AS y FROM s2")
+def smoothen(spark, sf_dir):
+    return tissue.smoothen(cells(spark, sf_dir), "y", 4).withColumn("y", F.round("y", 4))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import LEVELS, clipped_score, confidence
 from ..operators import audit, conformal, folds
-from ..sources.tables import ROI_SQL, ROIS, SPX_SQL, cells
+from ..operators.shared import shared_path, written
+from ..sources.tables import ROI_SQL, ROIS, SPX_SQL, as_cells, cells
+from ..streaming import scoring
 from . import inference
 from .grid_queries import FOLD_SQL, FOLDS, IN_ROI, within
 
@@ -30,7 +32,12 @@ CONFIDENCE_SQL = "greatest(0, least(1, ln(0.5 / p_adj) / ln(50)))"
 
 
 def base(spark, sf_dir):
-    c = cells(spark, sf_dir).where("tissue")
+    return predicted(cells(spark, sf_dir))
+
+
+def predicted(c):
+    """Tissue cells with the stand-in prediction and their part."""
+    c = c.where("tissue")
     e = F.col("event_id")
     yhat = F.when(e % 7 == 0, 700 + e % 11 * 60).otherwise(F.col("y") + (e * 37) % 901 - 450)
     return c.select("event_id", "cluster", "y", yhat.alias("yhat"), (e % 3 == 0).alias("calib"), F.lit(NULL_NUMBER).alias("null_number"))
@@ -153,3 +160,15 @@ SELECT target, scale::INTEGER AS scale, grid_row, grid_col, cluster, round(p_adj
 def confidence_end_to_end(spark, sf_dir):
     out = inference.confidence(target_cells(spark, sf_dir), ROIS, folds.fold_table(spark, FOLDS), SCALES)
     return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
+
+
+@query(f"WITH {RANKED} SELECT event_id, p, round(greatest(0, least(1, ln(0.5 / p) / ln(50))), 6) AS confidence FROM p")
+def stream_scores(spark, sf_dir):
+    """Test cells as a stream of files, ranked in micro-batches against the calibration cells."""
+    calib, _ = _sides(spark, sf_dir)
+    table = written(scoring.calibration_table(calib, ["cluster"]), "stream-calibration")
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
+    scored = scoring.score_stream(predicted(as_cells(events)).where("NOT calib"), table, ["cluster"]).select("event_id", "p", F.round("confidence", 6).alias("confidence"))
+    out = shared_path(spark, "stream-scores")
+    scored.writeStream.format("parquet").option("checkpointLocation", f"{out}-log").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scored.schema).parquet(out)

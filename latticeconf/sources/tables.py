@@ -19,6 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a grid of 100 columns: stratum user_id % 15, truth in whole cents."""
-    e = table(spark, sf_dir, "events")
+    return as_cells(table(spark, sf_dir, "events"))
+
+
+def as_cells(e: DataFrame) -> DataFrame:
     cluster = F.col("user_id") % 15
     return e.select("event_id", F.floor(F.col("event_id") / WIDTH).alias("grid_row"), (F.col("event_id") % WIDTH).alias("grid_col"), cluster.alias("cluster"), (cluster != 14).alias("tissue"), F.col("event_type").alias("ct"), F.round(F.col("value") * 100).cast("long").alias("y"), "value")
