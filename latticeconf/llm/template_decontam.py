@@ -10,13 +10,18 @@ that merely share phrases. Names can't be told once the case has changed, so a
 second form of both sides, in lower case and with placeholders for numbers and units
 alone, finds copies of another case.
 
-Scale. One pass turns each document into window strings (native expressions on the
-row, no shuffle) and joins their hashes to the benchmark's: broadcast up to
-BROADCAST_WINDOWS windows, beyond that shuffled, after a broadcast of the bare
+Scale. A first pass looks for pairs of words: of every eight places of an item one
+pair of plain words, the rarest of five, so that no window holds two of them. A pair
+that a document lacks takes all windows over it along, so by the pigeonhole principle
+a document that holds enough of an item's windows holds a known number of its pairs,
+and no document is lost. The pass cuts each text into its pairs of words (native
+expressions on the row, no shuffle) and joins their hashes to the benchmark's pairs:
+broadcast up to BROADCAST_KEYS, beyond that shuffled, after a broadcast of the bare
 hashes (8 bytes each, up to BROADCAST_HASHES) has dropped all others. Only documents
-that hold enough of an item's windows are read again for the slot check. Nothing
-groups by window, so a passage that many documents share meets only as counts by
-document and item.
+that may hold an item are read again, for the windows, the count and the slot check.
+Items whose pairs promise nothing (of a few placeholders, say) are looked for by their
+windows in all texts. Nothing groups by window, so a passage that many documents share
+meets only as counts by document and item.
 
 Defined cases: null text has no tokens and is never found; rows of one doc_id
 count as one document, and rows without a doc_id can't be named and stay out of
@@ -29,7 +34,7 @@ either side finds nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -41,8 +46,10 @@ CONTAIN = 0.8
 LITERALS = 3
 #: Share of an item's slots that may change in more than one way.
 INCONSISTENT = 0.2
-BROADCAST_WINDOWS = 200_000
+BROADCAST_KEYS = 200_000
 BROADCAST_HASHES = 4_000_000
+#: Of so many places one pair is looked for, among the first few of them: then pairs are WINDOW - 1 places apart at least.
+BLOCK, CHOICE = 8, 5
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Unit words that become a placeholder after a number.
 UNITS = "km cm mm kg mg lb lbs oz ml mph kph hz khz mhz ghz kb mb gb tb usd eur gbp percent dollars dollar euros euro cents cent pounds pound meters meter metres metre kilometers kilometer kilometres kilometre centimeters centimetres miles mile feet foot inches inch hours hour minutes minute seconds second days day weeks week months month years year grams gram kilograms kilogram liters liter litres litre degrees degree".split()
@@ -100,20 +107,19 @@ def _grams(t: Column, n: int, form: int) -> Column:
     return F.regexp_extract_all(t, F.lit(run), F.lit(1))
 
 
-def _windows(t: Column, form: int, short: list[int]) -> Column:
-    """Window strings of a template: runs of WINDOW tokens, or the whole of a shorter text; in form 1 runs of the short lengths as well."""
-    t = F.translate(t, " ", _BETWEEN[form]) if form else t
-    few = F.length(t) - F.length(F.translate(t, _BETWEEN[form], "")) < WINDOW - 1
-    spare = lambda n: lambda w: F.length(w) - F.length(F.translate(w, NUM + UNIT, "")) <= n - LITERALS
-    parts = [_grams(t, WINDOW, form), *(F.filter(_grams(t, n, form), spare(n)) for n in short if form)]
-    return F.when((t != "") & few, F.concat(F.array(t), *parts[1:])).otherwise(F.concat(*parts))
-
-
 def window_hashes(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
-    """(key, h): a row for each window of each text in either form."""
-    own = docs.select(key, numbered(F.col("text")).alias("n")).select(key, *(template(F.col("n"), form).alias(f"t{form}") for form in FORMS))
-    both = F.concat(*(_windows(F.col(f"t{form}"), form, short) for form in FORMS))
-    return own.select(key, F.explode(both).alias("w")).select(key, F.xxhash64("w").alias("h"))
+    """(key, h): a row for each window of each text in either form.
+
+    Windows are runs of WINDOW tokens, or the whole of a shorter text; in form 1 runs
+    of the short lengths as well. Each step is a column of its own, computed once.
+    """
+    own = docs.select(key, numbered(F.col("text")).alias("n"))
+    own = own.select(key, template(F.col("n"), 0).alias("t0"), F.replace(template(F.col("n"), 1), F.lit(" "), F.lit(_BETWEEN[1])).alias("t1"))
+    spare = lambda n: lambda w: F.length(w) - F.length(F.translate(w, NUM + UNIT, "")) <= n - LITERALS
+    few = lambda t, sep: ~t.rlike(rf"^[^{sep}]+(?:{sep}[^{sep}]+){{{WINDOW - 1}}}")
+    parts = [F.when(few(F.col(f"t{form}"), _BETWEEN[form]), F.array_remove(F.array(f"t{form}"), "")).otherwise(_grams(F.col(f"t{form}"), WINDOW, form)) for form in FORMS]
+    parts += [F.filter(_grams(F.col("t1"), n, 1), spare(n)) for n in short]
+    return own.select(key, F.explode(F.concat(*parts)).alias("w")).select(key, F.xxhash64("w").alias("h"))
 
 
 def windows_with_values(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
@@ -125,8 +131,9 @@ def windows_with_values(docs: DataFrame, key: str, short: list[int]) -> DataFram
         size = F.least(F.size("t"), F.lit(WINDOW))
         for n in [size, *(map(F.lit, short) if form else ())]:
             starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n))
-            w = one.select(key, "t", "r", n.alias("size"), F.explode(starts).alias("at"))
-            w = w.select(key, F.lit(form).alias("form"), "at", "size", *(F.slice(c, F.col("at") + 1, F.col("size")).alias(c) for c in ("t", "r")))
+            cut = lambda i: F.struct(i.alias("at"), n.alias("size"), F.slice("t", i + 1, n).alias("t"), F.slice("r", i + 1, n).alias("r"))  # noqa: B023, E731
+            w = one.select(key, F.explode(F.transform(starts, cut)).alias("x"))  # cut before exploding: a row then holds a window, not the text
+            w = w.select(key, F.lit(form).alias("form"), "x.*")
             kept = F.lit(True) if n is size else F.size(F.filter("t", lambda x: ~x.rlike(_SLOT))) >= LITERALS
             w = w.where(kept).withColumn("h", F.xxhash64(F.array_join("t", _BETWEEN[form])))
             out = w if out is None else out.unionByName(w)
@@ -144,23 +151,69 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return w.drop("most").join(n, ["item_id", "form"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def pair_hashes(docs: DataFrame, key: str) -> DataFrame:
+    """(key, h): a row for each pair of neighbouring words of each text, in lower case; what stands between them doesn't count."""
+    words = docs.select(key, F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ").alias("t"))
+    return words.select(key, F.explode(_grams(F.col("t"), 2, 0)).alias("w")).select(key, F.xxhash64("w").alias("h"))
+
+
+def seed_pairs(bench: DataFrame, contain: float) -> tuple[DataFrame, DataFrame]:
+    """(item_id, form, h): pairs to look for; (item_id, form, least): how many of them a document must have, 0 or less where that says nothing."""
+    key = ["item_id", "form"]
+    once = bench.groupBy(*key, "h").agg(F.count(F.lit(1)).alias("k")).where("k = 1")  # a repeated window could be lost by either place
+    pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.slice("t", i + 1, 2))
+    at = bench.where(F.size("t") > 1).join(once, [*key, "h"], "left_semi").select(*key, "at", F.posexplode(pairs).alias("j", "two"))
+    at = at.select(*key, (F.col("at") + F.col("j")).alias("place"), F.array_join("two", " ").alias("w"))
+    cover = at.where(~F.col("w").rlike(_SLOT)).groupBy(*key, "place", "w").agg(F.count(F.lit(1)).alias("kills"))
+    spread = cover.groupBy("w").agg(F.countDistinct("item_id").alias("items"))
+    choice = F.max(F.struct("kills", (-F.col("items")).alias("rare"), F.length("w").alias("size"), "w")).alias("x")
+    seeds = cover.where(F.col("place") % BLOCK < CHOICE).join(spread, "w").groupBy(*key, F.floor(F.col("place") / BLOCK).alias("block")).agg(choice)
+    # one pair of two blocks counts once, with what its better place takes along
+    seeds = written(seeds.groupBy(*key, F.col("x.w").alias("w")).agg(F.max("x.kills").alias("kills")), "decontam-seeds")
+    missing = F.col("n_item_windows") - F.ceil(F.lit(contain) * F.col("n_item_windows") - 1e-9)
+    may_miss = bench.groupBy(*key).agg(F.first(missing).alias("missing"))
+    lost = F.sum("kills").over(Window.partitionBy(*key).orderBy("kills", "w").rowsBetween(Window.unboundedPreceding, 0))  # over an item's pairs
+    least = may_miss.join(seeds.withColumn("lost", lost), key, "left").groupBy(*key).agg(F.count_if(F.col("lost") > F.col("missing")).alias("least"))
+    return seeds.select(*key, F.xxhash64("w").alias("h")), least
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN, broadcast_keys: int = BROADCAST_KEYS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """A row for each document and item that it holds."""
     key = ["doc_id", "item_id", "form"]
     bench = written(benchmark_windows(benchmark), "decontam-items")
     short = sorted(r["size"] for r in bench.where(f"form = 1 AND plain >= {LITERALS}").where(F.col("size").isin(*SHORT)).select("size").distinct().collect())  # two numbers at most
-    keys = bench.groupBy("h", "item_id", "form").agg(F.first("n_item_windows").alias("n_item_windows"))
-    n_keys = keys.limit(broadcast_hashes + 1).count()
-    aside = F.broadcast if n_keys <= broadcast_windows else (lambda x: x)
-    first = F.broadcast(keys.select("h").distinct()) if broadcast_windows < n_keys <= broadcast_hashes else None
-    known = lambda w: w if first is None else w.join(first, "h", "left_semi")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = known(window_hashes(texts, "doc_id", short)).join(aside(keys), "h").groupBy(*key, "n_item_windows").agg(F.countDistinct("h").alias("n_windows"))
-    held = written(hits.where(F.col("n_windows") >= F.lit(contain) * F.col("n_item_windows")), "decontam-held")
-    again = windows_with_values(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", short)
-    ours = bench.select("item_id", "form", F.col("at").alias("item_at"), "h", F.col("r").alias("item_r"), F.col("t").alias("item_t"))
-    pairs = again.select("doc_id", "form", F.col("at").alias("doc_at"), "h", "r").join(aside(ours), ["h", "form"]).join(held.select(*key), key, "left_semi")
+
+    def holders(found: DataFrame, keys: DataFrame, least: DataFrame) -> DataFrame:
+        """(doc_id, item_id, form) with at least the given number of the item's keys (h, item_id, form)."""
+        n_keys = keys.limit(broadcast_hashes + 1).count()
+        aside = F.broadcast if n_keys <= broadcast_keys else (lambda x: x)
+        if broadcast_keys < n_keys <= broadcast_hashes:
+            found = found.join(F.broadcast(keys.select("h").distinct()), "h", "left_semi")
+        hits = found.join(aside(keys), "h").groupBy(*key).agg(F.countDistinct("h").alias("n"))
+        return hits.join(aside(least), ["item_id", "form"]).where("n >= least").select(*key)
+
+    seeds, least = seed_pairs(bench, contain)
+    least = written(least, "decontam-least")
+    promising = least.where("least > 0")
+    may = holders(pair_hashes(texts, "doc_id"), seeds.join(promising, ["item_id", "form"], "left_semi"), promising)
+    rest = bench.join(least.where("least <= 0"), ["item_id", "form"], "left_semi")
+    if rest.take(1):
+        every = rest.select("item_id", "form", "h").distinct()
+        enough = rest.groupBy("item_id", "form").agg((F.lit(contain) * F.first("n_item_windows")).alias("least"))
+        may = may.unionByName(holders(window_hashes(texts, "doc_id", short), every, enough))
+    may = written(may, "decontam-may")
+    n_items = bench.limit(broadcast_keys + 1).count()
+    aside = F.broadcast if n_items <= broadcast_keys else (lambda x: x)
+    # written, as filters on the texts' windows would else be moved before the join
+    found = written(texts.join(may.select("doc_id").distinct(), "doc_id", "left_semi"), "decontam-texts")
+    again = windows_with_values(found, "doc_id", short)
+    ours = bench.select("item_id", "form", F.col("at").alias("item_at"), "h", F.col("r").alias("item_r"), F.col("t").alias("item_t"), "n_item_windows")
+    pairs = again.select("doc_id", "form", F.col("at").alias("doc_at"), "h", "r").join(aside(ours), ["h", "form"]).join(may, key, "left_semi")
     pairs = written(pairs, "decontam-pairs")
+    held = pairs.groupBy(*key, "n_item_windows").agg(F.countDistinct("h").alias("n_windows")).where(F.col("n_windows") >= F.lit(contain) * F.col("n_item_windows"))
+    held = written(held, "decontam-held")
+    pairs = pairs.join(held.select(*key), key, "left_semi")
     verbatim = pairs.where(F.array_join("r", " ") == F.array_join("item_r", " ")).groupBy(*key).agg(F.countDistinct("h").alias("n_verbatim"))
     # a template that an item repeats meets itself at several places: of these the
     # one in line with most other windows of the item counts

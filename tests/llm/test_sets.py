@@ -532,7 +532,7 @@ def test_decontamination_without_broadcast(spark, docs, data, edge, nothing):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     cols = ("doc_id", "item_id", "n_windows", "kind")
     want = rows(template_decontam.contaminated(docs, bench), *cols)
-    assert want == rows(template_decontam.contaminated(docs, bench, broadcast_windows=0), *cols) and want == rows(template_decontam.contaminated(docs, bench, broadcast_windows=0, broadcast_hashes=0), *cols)
+    assert want == rows(template_decontam.contaminated(docs, bench, broadcast_keys=0), *cols) and want == rows(template_decontam.contaminated(docs, bench, broadcast_keys=0, broadcast_hashes=0), *cols)
     assert template_decontam.contaminated(edge, bench).count() == 0
     assert template_decontam.contaminated(nothing, bench).count() == 0
     assert template_decontam.contaminated(docs, bench.limit(0)).count() == 0
