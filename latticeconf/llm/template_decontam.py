@@ -103,7 +103,7 @@ def _bare(values: Column) -> Column:
 def _grams(t: Column, n: int, form: int) -> Column:
     """All runs of n tokens of a template, joined by the form's separator."""
     sep = _BETWEEN[form]
-    run = rf"(?=([^{sep}]++(?:{sep}[^{sep}]++){{{n - 1}}}))[^{sep}]+"
+    run = rf"(?<![^{sep}])(?=([^{sep}]++(?:{sep}[^{sep}]++){{{n - 1}}}))[^{sep}]++"  # tried at a token's start alone: a token may be very long
     return F.regexp_extract_all(t, F.lit(run), F.lit(1))
 
 
@@ -116,7 +116,7 @@ def window_hashes(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
     own = docs.select(key, numbered(F.col("text")).alias("n"))
     own = own.select(key, template(F.col("n"), 0).alias("t0"), F.replace(template(F.col("n"), 1), F.lit(" "), F.lit(_BETWEEN[1])).alias("t1"))
     spare = lambda n: lambda w: F.length(w) - F.length(F.translate(w, NUM + UNIT, "")) <= n - LITERALS
-    few = lambda t, sep: ~t.rlike(rf"^[^{sep}]+(?:{sep}[^{sep}]+){{{WINDOW - 1}}}")
+    few = lambda t, sep: ~t.rlike(rf"^[^{sep}]++(?:{sep}[^{sep}]++){{{WINDOW - 1}}}")
     parts = [F.when(few(F.col(f"t{form}"), _BETWEEN[form]), F.array_remove(F.array(f"t{form}"), "")).otherwise(_grams(F.col(f"t{form}"), WINDOW, form)) for form in FORMS]
     parts += [F.filter(_grams(F.col("t1"), n, 1), spare(n)) for n in short]
     return own.select(key, F.explode(F.concat(*parts)).alias("w")).select(key, F.xxhash64("w").alias("h"))
