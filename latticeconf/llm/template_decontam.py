@@ -122,20 +122,32 @@ def window_hashes(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
     return own.select(key, F.explode(F.concat(*parts)).alias("w")).select(key, F.xxhash64("w").alias("h"))
 
 
-def windows_with_values(docs: DataFrame, key: str, short: list[int]) -> DataFrame:
+def windows_with_values(docs: DataFrame, key: str) -> DataFrame:
     """(key, form, at, size, h, t, r): windows with their template tokens and values."""
     out = None
     for form in FORMS:
         one = docs.select(key, valued(F.col("text"), form).alias("v")).where("v <> ''")
         one = one.select(key, F.split(_bare(F.col("v")), " ").alias("t"), F.split("v", " ").alias("r"))
         size = F.least(F.size("t"), F.lit(WINDOW))
-        for n in [size, *(map(F.lit, short) if form else ())]:
-            starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n))
-            cut = lambda i: F.struct(i.alias("at"), n.alias("size"), F.slice("t", i + 1, n).alias("t"), F.slice("r", i + 1, n).alias("r"))  # noqa: B023, E731
-            w = one.select(key, F.explode(F.transform(starts, cut)).alias("x"))  # cut before exploding: a row then holds a window, not the text
-            w = w.select(key, F.lit(form).alias("form"), "x.*")
-            kept = F.lit(True) if n is size else F.size(F.filter("t", lambda x: ~x.rlike(_SLOT))) >= LITERALS
-            w = w.where(kept).withColumn("h", F.xxhash64(F.array_join("t", _BETWEEN[form])))
+        cut = lambda i: F.struct(i.alias("at"), size.alias("size"), F.slice("t", i + 1, size).alias("t"), F.slice("r", i + 1, size).alias("r"))  # noqa: B023, E731
+        w = one.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - size), cut)).alias("x"))
+        w = w.select(key, F.lit(form).alias("form"), "x.*").withColumn("h", F.xxhash64(F.array_join("t", _BETWEEN[form])))
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+def placed_windows(filled: DataFrame, short: list[int]) -> DataFrame:
+    """(doc_id, row, form, doc_at, h) for the windows of texts in valued() form."""
+    out = None
+    for form in FORMS:
+        sep = _BETWEEN[form]
+        one = filled.where(F.col("form") == form).select("doc_id", "row", "form", F.translate(_bare(F.col("v")), " ", sep).alias("t"))
+        few = ~F.col("t").rlike(rf"^[^{sep}]++(?:{sep}[^{sep}]++){{{WINDOW - 1}}}")
+        spare = lambda n: F.length("w") - F.length(F.translate("w", NUM + UNIT, "")) <= n - LITERALS
+        for n in [WINDOW, *(short if form else ())]:
+            grams = F.when(few, F.array("t")).otherwise(_grams(F.col("t"), n, form)) if n == WINDOW else _grams(F.col("t"), n, form)
+            w = one.select("doc_id", "row", "form", F.posexplode(grams).alias("doc_at", "w"))
+            w = (w if n == WINDOW else w.where(spare(n))).select("doc_id", "row", "form", "doc_at", F.xxhash64("w").alias("h"))
             out = w if out is None else out.unionByName(w)
     return out
 
@@ -143,7 +155,7 @@ def windows_with_values(docs: DataFrame, key: str, short: list[int]) -> DataFram
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of items that take part in the join: (item_id, form, at, size, h, t, r, n_tokens, n_item_windows)."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    w = windows_with_values(items, "item_id", [])
+    w = windows_with_values(items, "item_id")
     w = w.withColumn("plain", F.size(F.filter("t", lambda x: ~x.rlike(_SLOT))))
     rich = w.groupBy("item_id", "form").agg(F.max("plain").alias("most"))
     w = w.join(rich, ["item_id", "form"]).where(f"plain >= {LITERALS} OR most < {LITERALS}")
@@ -205,11 +217,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, contain: float = CONTAIN
     may = written(may, "decontam-may")
     n_items = bench.limit(broadcast_keys + 1).count()
     aside = F.broadcast if n_items <= broadcast_keys else (lambda x: x)
-    # written, as filters on the texts' windows would else be moved before the join
-    found = written(texts.join(may.select("doc_id").distinct(), "doc_id", "left_semi"), "decontam-texts")
-    again = windows_with_values(found, "doc_id", short)
+    found = texts.join(may.select("doc_id").distinct(), "doc_id", "left_semi")
+    # written, as the values would else be made again for each use
+    forms = F.array(*(F.struct(F.lit(form).alias("form"), valued(F.col("text"), form).alias("v")) for form in FORMS))
+    filled = written(found.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(forms).alias("x")).select("doc_id", "row", "x.*"), "decontam-texts").where("v <> ''")
     ours = bench.select("item_id", "form", F.col("at").alias("item_at"), "h", F.col("r").alias("item_r"), F.col("t").alias("item_t"), "n_item_windows")
-    pairs = again.select("doc_id", "form", F.col("at").alias("doc_at"), "h", "r").join(aside(ours), ["h", "form"]).join(may, key, "left_semi")
+    hits = placed_windows(filled, short).join(aside(ours), ["h", "form"]).join(may, key, "left_semi")
+    said = filled.select("row", "form", F.split("v", " ").alias("said"))
+    pairs = hits.join(said, ["row", "form"]).withColumn("r", F.slice("said", F.col("doc_at") + 1, F.size("item_r"))).drop("said", "row")
     pairs = written(pairs, "decontam-pairs")
     held = pairs.groupBy(*key, "n_item_windows").agg(F.countDistinct("h").alias("n_windows")).where(F.col("n_windows") >= F.lit(contain) * F.col("n_item_windows"))
     held = written(held, "decontam-held")
