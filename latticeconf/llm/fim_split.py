@@ -22,6 +22,7 @@ are kept, but for those that the result adds (a clashing one is replaced).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,7 +60,7 @@ class Sentinels:
 
     @property
     def pattern(self) -> str:
-        return "|".join(rf"\Q{x}\E" for x in (self.prefix, self.suffix, self.middle))
+        return "|".join(re.escape(x) for x in (self.prefix, self.suffix, self.middle))
 
 
 SEED, RATE, SPM = 7, 100, 50

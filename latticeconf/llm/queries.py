@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim_split, hyperlang, license_scan, pii, poisson_mix, simhash_gph, size_tiered, template_decontam, text_density, token_align, token_rollup, weak_quality
+from . import fim_split, hyperlang, license_scan, pii, poisson_mix, simhash_gph, size_tiered, template_decontam, text_density, token_align, token_pack, token_rollup, weak_quality
 from .common import table
 
 
@@ -59,12 +59,16 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents")).drop("groups")
 
 
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pack.pack(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_simhash_groups, op4_poisson_mix, op5_weak_quality, op6_pii, op7_size_tiered_shards, op8_main_text, op9_language, op10_decontaminate, op11_fill_in_middle, op12_token_alignment, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_simhash_groups, op4_poisson_mix, op5_weak_quality, op6_pii, op7_size_tiered_shards, op8_main_text, op9_language, op10_decontaminate, op11_fill_in_middle, op12_token_alignment, op13_pack_sequences, pipeline)}
 
 ORACLE_SQL = {"op4_poisson_mix": poisson_mix.ORACLE, "op5_weak_quality": weak_quality.oracle(), "op10_decontaminate": template_decontam.ORACLE, "op11_fill_in_middle": fim_split.ORACLE}
