@@ -230,6 +230,51 @@ def test_shared_passages_split_by_further_bands(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(40)) >= 39
 
 
+def recall(spark, texts):
+    """Of the pairs at a similarity of 0.8, how many are in one group; none may be in a group that such pairs don't make."""
+    near = near_pairs(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    reached = {}
+    for root in sorted(near):
+        todo = [root] * (root not in reached)
+        while todo:
+            if (j := todo.pop()) not in reached:
+                reached[j] = root
+                todo += near[j]
+    assert all(reached[i] == reached[got[i]] for i in texts)
+    links = [(i, j) for i in near for j in near[i]]
+    return sum(got[i] == got[j] for i, j in links) / len(links)
+
+
+def changed(rng, words, n, mark):
+    out = list(words)
+    for at in rng.sample(range(len(words)), n):
+        out[at] = f"{mark}-{at}"
+    return out
+
+
+def test_recall_in_a_large_group_of_copies(spark):
+    """Copies of one text, and copies of those, most of them beyond 0.8 of each other; the text itself comes last."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    first = [changed(rng, base, rng.randint(1, 4), f"a{i}") for i in range(250)]
+    second = [changed(rng, rng.choice(first), rng.randint(1, 4), f"b{i}") for i in range(150)]
+    assert recall(spark, {i: " ".join(x) for i, x in enumerate([*second, *first, base])}) >= 0.98
+
+
+def test_recall_under_a_passage_in_all_texts(spark):
+    """A passage of three quarters of each text; pairs of copies just within 0.8, and small groups."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(200)]
+    texts = []
+    for i in range(120):
+        own = [f"o{i}-{k}" for k in range(66)]
+        texts.append(passage + own)
+        texts += [passage + changed(rng, own, rng.randint(1, 5), f"x{i}-{k}") for k in range(rng.randint(0, 3))]
+    rng.shuffle(texts)
+    assert recall(spark, {i: " ".join(x) for i, x in enumerate(texts)}) >= 0.98
+
+
 def test_pipeline_drops_copies_at_similarity(spark, docs):
     """No kept pair at a five-word Jaccard of 0.8, none dropped without a chain of such links; keys of more sets than are expanded."""
     import corpus_pipeline
