@@ -98,12 +98,6 @@ def claim(spark: SparkSession, path: str, note: str) -> bool:
     return True
 
 
-def moved(spark: SparkSession, path: str, to: str) -> None:
-    (at, fs), (there, _) = _located(spark, path), _located(spark, to)
-    fs.mkdirs(there.getParent())
-    fs.rename(at, there)
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Removes a file or folder, if it is there."""
     at, fs = _located(spark, path)

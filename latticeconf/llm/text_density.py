@@ -6,10 +6,15 @@ The node of the greatest sum is the main content's root; the least density on
 its path from the body is the threshold above which other subtrees count as
 content too; a leaf's sum is its own density, and a leaf beside the content (or
 beside a node around it) counts from HALF the mean of the content's blocks, an h1
-at any density. Nodes whose tag, role, class or id says menu, footer, advert and so
-on are taken out before densities are computed, as are scripts, styles, forms and
-comments; but no class or id, and no form, takes out what holds main or else the longest
-article, or on a page without either MOST of the text.
+at any density. Nodes whose tag or role says menu, footer, advert and so on are
+taken out before densities are computed, as are scripts, styles, forms and
+comments. A class or id can do so where its whole name says it ("comments",
+"site-footer"); one that merely holds such a word ("social-science", an id made from
+a heading) proposes, and link-adjusted density decides: the node goes if at least HALF of
+its text is links. Ids of sections, paragraphs, quotes, figures and rows only
+propose, since they are often made from headings, and headings are never marked.
+No class or id, and no form, takes out what holds main or else the longest article,
+or on a page without either MOST of the text.
 
 Pages are parsed one per row (mapInArrow, no shuffle), with explicit stacks, so
 deep nesting costs no recursion. Defined cases: null, empty or text-free html
@@ -39,9 +44,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead topbar cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments commentlist respond reply replies disqus widget toolbar pagination pager".split()
 )
+#: Parts that leave a name's meaning to its marks, and parts that turn it round.
+NEUTRAL = frozenset("site main page post posts entry article articles story stories content left right top bottom primary secondary global container wrapper wrap box area list section block bar links link buttons button inner outer item items group row col column panel module slot zone region fixed sticky body text title".split())
+TURNED = frozenset("no not non has have with without free hide hidden before after".split())
+#: Tags whose ids are often made from headings.
+TEXTUAL = frozenset("section p blockquote figure figcaption li dt dd tr td th pre table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Share of the page's text that no class or id can take out.
 MOST = 0.75
-#: A leaf beside the content belongs to it from this share of the content's mean density.
+#: A leaf beside the content belongs to it from this share of the content's mean density; a node that holds a mark goes from this share of links.
 HALF = 0.5
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
@@ -55,7 +66,7 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.drop, self.mark = ["#page"], [-1], [False], [False]
+        self.tag, self.parent, self.drop, self.mark = ["#page"], [-1], [False], [0]
         self.pieces: list[tuple[int, str | None]] = []  # (node, text); None: a block's edge
         self.open, self.live = [0], Counter()  # tags that are open, to pass over what can't be closed
 
@@ -123,26 +134,44 @@ def _hidden(tag: str, attrs) -> bool:
     return any(k == "role" and (v or "").lower() in ROLES or k == "hidden" or k == "aria-hidden" and (v or "").lower() == "true" for k, v in attrs)
 
 
-def _marked(tag: str, attrs, inside: bool) -> bool:
-    """Whether a class or id speaks against the node; inside an article a header is its own, as the tag is."""
-    if tag in ("html", "body", "article", "main"):
-        return False
+def _strength(name: str, inside: bool) -> int:
+    """What a class or id says against its node: 0 nothing, 1 it holds such a word, 2 all of it does; inside an article a header is its own."""
+    parts = {x for x in _SPLIT.split(name.lower()) if x}
+    marks = parts & MARKS - ({"header"} if inside else set())
+    if not marks or parts & TURNED:
+        return 0
+    return 2 if all(x in MARKS or x in NEUTRAL or x.isdigit() for x in parts) else 1
+
+
+def _marked(tag: str, attrs, inside: bool) -> int:
+    """The strongest mark of the node's classes and id."""
+    if tag in HEADINGS or tag in ("html", "body", "article", "main"):
+        return 0
     if tag == "form":  # a page may be wrapped in one
-        return True
-    marks = {x for k, v in attrs if k in ("class", "id") and v for x in _SPLIT.split(v.lower())} & MARKS
-    return bool(marks - {"header"} if inside else marks)
+        return 2
+    found = [0]
+    for k, v in attrs:
+        if k == "class":
+            found += [_strength(x, inside) for x in (v or "").split()]
+        elif k == "id":
+            found.append(min(_strength(v or "", inside), 1 if tag in TEXTUAL else 2))
+    return max(found)
 
 
 def drop_marked(tree: _Tree) -> None:
     """Drops marked nodes, but for those that hold main or else the longest article, or on a page without them most of the text."""
     n = len(tree.tag)
-    chars = [0] * n
+    chars, link_chars, in_link = [0] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = tree.tag[i] == "a" or in_link[tree.parent[i]]
     for i, s in tree.pieces:
         if s and not tree.drop[i]:
-            chars[i] += len(_SPACE.sub("", s))
+            chars[i] += (size := len(_SPACE.sub("", s)))
+            link_chars[i] += size * in_link[i]
     for i in range(n - 1, 0, -1):
         if not tree.drop[i]:
             chars[tree.parent[i]] += chars[i]
+            link_chars[tree.parent[i]] += link_chars[i]
     live = [i for i in range(n) if chars[i] and not tree.drop[i]]
     held = [i for i in live if tree.tag[i] == "main"] or sorted((i for i in live if tree.tag[i] == "article"), key=lambda i: (-chars[i], i))[:1]
     most = math.inf if held else MOST * chars[0]
@@ -152,7 +181,8 @@ def drop_marked(tree: _Tree) -> None:
             kept.add(i)
             i = tree.parent[i]
     for i in range(1, n):
-        aside = tree.mark[i] and i not in kept and chars[i] < most
+        said = tree.mark[i] == 2 or tree.mark[i] == 1 and link_chars[i] >= HALF * chars[i]
+        aside = said and i not in kept and chars[i] < most
         tree.drop[i] = tree.drop[i] or tree.drop[tree.parent[i]] or aside
 
 

@@ -5,10 +5,11 @@ adds, a delete takes away, a revision does both (also when the source, language
 or tokenizer version changes). A batch is first reduced to signed sums by
 (source, lang, tokenizer), which are additive, and written as one immutable
 delta under a name of its own; a small file named by the batch's id, put in place by
-one exclusive rename, names the delta and makes it count. So a batch id counts once,
-whoever sends it and however often: a second writer's rename fails and its delta
-isn't read. Totals are the last snapshot and the deltas since; snapshot() folds these
-into the next one, so that reading doesn't grow with the number of batches.
+one exclusive rename, names the delta and makes it count. That name is never given
+up, so a batch id counts once, whoever sends it, however often and however late: a
+second writer's rename fails and its delta isn't read. Totals are the last snapshot
+and the deltas since; snapshot() folds these into the next one and notes each as
+folded, so that deltas read don't grow with the number of batches; names listed do.
 
 Only signed sums are kept, so a delta's size is the number of groups, not of
 documents. Hot sources are pre-aggregated by every task before the shuffle.
@@ -31,11 +32,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, exists, moved, names_in, note_at, removed, shared_dir, written
+from .common import claim, exists, names_in, note_at, removed, shared_dir, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -126,12 +126,12 @@ class TokenRollup:
         return json.loads(note_at(self.spark, f"{self.root}/snapshots/{last}")) | {"at": int(last)} if last else {"at": 0, "data": None, "folded": []}
 
     def _open(self, snapshot: dict) -> list[str]:
-        """Committed batches that the snapshot doesn't hold; as many as were committed since."""
-        return [b for b in names_in(self.spark, f"{self.root}/batches") if b not in set(snapshot["folded"])]
+        """Committed batches that the snapshot doesn't hold."""
+        folded = {*snapshot["folded"], *names_in(self.spark, f"{self.root}/folded")}
+        return [b for b in names_in(self.spark, f"{self.root}/claims") if b not in folded]
 
     def is_committed(self, batch_id: str) -> bool:
-        # a batch moves from batches to folded, so that in this order it is seen in one of them
-        return exists(self.spark, f"{self.root}/batches/{batch_id}") or exists(self.spark, f"{self.root}/folded/{batch_id}")
+        return exists(self.spark, f"{self.root}/claims/{batch_id}")
 
     def commit(self, batch_id: str, delta: DataFrame) -> bool:
         """Adds a batch once; False if it had been committed before."""
@@ -141,13 +141,13 @@ class TokenRollup:
             return False
         name = f"{batch_id}-{uuid.uuid4().hex}"
         delta.write.parquet(f"{self.root}/deltas/{name}")
-        if not claim(self.spark, f"{self.root}/batches/{batch_id}", name):
+        if not claim(self.spark, f"{self.root}/claims/{batch_id}", name):
             removed(self.spark, f"{self.root}/deltas/{name}")
             return False
         return True
 
     def _paths(self, snapshot: dict, batches: list[str]) -> list[str]:
-        paths = [f"{self.root}/deltas/{note_at(self.spark, f'{self.root}/batches/{b}')}" for b in batches]
+        paths = [f"{self.root}/deltas/{note_at(self.spark, f'{self.root}/claims/{b}')}" for b in batches]
         return paths + ([f"{self.root}/snapshot-data/{snapshot['data']}"] if snapshot["data"] else [])
 
     def _sums(self, paths: list[str]) -> DataFrame:
@@ -160,11 +160,8 @@ class TokenRollup:
         """Sums over the committed batches; groups that came to nothing are left out."""
         while True:
             snapshot = self._snapshot()
-            try:
-                paths = self._paths(snapshot, self._open(snapshot))
-            except Py4JJavaError:  # a batch may be put away while it is read
-                paths = None
-            if self._snapshot()["at"] == snapshot["at"] and paths is not None:  # else another was made meanwhile
+            paths = self._paths(snapshot, self._open(snapshot))
+            if self._snapshot()["at"] == snapshot["at"]:  # else another was made meanwhile, whose batches may be noted as folded
                 return self._sums(paths)
 
     def snapshot(self) -> bool:
@@ -187,8 +184,8 @@ class TokenRollup:
 
     def _put_away(self, snapshot: dict) -> None:
         for b in snapshot["folded"]:
-            if exists(self.spark, f"{self.root}/batches/{b}"):
-                moved(self.spark, f"{self.root}/batches/{b}", f"{self.root}/folded/{b}")
+            if not exists(self.spark, f"{self.root}/folded/{b}"):
+                claim(self.spark, f"{self.root}/folded/{b}", "")
 
 
 def _revised(docs: DataFrame, vocabulary: str, tokenizer: str) -> tuple[TokenRollup, DataFrame, DataFrame]:

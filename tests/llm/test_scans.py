@@ -190,6 +190,24 @@ def test_marks_and_leaves_lose_no_content(html, text):
     assert text_density.extract(html) == "\n".join(x.strip() for x in text)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>T</h1><h2 id='share-prices-fell'>Share prices fell</h2><p>{LEAD}</p></article>", ["T", "Share prices fell", LEAD]),
+        (f"<article><h1>T</h1><section id='related-work'><h2 id='comments'>Comments</h2><p>{LEAD}</p></section></article>", ["T", "Comments", LEAD]),
+        (f"<article><section id='notice'><p>{LEAD}</p></section><p>{BODY}</p></article>", [LEAD, BODY]),
+        (f"<article><div class='entry social-science'><h1>T</h1><p>{BODY}</p></div></article>", ["T", BODY]),
+        ("<article><p class='comment-free'>short</p><blockquote class='side-note'>a quote</blockquote><figure class='promo-image'><figcaption>caption</figcaption></figure><p>end</p></article>", ["short", "a quote", "caption", "end"]),
+        (f"<body><div class='content no-sidebar'>{f'<p>{BODY}</p>' * 3}</div><div>{f'<p>{BODY}</p>' * 2}</div></body>", [BODY] * 5),
+        (f"<article><p>{BODY}</p><div class='related-reads'><a href=x>one more</a> <a href=y>and another</a></div><div class='post-comments'><p>{LEAD}</p></div><div id='ad-slot-2'>{LEAD}</div></article>", [BODY]),
+        (f"<body><div class='page'><p>{BODY}</p><p>{BODY}</p></div><div class='site-footer'><p>{LEAD}</p></div><ul class='comment-list'><li>{LEAD}</li></ul></body>", [BODY] * 2),
+    ],
+)
+def test_marks_propose(page, text):
+    """Names that merely hold a mark, and ids made from headings, take no text out; whole names do."""
+    assert text_density.extract(page) == "\n".join(x.strip() for x in text)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [

@@ -119,6 +119,22 @@ def test_rollup_snapshots(spark, tmp_path, monkeypatch):
     assert not t.commit("b5", one(7)) and total() == 111_111
 
 
+def test_rollup_batch_claimed_after_two_snapshots(spark, tmp_path, monkeypatch):
+    """A writer that has found a batch open, and then sleeps over its commit by another and two snapshots, adds nothing."""
+    t, u = (token_rollup.TokenRollup(spark, f"{tmp_path}/r") for _ in "tu")
+    one = lambda n: spark.createDataFrame([("a", "en", "v1", 1, n, n)], token_rollup.DELTA)
+    real = token_rollup.claim
+
+    def late(*a):
+        monkeypatch.setattr(token_rollup, "claim", real)
+        assert u.commit("b1", one(1)) and u.snapshot() and u.commit("b2", one(100)) and u.snapshot()
+        return real(*a)
+
+    monkeypatch.setattr(token_rollup, "claim", late)
+    assert not t.commit("b1", one(1))
+    assert rows(t.totals(), "docs", "tokens") == [(2, 101)] and t.snapshot() and rows(u.totals(), "docs", "tokens") == [(2, 101)]
+
+
 def test_slices_lose_no_token():
     counter = token_rollup.BpeCounter(token_rollup.ranks_of(open(token_rollup.VOCABULARY, "rb").read()))
     text = "some words 12, and  more;\n\n" * 40_000 + "x" * 30
