@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import LEVELS, clipped_score, confidence
+from .quantiles import by_probability, cumulated, ranges_for, spread, totals
 from .shared import written
 
 DIGITS = 9
-#: Distinct scores of a key that one task sorts; keys of more are dealt to ranges.
-TASK_SCORES = 1_000_000
 
 
 def _over(keys: Sequence[str], order: Column, down: bool = False):
@@ -27,29 +26,12 @@ def _over(keys: Sequence[str], order: Column, down: bool = False):
     return w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def spread(scores: DataFrame, keys: Sequence[str], score: str, ranges: int) -> DataFrame:
-    """Adds part: the number of the key's approximate quantiles that lie below the score.
-
-    Equal scores share a part, whatever the quantiles' error; only balance hangs on them.
-    """
-    if ranges < 2:
-        return scores.withColumn("part", F.lit(0))
-    cuts = scores.groupBy(*keys).agg(F.percentile_approx(score, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(50 * ranges)).alias("_cuts"))
-    return scores.join(cuts, list(keys)).withColumn("part", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
-
-
 def distinct_scores(calib: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, score, n_calib, n_test): both sides' counts of every score."""
     both = calib.select(*keys, "score", F.lit(1).alias("_c"), F.lit(0).alias("_t")).unionByName(test.select(*keys, "score", F.lit(0).alias("_c"), F.lit(1).alias("_t")))
     return both.groupBy(*keys, "score").agg(F.sum("_c").alias("n_calib"), F.sum("_t").alias("n_test"))
 
 
-def ranges_for(scores: DataFrame, keys: Sequence[str], most: int = TASK_SCORES) -> int:
-    """How many ranges the key of most distinct scores needs, so that a range has about most of them."""
-    largest = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
-    return max(1, -(-largest // most))
-
-
 def rank_and_adjust(scores: DataFrame, keys: Sequence[str], ranges: int = 1) -> DataFrame:
     """(keys, score, p, p_adj) for scores that test rows have.
 
@@ -84,33 +66,12 @@ def rank_and_adjust(scores: DataFrame, keys: Sequence[str], ranges: int = 1) ->
     return raw.join(low, own).select(*keys, "score", "p", F.least(F.lit(1.0), inside, F.coalesce("raw_after", F.lit(1.0))).alias("p_adj"))
 
 
-def interpolated_rank(share: Column, n: Column) -> tuple[Column, Column]:
-    """0-based rank below the quantile of a sorted sample of n, and the weight of the next one."""
-    h = (n - 1) * share
-    return F.floor(h), h - F.floor(h)
-
-
-def _grid_quantiles(sample: DataFrame, keys: list[str], levels: Sequence[float]) -> DataFrame:
-    """(keys, quantiles) of value at the levels; exact, with linear interpolation."""
-    return sample.groupBy(*keys).agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("quantiles"))
-
-
-def _below_own_quantile(side: DataFrame, share: DataFrame, keys: list[str]) -> DataFrame:
-    """Values up to the side's own quantile at its key's share."""
-    w = Window.partitionBy(*keys)
-    ranked = side.join(share, keys).withColumn("_k", F.row_number().over(w.orderBy("value")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at, part = interpolated_rank(F.col("share"), F.col("_n"))
-    pick = lambda x: F.max(F.when(F.col("_k") == x, F.col("value"))).over(w)
-    low, high = pick(at), pick(F.least(at + 1, F.col("_n") - 1))
-    return ranked.withColumn("_cut", low + (high - low) * part).where("value <= _cut")
-
-
-def tolerance(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = "medium") -> DataFrame:
+def tolerance(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = "medium", ranges: int | None = None) -> DataFrame:
     """(keys, tolerance): minus the largest shift of low test over low calibration predictions.
 
     calib has yhat and is_null (truth <= null number), test has yhat. Keys of which a
     tenth of the calibration rows or less are null, and keys without test rows,
-    get 0. A number as strength is the tolerance itself.
+    get 0. A number as strength is the tolerance itself. ranges: as in cumulated().
     """
     keys = list(keys)
     share = calib.groupBy(*keys).agg(F.avg(F.col("is_null").cast("double")).alias("share"))
@@ -119,16 +80,20 @@ def tolerance(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength:
     if strength not in LEVELS:
         raise ValueError(f"strength is a number or one of {', '.join(LEVELS)}")
     wide = share.where("share > 0.1")
-    sides = []
-    for name, side in (("_c", calib), ("_t", test)):
-        low = _below_own_quantile(side.select(*keys, F.col("yhat").cast("double").alias("value")), wide, keys)
-        sides.append(_grid_quantiles(low, keys, LEVELS[strength]).withColumnRenamed("quantiles", name))
-    shift = sides[0].join(sides[1], keys).select(*keys, (-F.array_max(F.zip_with("_c", "_t", lambda a, b: F.greatest(F.lit(0.0), b - a)))).alias("shift"))
+    # both sides at once; a side's rows up to its own quantile at the share are its first ones
+    sided = [*keys, "_side"]
+    both = calib.select(*keys, F.lit(0).alias("_side"), F.col("yhat").cast("double").alias("_v")).unionByName(test.select(*keys, F.lit(1).alias("_side"), F.col("yhat").cast("double").alias("_v")))
+    values = cumulated(both.join(wide.select(*keys), keys, "left_semi"), sided, "_v", ranges)
+    own = by_probability(values, totals(values, sided).join(wide, keys).select(*sided, "total", F.lit(0).alias("place"), F.col("share").alias("prob")), sided)
+    low = written(own.select(*sided, F.when(F.col("value_above") <= F.col("quantile"), F.col("upto_above")).otherwise(F.col("upto_below")).alias("total")), "tolerance-sides")
+    grid = low.select(*sided, "total", F.posexplode(F.array(*map(F.lit, LEVELS[strength]))).alias("place", "prob"))
+    ends = by_probability(values, grid, sided).groupBy(*keys, "place").pivot("_side", [0, 1]).agg(F.first("quantile")).where("`0` IS NOT NULL AND `1` IS NOT NULL")
+    shift = ends.groupBy(*keys).agg((-F.max(F.greatest(F.lit(0.0), F.col("1") - F.col("0")))).alias("shift"))
     # rounded, so that equal scores stay equal whatever the order of the interpolation's sums
     return share.join(shift, keys, "left").select(*keys, (F.round(F.coalesce("shift", F.lit(0.0)), DIGITS) + 0.0).alias("tolerance"))
 
 
-def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = 0.0, score: Callable[[Column, Column, Column], Column] = clipped_score, ranges: int | None = 1) -> DataFrame:
+def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = 0.0, score: Callable[[Column, Column, Column], Column] = clipped_score, ranges: int | None = None) -> DataFrame:
     """Test rows with p, p_adj and confidence. ranges: None takes as many as the counted scores ask for.
 
     calib: keys, y, yhat, null_number; test: keys, yhat, null_number and whatever
@@ -141,7 +106,7 @@ def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: s
     cal = calib.where(known).withColumn("score", score(F.col("y"), t, c))
     out = test.withColumn("score", score(c, t, c))
     if isinstance(strength, str) or strength:
-        tol = tolerance(cal.withColumn("is_null", F.col("y") <= c), test.where(known), keys, strength)
+        tol = tolerance(cal.withColumn("is_null", F.col("y") <= c), test.where(known), keys, strength, ranges)
         cal = cal.join(tol, keys).withColumn("score", F.col("score") + F.col("tolerance")).drop("tolerance")
     scores = distinct_scores(cal, out.where(known), keys)
     if ranges is None:

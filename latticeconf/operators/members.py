@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import standardised
+from .quantiles import quantiles
 
 UPPER_SHARE, NORM_SHARE = 0.9999, 0.9999
 
@@ -35,7 +36,7 @@ def weighted_sum(pred: DataFrame, members: DataFrame, keys: Sequence[str], membe
 
 def running_norm(truth: DataFrame, keys: Sequence[str], roi: str, y: str) -> DataFrame:
     """(keys, roi, norm): running maximum over the ROIs, in order, of the 99.99 percentile of y, at least 1."""
-    q = truth.groupBy(*keys, roi).agg(F.percentile(y, F.lit(NORM_SHARE)).alias("q"))
+    q = quantiles(truth, [*keys, roi], y, [NORM_SHARE]).withColumnRenamed("quantile", "q")
     w = Window.partitionBy(*keys).orderBy(roi).rowsBetween(Window.unboundedPreceding, 0)
     return q.select(*keys, roi, F.greatest(F.lit(1.0), F.max("q").over(w)).alias("norm"))
 

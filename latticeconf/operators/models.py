@@ -10,6 +10,8 @@ several targets (crossfit_ridge). Any other is a function fit_predict(train, tes
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import linear
 from .folds import assign, in_fold, training_rows
 
 EPOCHS, RATE, UNDER, HIDDEN = 20, 1e-3, 2.0, (128, 64, 128)
@@ -40,49 +43,51 @@ def crossfit_mean(cells: DataFrame, folds: DataFrame, category: str, y: str) ->
     return assign(cells, folds).join(models, ["roi_idx", "fold_id", category])
 
 
-def _moments(keys: Sequence[str], df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """(keys, xx, xy): sums of products of the features (with a constant) with each other and with the targets."""
-    x = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
-    xx = [F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]
-    xy = [F.sum(a * F.col(t).cast("double")) for t in targets for a in x]
-    return df.groupBy(*keys).agg(F.array(*xx).alias("xx"), F.array(*xy).alias("xy"))
+class Predictor(Protocol):
+    """What the end-to-end plan asks of a predictor.
+
+    fit(known, folds): known's centre cells with yhat of models that leave their
+    fold out, and a function that gives any cells yhat by the model of all known
+    ones (NULL where it knows nothing). reads_twice: whether known is to be written
+    down first.
+    """
+
+    reads_twice: bool
+
+    def fit(self, known: DataFrame, folds: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]: ...
 
 
-def _ridge(xx: np.ndarray, xy: np.ndarray, n: int, targets: int, penalty: float) -> list[list[float]]:
-    a = np.zeros((n, n))
-    a[np.triu_indices(n)] = xx
-    a = a + np.triu(a, 1).T + penalty * np.diag([0.0] + [1.0] * (n - 1))
-    return np.linalg.lstsq(a, np.asarray(xy).reshape(targets, n).T, rcond=None)[0].T.tolist()
+@dataclass(frozen=True)
+class CategoryMeans:
+    """The mean y of a category."""
+
+    category: str
+    y: str
+    reads_twice: bool = True
+
+    def fit(self, known: DataFrame, folds: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        model = known.groupBy(self.category).agg((F.sum(self.y) / F.count(self.y)).alias("yhat"))
+        return crossfit_mean(known, folds, self.category, self.y), lambda cells: cells.join(model, self.category, "left")
 
 
 def crossfit_ridge(cells: DataFrame, folds: DataFrame, features: Sequence[str], targets: Sequence[str], penalty: float = 1.0) -> tuple[DataFrame, list[list[float]]]:
     """Centre cells with yhat (array, by target) of ridge regressions that leave their fold out; and the full model's coefficients.
 
     A fold's normal equations are those of all cells less its own, so that cells
-    are read once, whatever the number of folds; only sums (a row a fold) reach the
-    driver. Coefficients: a list a target, constant first; apply with ridge_values().
+    are read once, whatever the number of folds. Coefficients: a list a target,
+    constant first; apply with ridge_values().
     """
-    n, k = len(features) + 1, len(targets)
-    every = _moments([], cells, features, targets).collect()[0]
-    if every["xx"][0] is None:
-        return assign(cells, folds).withColumn("yhat", F.array().cast("array<double>")), [[0.0] * n] * k
-    whole = np.array(every["xx"]), np.array(every["xy"])
-    own = cells.join(F.broadcast(folds), "roi_idx").where(in_fold())
-    held = {(r["roi_idx"], r["fold_id"]): (np.array(r["xx"]), np.array(r["xy"])) for r in _moments(["roi_idx", "fold_id"], own, features, targets).collect()}
-    none = (0.0, 0.0)
-    rows = []
-    for f in folds.select("roi_idx", "fold_id").distinct().collect():
-        xx, xy = held.get((f["roi_idx"], f["fold_id"]), none)
-        rows.append((f["roi_idx"], f["fold_id"], _ridge(whole[0] - xx, whole[1] - xy, n, k, penalty)))
-    models = cells.sparkSession.createDataFrame(rows, "roi_idx int, fold_id int, model array<array<double>>")
-    out = assign(cells, folds).join(F.broadcast(models), ["roi_idx", "fold_id"]).withColumn("yhat", ridge_values(F.col("model"), features)).drop("model")
-    return out, _ridge(*whole, n, k, penalty)
+    models = linear.ridge_models(cells, folds, features, targets, penalty)
+    if not models:
+        return assign(cells, folds).withColumn("yhat", F.array().cast("array<double>")), [[0.0] * (len(features) + 1)] * len(targets)
+    held, _ = linear.model_table(cells, models, folds, [])
+    out = assign(cells, folds).join(F.broadcast(held), ["roi_idx", "fold_id"]).withColumn("yhat", ridge_values(F.col("model"), features)).drop("model")
+    return out, models[(linear.WHOLE,)].tolist()
 
 
 def ridge_values(model: Column, features: Sequence[str]) -> Column:
     """Values of each target: products of the coefficients with (1, features)."""
-    x = F.array(F.lit(1.0), *(F.col(c).cast("double") for c in features))
-    return F.transform(model, lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    return linear.linear_values(model, features)
 
 
 def full_model_values(cells: DataFrame, coefficients: list[list[float]], features: Sequence[str]) -> DataFrame:

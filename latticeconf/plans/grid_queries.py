@@ -124,7 +124,7 @@ def mask_upsample(spark, sf_dir):
 
 @query(f"WITH {SPX_SQL}, {EXT_SQL}, sc AS (SELECT unnest([1, 2, 4])::INTEGER AS scale) SELECT scale, grid_row // scale AS grid_row, grid_col // scale AS grid_col, CAST(sum(y) AS BIGINT) AS y, bool_or(tissue) AS tissue FROM spx, ext, sc WHERE grid_row < n_rows // scale * scale AND grid_col < n_cols // scale * scale GROUP BY ALL")
 def scale_pyramid_1_2_4(spark, sf_dir):
-    return grid.pyramid(cells(spark, sf_dir), [1, 2, 4], [F.sum("y").alias("y"), F.bool_or("tissue").alias("tissue")])
+    return grid.pyramid(cells(spark, sf_dir), [1, 2, 4], [F.sum("y").alias("y"), F.bool_or("tissue").alias("tissue")], merge=[F.sum("y").alias("y"), F.bool_or("tissue").alias("tissue")])
 
 
 _EMB = "e AS (SELECT vec_id // 20 AS grid_row, vec_id % 20 AS grid_col, embedding FROM embeddings)"

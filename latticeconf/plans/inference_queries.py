@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import LEVELS, clipped_score, confidence
-from ..operators import audit, conformal, folds
+from ..operators import audit, conformal, folds, grid, linear
+from ..operators.quantiles import quantiles
 from ..operators.shared import shared_path, written
 from ..sources.tables import ROI_SQL, ROIS, SPX_SQL, as_cells, cells
 from ..streaming import scoring
@@ -162,6 +163,55 @@ def confidence_end_to_end(spark, sf_dir):
     return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
 
 
+STRATA = 7
+_ST = f"""st AS (SELECT NULL::INTEGER AS roi_idx, scale, grid_row // scale AS gr, grid_col // scale AS gc, sum(cluster) % {STRATA} AS cluster FROM spx, sc GROUP BY ALL
+UNION ALL SELECT roi_idx, scale, (grid_row - row0) // scale AS gr, (grid_col - col0) // scale AS gc, sum(cluster) % {STRATA} AS cluster FROM spx JOIN roi ON grid_row >= row0 AND grid_row < row0 + height AND grid_col >= col0 AND grid_col < col0 + width, sc GROUP BY ALL)"""
+#: As END_TO_END, with strata of each scale's own, and windows off the test mask at 1.
+STRATIFIED = (
+    END_TO_END.replace("sc AS (SELECT unnest([1, 2, 4]) AS scale),", f"sc AS (SELECT unnest([1, 2, 4]) AS scale),\n{_ST},")
+    .replace("FROM c1 WHERE tissue),", "FROM c1s WHERE tissue),").replace("c2 AS (SELECT", "c1s AS (SELECT c1.* EXCLUDE (cluster), st.cluster FROM c1 LEFT JOIN st ON st.roi_idx = c1.roi_idx AND st.scale = c1.scale AND st.gr = c1.gr AND st.gc = c1.gc),\nc2 AS (SELECT")
+    .replace("FROM t1 WHERE tissue AND out_roi),", "FROM t1s WHERE tissue AND out_roi),").replace("t2 AS (SELECT *", "t1s AS (SELECT t1.* EXCLUDE (cluster), st.cluster FROM t1 LEFT JOIN st ON st.roi_idx IS NULL AND st.scale = t1.scale AND st.gr = t1.grid_row AND st.gc = t1.grid_col),\nt2 AS (SELECT *")
+    + " UNION ALL SELECT target, scale::INTEGER, grid_row, grid_col, cluster, 1.0, 0.0 FROM t1s WHERE NOT (tissue AND out_roi)"
+)
+
+
+def scale_strata(spark, sf_dir):
+    """Stand-in strata of each scale: the windows' clusters, added up, modulo STRATA."""
+    c = cells(spark, sf_dir).select("grid_row", "grid_col", "cluster")
+    total = [F.sum("cluster").alias("cluster")]
+    slide = grid.pyramid(c, SCALES, total, merge=total).withColumn("roi_idx", F.lit(None).cast("int"))
+    own = grid.pyramid(grid.crop(c, ROIS).select("roi_idx", "grid_row", "grid_col", "cluster"), SCALES, total, ["roi_idx"], merge=total)
+    return slide.unionByName(own).withColumn("cluster", F.col("cluster") % STRATA)
+
+
+@query(STRATIFIED)
+def confidence_stratified(spark, sf_dir):
+    """Confidence of every window of the slide, by strata that each scale has of its own."""
+    out = inference.confidence(target_cells(spark, sf_dir), ROIS, folds.fold_table(spark, FOLDS), SCALES, strata=scale_strata(spark, sf_dir), everywhere=True)
+    return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
+
+
+@query(f"WITH {TOLERANCE} SELECT cluster, round(tolerance, 6) AS tolerance FROM tol")
+def batch_tolerance_by_ranges(spark, sf_dir):
+    """The same with every stratum's values dealt to 8 ranges, as for strata too large for a task."""
+    calib, test = _sides(spark, sf_dir)
+    t = conformal.tolerance(calib.withColumn("is_null", F.col("y") <= F.col("null_number")), test, ["cluster"], ranges=8)
+    return t.withColumn("tolerance", F.round("tolerance", 6) + 0.0)
+
+
+@query(f"WITH {SPX_SQL} SELECT cluster, place, round(quantile, 6) AS quantile FROM (SELECT cluster, unnest([0, 1, 2])::INTEGER AS place, unnest(q) AS quantile FROM (SELECT cluster, quantile_cont(y, [0.001, 0.5, 0.9999]) AS q FROM spx GROUP BY 1))")
+def quantiles_by_ranges(spark, sf_dir):
+    return quantiles(cells(spark, sf_dir), ["cluster"], "y", [0.001, 0.5, 0.9999], ranges=8).select("cluster", "place", F.round("quantile", 6).alias("quantile"))
+
+
+@query(f"WITH {SPX_SQL}, {ROI_SQL}, {FOLD_SQL}, rc AS (SELECT s.*, roi_idx FROM spx s JOIN roi ON grid_row >= row0 AND grid_row < row0 + height AND grid_col >= col0 AND grid_col < col0 + width WHERE tissue) SELECT f.roi_idx, f.fold_id, round(regr_slope(s.y, s.cluster), 6) AS slope, round(regr_intercept(s.y, s.cluster), 5) AS intercept FROM fold f JOIN rc s ON s.roi_idx <> f.roi_idx OR NOT ({within('f')}) GROUP BY ALL")
+def crossfit_slopes(spark, sf_dir):
+    """Regressions on one feature that leave each fold out, from sums less the fold's own."""
+    rows, table = grid.in_rects(cells(spark, sf_dir), ROIS).where("tissue"), folds.fold_table(spark, FOLDS)
+    held, _ = linear.model_table(rows, linear.ridge_models(rows, table, ["cluster"], ["y"], penalty=0.0), table, [])
+    return held.select("roi_idx", "fold_id", F.round(F.expr("model[0][1]"), 6).alias("slope"), F.round(F.expr("model[0][0]"), 5).alias("intercept"))
+
+
 @query(f"WITH {RANKED} SELECT event_id, p, round(greatest(0, least(1, ln(0.5 / p) / ln(50))), 6) AS confidence FROM p")
 def stream_scores(spark, sf_dir):
     """Test cells as a stream of files, ranked in micro-batches against the calibration cells."""
