@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import rejected_colour
+from .blocks import separable
 from .embedding import mixture
 from .shared import written
 
@@ -270,27 +271,12 @@ def kernel(size: int, kind: str = "gaussian") -> list[tuple[int, float]]:
 
 
 def smoothen(cells: DataFrame, value: str, size: int, kind: str = "gaussian", keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, grid_row, grid_col, value) smoothed along rows, then columns; borders are mirrored.
+    """(keys, grid_row, grid_col, value) smoothed along rows and columns by blocks; edges are mirrored.
 
-    The grid is whole; NULL values are filled from their neighbours first and are NULL
-    again in the result. Each cell sends its share to the cells within reach, so each
-    axis is one partially aggregated groupBy.
+    NULL values are filled from their neighbours first, those of wider holes have no
+    weight, and all are NULL again in the result.
     """
-    keys = list(keys)
-    size_of = cells.groupBy(*keys).agg((F.max("grid_row") + 1).alias("_rows"), (F.max("grid_col") + 1).alias("_cols"))
-    at = neighbour_fill(cells.select(*keys, "grid_row", "grid_col", F.col(value).cast("double").alias(value)), value) if not keys else cells.select(*keys, "grid_row", "grid_col", F.col(value).cast("double").alias(value))
-    at = at.join(F.broadcast(size_of), keys) if keys else at.crossJoin(F.broadcast(size_of))
-    taps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in kernel(size, kind)))
-    for axis, n in (("grid_row", "_rows"), ("grid_col", "_cols")):
-        i, d = F.col(axis), F.col("_t.d")
-        inside, before, after = i - d, -1 - i - d, 2 * F.col(n) - 1 - i - d  # who reads this cell as it is, mirrored at the start, at the end
-        near = lambda o, reads: F.when((o >= 0) & (o < F.col(n)) & reads(o + F.col("_t.d")), o)  # noqa: B023, E731
-        to = F.array_compact(F.array(near(inside, lambda x: F.lit(True)), near(before, lambda x: x < 0), near(after, lambda x: x >= F.col(n))))  # noqa: B023
-        other = "grid_col" if axis == "grid_row" else "grid_row"
-        sent = at.withColumn("_t", F.explode(taps)).select(*keys, "_rows", "_cols", other, F.explode(to).alias(axis), (F.col(value) * F.col("_t.w")).alias(value))
-        at = sent.groupBy(*keys, "_rows", "_cols", "grid_row", "grid_col").agg(F.sum(value).alias(value))
-    known = cells.where(F.col(value).isNotNull()).select(*keys, "grid_row", "grid_col")
-    return at.join(known, [*keys, "grid_row", "grid_col"], "left_semi").select(*keys, "grid_row", "grid_col", value).unionByName(cells.where(F.col(value).isNull()).select(*keys, "grid_row", "grid_col", F.lit(None).cast("double").alias(value)))
+    return separable(cells, value, kernel(size, kind), keys)
 
 
 def disk_offsets(radius: int) -> list[tuple[int, int]]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import embedding, models, tissue
+from ..operators import blocks, embedding, grid, models, strata, tissue
+from ..operators.shared import shared_path
+from ..sources import part_source
 from ..sources.tables import SPX_SQL, cells, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -221,3 +223,50 @@ def _smooth_sql(axis: str, other: str, n: str, rows: str) -> str:
 @query(f"WITH {SPX_SQL}, {_KERNEL}, ext AS (SELECT max(grid_row) + 1 AS n_rows, max(grid_col) + 1 AS n_cols FROM spx), s1 AS ({_smooth_sql('grid_row', 'grid_col', 'n_rows', 'spx')}), s2 AS ({_smooth_sql('grid_col', 'grid_row', 'n_cols', 's1')}) SELECT grid_row, grid_col, round(y, 4) AS y FROM s2")
 def smoothen(spark, sf_dir):
     return tissue.smoothen(cells(spark, sf_dir), "y", 4).withColumn("y", F.round("y", 4))
+
+
+@query(f"WITH {SPX_SQL}, o AS (SELECT unnest(range(-2, 3)) AS d), n AS (SELECT c.grid_row, c.grid_col, a.d AS dr, b.d AS dc, coalesce(g.y, 0) AS y FROM spx c CROSS JOIN o a CROSS JOIN o b LEFT JOIN spx g ON g.grid_row = c.grid_row + a.d AND g.grid_col = c.grid_col + b.d) SELECT grid_row, grid_col, string_agg(y::BIGINT::VARCHAR, ',' ORDER BY dr, dc) AS patch FROM n GROUP BY ALL")
+def context_patches(spark, sf_dir):
+    """The 5 x 5 cells around each cell, zeros beyond the border, by blocks."""
+    out = blocks.context(cells(spark, sf_dir), "y", 2)
+    return out.select("grid_row", "grid_col", F.array_join(F.transform("patch", lambda v: v.cast("long").cast("string")), ",").alias("patch"))
+
+
+_RESCALE = """i AS (SELECT max(grid_row) + 1 AS h, max(grid_col) + 1 AS w FROM spx),
+tr AS (SELECT r, least(greatest((r + 0.5) / 1.3 - 0.5, 0), h - 1) AS y, h FROM i, unnest(range(CAST(round_even(h * 1.3, 0) AS BIGINT))) u(r)), tc AS (SELECT c, least(greatest((c + 0.5) / 1.3 - 0.5, 0), w - 1) AS x, w FROM i, unnest(range(CAST(round_even(w * 1.3, 0) AS BIGINT))) u(c)),
+t AS (SELECT r, c, floor(y)::BIGINT AS y0, least(floor(y)::BIGINT + 1, h - 1) AS y1, y - floor(y) AS fy, floor(x)::BIGINT AS x0, least(floor(x)::BIGINT + 1, w - 1) AS x1, x - floor(x) AS fx FROM tr, tc)"""
+
+
+@query(f"WITH {SPX_SQL}, {_RESCALE} SELECT r AS grid_row, c AS grid_col, round((a.y * (1 - fx) + b.y * fx) * (1 - fy) + (d.y * (1 - fx) + e.y * fx) * fy, 3) AS y FROM t JOIN spx a ON a.grid_row = y0 AND a.grid_col = x0 JOIN spx b ON b.grid_row = y0 AND b.grid_col = x1 JOIN spx d ON d.grid_row = y1 AND d.grid_col = x0 JOIN spx e ON e.grid_row = y1 AND e.grid_col = x1")
+def rescale_grid(spark, sf_dir):
+    """The grid at 1.3 times its size."""
+    return blocks.rescale(cells(spark, sf_dir), "y", 1.3).select("grid_row", "grid_col", F.round("y", 3).alias("y"))
+
+
+@query("SELECT vec_id // 20 AS grid_row, vec_id % 20 AS grid_col, list_transform(list_slice(embedding, 33, 64), lambda x: round(x::DOUBLE, 4)) AS emb FROM embeddings WHERE label <> 3")
+def parts_round_trip(spark, sf_dir):
+    """Embeddings written as part files of 128 rows and read back by ranges of 50: the local half of the cells in the mask."""
+    path = shared_path(spark, "embedding-parts")
+    e = table(spark, sf_dir, "embeddings")
+    part_source.write_parts(e, path, "vec_id", "embedding", 128)
+    mask = grid.to_grid(e.where("label <> 3"), "vec_id", 20).select("grid_row", "grid_col")
+    got = part_source.read_parts(spark, path, 20, rows_per_range=50, halves="local").join(mask, ["grid_row", "grid_col"], "left_semi")
+    return got.select("grid_row", "grid_col", F.transform("emb_local", lambda x: F.round(x.cast("double"), 4)).alias("emb"))
+
+
+@query("WITH l AS (SELECT UNNEST([1, 2]) AS scale) SELECT scale, count(DISTINCT (vec_id // 20 // scale, vec_id % 20 // scale)) AS windows, true AS in_range, true AS nearest, true AS tighter FROM embeddings, l GROUP BY 1")
+def strata_by_scale(spark, sf_dir):
+    """Each scale's windows have the stratum of the nearest centre of the scale's own model; strata are tighter than one cluster."""
+    e = grid.to_grid(table(spark, sf_dir, "embeddings"), "vec_id", 20).select(F.lit("s").alias("slide_id"), "grid_row", "grid_col", F.col("embedding").alias("emb"))
+    store = strata.StrataStore(spark, shared_path(spark, "strata"))
+    labels = strata.strata(store, e, e.limit(0).withColumn("roi_idx", F.lit(0)), "emb", 64, [1, 2], k=4).where("roi_idx IS NULL")
+    out = None
+    for scale in (1, 2):
+        centres = store.model(scale, 4, lambda: None).stages[-1].clusterCenters()
+        v = embedding.pooled_vectors(e, "emb", scale).join(labels.where(F.col("scale") == scale), ["grid_row", "grid_col"])
+        far = F.transform(F.array(*(F.array(*map(F.lit, map(float, c))) for c in centres)), lambda c: F.aggregate(F.zip_with(c, F.col("emb"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        mean = v.select(F.posexplode("emb").alias("place", "x")).groupBy("place").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias("all_v"))
+        facts = v.withColumn("_far", far).agg(F.count(F.lit(1)).alias("windows"), F.bool_and(F.col("cluster").between(0, 3)).alias("in_range"), F.bool_and(F.get("_far", F.col("cluster")) <= F.array_min("_far") + 1e-9).alias("nearest"), F.avg(F.get("_far", F.col("cluster"))).alias("within"))
+        one = facts.crossJoin(mean).select(F.lit(scale).alias("scale"), "windows", "in_range", "nearest", (F.col("within") < F.col("all_v")).alias("tighter"))
+        out = one if out is None else out.unionByName(one)
+    return out
