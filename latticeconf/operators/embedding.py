@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -92,6 +93,16 @@ def mixture(df: DataFrame, columns: Sequence[str], k: int = 3, seed: int = 45) -
     return GaussianMixture(k=k, seed=seed, featuresCol="_gmm", predictionCol="label").fit(v).transform(v).drop("_gmm", "probability")
 
 
+def mixture_likelihood(df: DataFrame, columns: Sequence[str], k: int = 3, seed: int = 45) -> float:
+    """Log-likelihood of the rows under the mixture fitted on them; one component is the rows' own normal distribution."""
+    if k == 1:
+        row = df.agg(F.count(F.lit(1)), *(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a in columns for b in columns)).collect()[0]
+        d = len(columns)
+        return float(-row[0] / 2 * (d * np.log(2 * np.pi) + np.linalg.slogdet(np.array(row[1:], float).reshape(d, d))[1] + d))
+    v = VectorAssembler(inputCols=list(columns), outputCol="_gmm", handleInvalid="skip").transform(df)
+    return GaussianMixture(k=k, seed=seed, featuresCol="_gmm").fit(v).summary.logLikelihood
+
+
 def component_facts(df: DataFrame, column: str) -> DataFrame:
     """(place, mean, variance) of a vector column: facts that don't depend on signs."""
     return df.select(F.posexplode(vector_to_array(column)).alias("place", "x")).groupBy("place").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))

@@ -90,6 +90,14 @@ def training_rows(cells: DataFrame, folds: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(other)).where((F.col("roi_idx") != F.col("fold_roi")) | ~_in("f"))
 
 
+def training_sums(cells: DataFrame, folds: DataFrame, y: str) -> DataFrame:
+    """(fold_roi, fold_id, n, total) of the cells that each fold may be trained on: all cells' sums less the fold's own."""
+    every = cells.agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_y"))
+    own = cells.join(F.broadcast(folds), "roi_idx").where(in_fold()).groupBy("roi_idx", "fold_id").agg(F.count(F.lit(1)).alias("_own_n"), F.sum(y).alias("_own_y"))
+    left = folds.select("roi_idx", "fold_id").join(own, ["roi_idx", "fold_id"], "left").na.fill(0, ["_own_n", "_own_y"]).crossJoin(F.broadcast(every))
+    return left.select(F.col("roi_idx").alias("fold_roi"), "fold_id", (F.col("_n") - F.col("_own_n")).alias("n"), (F.col("_y") - F.col("_own_y")).alias("total")).where("n > 0")
+
+
 def retention(cells: DataFrame, folds: DataFrame, stratum: str = "cluster") -> DataFrame:
     """(roi_idx, fold_id, stratum, n_total, n_outside): each stratum's cells of the ROI, and those outside the fold."""
     joined = cells.join(F.broadcast(folds), "roi_idx")

@@ -164,9 +164,12 @@ def targets(spark):
     return spark.createDataFrame(TARGETS, "target string, null_number double, members array<string>")
 
 
-@query(f"WITH {_TARGET_SQL} SELECT target, null_number, unnest(members) AS member FROM t")
+@query("WITH t AS (SELECT 'users ' || (user_id % 5)::VARCHAR AS target, round(min(value), 6) AS null_number, list(DISTINCT event_type) AS members FROM events WHERE value > 10 GROUP BY 1) SELECT target, null_number, unnest(members) AS member FROM t")
 def target_flatten(spark, sf_dir):
-    return members.target_members(targets(spark))
+    """Targets made of the event types that a fifth of the users have."""
+    e = table(spark, sf_dir, "events").where("value > 10")
+    t = e.groupBy(F.concat(F.lit("users "), F.col("user_id") % 5).alias("target")).agg(F.round(F.min("value"), 6).alias("null_number"), F.collect_set("event_type").alias("members"))
+    return members.target_members(t)
 
 
 @query(f"WITH {_TARGET_SQL}, m AS (SELECT target, unnest(members) AS member FROM t) SELECT event_id, target FROM events JOIN m ON event_type = member")
@@ -213,8 +216,7 @@ def fold_assignment(spark, sf_dir):
 
 @query(f"WITH {ROI_CELLS}, {FOLD_SQL} SELECT f.roi_idx AS fold_roi, fold_id, count(*) AS n, CAST(sum(y) AS BIGINT) AS total FROM rc s, fold f WHERE tissue AND (s.roi_idx <> f.roi_idx OR NOT ({within('f')})) GROUP BY ALL")
 def fold_training_complement(spark, sf_dir):
-    rows = folds.training_rows(roi_cells(spark, sf_dir).where("tissue"), folds.fold_table(spark, FOLDS))
-    return rows.groupBy("fold_roi", "fold_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
+    return folds.training_sums(roi_cells(spark, sf_dir).where("tissue"), folds.fold_table(spark, FOLDS), "y")
 
 
 @query(f"WITH {ROI_CELLS}, {FOLD_SQL} SELECT s.roi_idx, fold_id, cluster, count(*) AS n_total, count(*) FILTER (WHERE NOT ({within('f')})) AS n_outside FROM rc s JOIN fold f ON s.roi_idx = f.roi_idx WHERE tissue GROUP BY ALL")

@@ -84,12 +84,14 @@ def otsu_threshold(spark, sf_dir):
     return c.crossJoin(F.broadcast(t)).groupBy("threshold").agg(F.count_if(F.col("value") < F.col("threshold")).alias("n_low")).withColumn("threshold", F.round("threshold", 6))
 
 
-@query(f"WITH {SPX_SQL} SELECT event_id, (sqrt(((r - m) * (r - m) + (g - m) * (g - m) + (b - m) * (b - m)) / 3) < 10 OR (g > r + 20 AND g > b + 20) OR (r > 230 AND g > 230 AND b > 230)) AS rejected FROM (SELECT *, (r + g + b) / 3 AS m FROM (SELECT event_id, (event_id * 7) % 256 AS r, (event_id * 11) % 256 AS g, (event_id * 13) % 256 AS b FROM spx))")
+@query("SELECT l_suppkey AS patch, count(*) AS n, count(*) FILTER (WHERE sqrt(((r - m) * (r - m) + (g - m) * (g - m) + (b - m) * (b - m)) / 3) < 10 OR (g > r + 20 AND g > b + 20) OR (r > 230 AND g > 230 AND b > 230)) AS rejected FROM (SELECT *, (r + g + b) / 3 AS m FROM (SELECT l_suppkey, (l_quantity * 5)::DOUBLE AS r, floor(l_extendedprice / 410)::DOUBLE AS g, round(l_discount * 2500)::DOUBLE AS b FROM lineitem)) GROUP BY 1")
 def colour_reject(spark, sf_dir):
+    """Colours made of a row's quantity, price and discount, rejected ones counted by patch."""
     from ..functions.scores import rejected_colour
 
-    e = F.col("event_id")
-    return cells(spark, sf_dir).select("event_id", rejected_colour((e * 7) % 256, (e * 11) % 256, (e * 13) % 256).alias("rejected"))
+    r, g, b = (F.col("l_quantity") * 5).cast("double"), F.floor(F.col("l_extendedprice") / 410).cast("double"), F.round(F.col("l_discount") * 2500).cast("double")
+    px = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("patch"), rejected_colour(r, g, b).alias("rejected"))
+    return px.groupBy("patch").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("rejected"))
 
 
 @query(f"WITH {SPX_SQL} SELECT cluster, round(avg(value), 6) AS value, round(avg(y), 6) AS y, count(*) AS size FROM spx GROUP BY 1")
@@ -198,20 +200,30 @@ def kmeans_assigns_all(spark, sf_dir):
     return out.select("cluster", near.alias("near")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("cluster").between(0, embedding.K - 1)).alias("in_range"), F.bool_and("near").alias("nearest"))
 
 
-@query(f"WITH {_MEANS} SELECT count(*) AS n, true AS in_range FROM m")
+@query(f"WITH {_MEANS} SELECT count(*) AS n, true AS in_range, true AS likelier, true AS told_apart FROM m")
 def gmm_labels_all(spark, sf_dir):
-    return gmm_groups(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("label").between(0, 2)).alias("in_range"))
+    """Every patch has a label, three components are likelier than one, and labels differ in their means by more than patches within one."""
+    m = patches(spark, sf_dir)
+    means = ["mean_a", "mean_b", "mean_c"]
+    out = embedding.mixture(m, means)
+    spread = out.groupBy("label").agg(F.count(F.lit(1)).alias("k"), *(F.var_pop(c).alias(c) for c in means)).agg(*((F.sum(F.col("k") * F.col(c)) / F.sum("k")).alias(c) for c in means)).collect()[0]
+    whole = m.agg(*(F.var_pop(c).alias(c) for c in means)).collect()[0]
+    apart = any(spread[c] < 0.9 * whole[c] for c in means)
+    likelier = embedding.mixture_likelihood(m, means, 3) >= embedding.mixture_likelihood(m, means, 1)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("label").between(0, 2)).alias("in_range")).withColumns({"likelier": F.lit(likelier), "told_apart": F.lit(apart)})
 
 
-@query("SELECT count(*) AS n, true AS sums_to_one, true AS takes_the_top FROM embeddings")
+@query("SELECT count(*) AS n, true AS sums_to_one, true AS takes_the_top, true AS beats_majority FROM embeddings")
 def mlp_gives_distributions(spark, sf_dir):
-    """Probabilities of every row sum to 1, and the prediction is the likeliest type."""
+    """Probabilities of every row sum to 1, the prediction is the likeliest type, and is right more often than the most frequent type."""
     v = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
-    out = models.type_classifier(v.select(F.col("vector").alias("features"), "label"), 64, epochs=20).transform(v.withColumnRenamed("vector", "features"))
+    out = models.type_classifier(v.select(F.col("vector").alias("features"), "label"), 64).transform(v.withColumnRenamed("vector", "features"))
     p = vector_to_array("probability")
     one = F.abs(F.aggregate(p, F.lit(0.0), lambda s, x: s + x) - 1) < 1e-9
     top = F.get(p, F.col("prediction").cast("int")) == F.array_max(p)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.bool_and(one).alias("sums_to_one"), F.bool_and(top).alias("takes_the_top"))
+    most = out.groupBy("label_index").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("most"))
+    facts = out.agg(F.count(F.lit(1)).alias("n"), F.bool_and(one).alias("sums_to_one"), F.bool_and(top).alias("takes_the_top"), F.count_if(F.col("prediction") == F.col("label_index")).alias("right"))
+    return facts.crossJoin(most).select("n", "sums_to_one", "takes_the_top", (F.col("right") > F.col("most")).alias("beats_majority"))
 
 
 def _smooth_sql(axis: str, other: str, n: str, rows: str) -> str:

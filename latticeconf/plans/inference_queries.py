@@ -191,6 +191,22 @@ def confidence_stratified(spark, sf_dir):
     return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
 
 
+_X = "s.grid_col % 10"
+#: As END_TO_END, with a regression on one feature in place of the means.
+LEARNED = END_TO_END[: END_TO_END.index("every AS (SELECT category")] + f"""
+model AS (SELECT f.roi_idx, f.fold_id, s.target, regr_slope(s.y, {_X}) AS b, regr_intercept(s.y, {_X}) AS a FROM fold f JOIN k s ON s.roi_idx <> f.roi_idx OR NOT ({within('f')}) GROUP BY ALL),
+fitted AS (SELECT s.roi_idx, s.target, s.grid_row, s.grid_col, floor(a + b * ({_X})) AS yhat FROM k s JOIN fold f ON s.roi_idx = f.roi_idx AND {within('c')} JOIN model m ON m.roi_idx = f.roi_idx AND m.fold_id = f.fold_id AND m.target = s.target),
+""" + END_TO_END[END_TO_END.index("sc AS (SELECT unnest") :].replace("full_model AS (SELECT category, floor(sum(y) / count(*)) AS yhat FROM k GROUP BY 1)", f"full_model AS (SELECT target, regr_slope(s.y, {_X}) AS b, regr_intercept(s.y, {_X}) AS a FROM k s GROUP BY 1)").replace("coalesce(m.yhat, 0) AS yhat", f"coalesce(floor(m.a + m.b * ({_X})), 0) AS yhat").replace("LEFT JOIN full_model m USING (category)", "LEFT JOIN full_model m ON m.target = s.target")
+
+
+@query(LEARNED)
+def confidence_learned(spark, sf_dir):
+    """Confidence of regressions that are cross-fitted in the ROIs and applied outside them."""
+    c = target_cells(spark, sf_dir).withColumn("x", F.col("grid_col") % 10)
+    out = inference.confidence(c, ROIS, folds.fold_table(spark, FOLDS), SCALES, predictor=linear.Linear(("x",), under=1.0, penalty=0.0))
+    return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
+
+
 @query(f"WITH {TOLERANCE} SELECT cluster, round(tolerance, 6) AS tolerance FROM tol")
 def batch_tolerance_by_ranges(spark, sf_dir):
     """The same with every stratum's values dealt to 8 ranges, as for strata too large for a task."""
