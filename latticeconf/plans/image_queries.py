@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks, embedding, grid, models, strata, tissue
 from ..operators.shared import shared_path
-from ..sources import part_source
+from ..sources import part_source, results
 from ..sources.tables import SPX_SQL, cells, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -282,3 +282,14 @@ def strata_by_scale(spark, sf_dir):
         one = facts.crossJoin(mean).select(F.lit(scale).alias("scale"), "windows", "in_range", "nearest", (F.col("within") < F.col("all_v")).alias("tighter"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"WITH {SPX_SQL}, c AS (SELECT 'a' AS target, grid_row, grid_col, (event_id % 101) / 100.0 AS x FROM spx), r AS (SELECT *, " + ", ".join(f"round(255 * least(1, greatest(0, (x - {a}) / {b - a}))) AS {n}" for n, a, b in (("r", 0.0, 0.375), ("g", 0.375, 0.75), ("b", 0.75, 1.0))) + " FROM c) SELECT grid_row // 64 AS tile_row, grid_col // 64 AS tile_col, count(*) AS n_cells, CAST(sum(r) + sum(g) + sum(b) + 3 * 255 * (64 * 64 - count(*)) AS BIGINT) AS light FROM r GROUP BY ALL")
+def confidence_map_tiles(spark, sf_dir):
+    """A stand-in confidence as map tiles, committed and read back: cells of each tile and the sum of its bytes."""
+    c = cells(spark, sf_dir).select(F.lit("a").alias("target"), F.lit(1).alias("scale"), "grid_row", "grid_col", ((F.col("event_id") % 101) / 100).alias("confidence"))
+    path = shared_path(spark, "confidence-maps")
+    results.save(results.map_tiles(c, side=64), path)
+    pairs = F.filter(F.split(F.hex("rgb"), r"(?<=\G..)"), lambda x: x != "")
+    light = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + F.conv(x, 16, 10).cast("long"))
+    return results.load(spark, path).select("tile_row", "tile_col", "n_cells", light.alias("light"))
