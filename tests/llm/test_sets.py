@@ -627,3 +627,32 @@ def test_pipeline_takes_edge_cases(spark, edge_dir):
     import corpus_pipeline as p
 
     assert p.run(spark, edge_dir).count() > 0
+
+
+def test_stages_define_edge_cases(spark, data, docs, edge, nothing):
+    """Each stage on null, empty, long and repeated rows with clashing columns, and on an empty table."""
+    import corpus_pipeline as p
+
+    clashes = [c for c in edge.columns if c not in docs.columns]
+    df = docs.withColumns({c: F.lit("y") for c in clashes} | {"doc_id": F.col("doc_id") + 1000}).unionByName(edge)
+    df = common.written(df, "edge-rows")
+    count = lambda d: Counter((r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect())
+    given = count(df)
+    bare = {(1, None), (2, ""), (3, " \n\t ")}
+    texts = {(i, t) for i, t in given if t is not None}
+    out = {}
+    for name, stage in p.STAGES:
+        made = stage(spark, df, data)
+        if name != "sharding":
+            assert made.columns == df.columns
+        out[name] = count(made)
+        if name != "mixing to target weights":
+            assert all(out[name][k] in (0, given[k]) for k in given) and out[name].keys() <= given.keys()
+    assert not bare & out["language ID"].keys() and len(out["language ID"]) > 0.9 * len(texts)
+    single = out["SimHash near-dedup"]
+    words = "the same words in the same order, twice over"
+    assert (5, words) in single and (6, words) not in single and any(i is None for i, _ in single) and sum(k in single for k in bare) == 1
+    assert {k for k in given if k in bare or k[0] in (None, 4, 5, 6, 7)} <= out["benchmark decontamination"].keys()
+    assert out["mixing to target weights"].keys() <= given.keys() and out["sharding"] == given
+    for _, stage in p.STAGES:
+        assert stage(spark, nothing.withColumns({c: F.lit("x") for c in clashes}), data).count() == 0
