@@ -48,6 +48,9 @@ from .common import fixed_slots, shared_dir, written
 FIRST, SECOND = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 HELD = 1 << 22  # keys that a task sums at a time
 SLICE = 256  # documents looked up at a time
+SEGMENT = 1 << 20  # characters of a text that the tokenizers get at a time
+#: A space after a character that isn't white space, in either vocabulary's sense.
+_CUT = re.compile(r"(?<=[^\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]) ")
 
 
 def _bytes_of_chars() -> dict[str, int]:
@@ -71,6 +74,8 @@ class Pair:
         self.first = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
+        #: whether no piece goes on over a space, so that texts can be cut before one
+        self.cuts = not any(" " in p.replace("▁", " ").lstrip(" ") for p in pieces)
         of_a = [b""] * (1 + max(ranks.values()))
         for t, i in ranks.items():
             of_a[i] = t
@@ -86,11 +91,26 @@ class Pair:
         The first vocabulary has every single byte and merges bytes alone, so its
         total size tells; the second one may put other characters for the text's.
         """
+        found = [self._encode_part(part) for part in self._parts(text)]
+        return None if None in found else [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text in parts of about SEGMENT characters, without the space before each, which the encodings put back."""
+        at = 0
+        while self.cuts and len(text) - at > SEGMENT and (m := _CUT.search(text, at + SEGMENT)):
+            yield text[at : m.start()]
+            at = m.end()
+        yield text[at:]
+
+    def _encode_part(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        if not text:  # a last space alone
+            ids = self.first.encode_ordinary(" "), [self.second.piece_to_id("▁")]
+            return tuple(np.array(x, np.int64) for x in ids)
         raw = b" " + text.encode()
         a, b = self.first.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64), self.second.encode(text, num_threads=1)
         if int(self.sizes[0][a].sum()) != len(raw) or b"".join(map(self.bytes[1].__getitem__, b)) != raw:
             return None
-        return [a, np.array(b, np.int64)]
+        return a, np.array(b, np.int64)
 
     def related(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, bytes]:
         """Packed links in order, the number of groups, and the groups as text.

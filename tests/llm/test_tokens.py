@@ -118,6 +118,19 @@ def test_alignment_by_hand(request, rows):
     check_alignment(request.getfixturevalue(rows).repartition(3))
 
 
+def test_long_texts_are_encoded_in_parts(docs, monkeypatch):
+    """The same ids wherever a text is cut; a place without a space before or after white space isn't one."""
+    pair = token_align.Pair(token_align.FIRST, token_align.SECOND)
+    texts = [*filter(None, ODD), *(r["text"] for r in docs.limit(60).collect() if r["text"]), "ends in a space ", "a\u3000 b  c \n d\t e", "x" * 90 + " y"]
+    whole = [pair.encode(t) for t in texts]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(token_align, "SEGMENT", size)
+        for t, want in zip(texts, whole, strict=True):
+            got = pair.encode(t)
+            assert (got is None) == (want is None) and (got is None or all(np.array_equal(x, y) for x, y in zip(got, want, strict=True)))
+    assert pair.cuts and max(len(list(pair._parts(t))) for t in texts) > 5
+
+
 def test_partial_counts_in_runs(spark, docs, monkeypatch):
     """Counts are the same when a task sums few keys at a time, and shards many."""
     few = docs.limit(40).repartition(4)
