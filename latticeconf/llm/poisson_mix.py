@@ -94,7 +94,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     table = rates(docs, weights, epochs, temperature, absent).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
     table = table.select(F.col("source").alias("__mix_source"), F.col("parts").alias("__mix_parts"), _cumulative(F.col("rate") / F.col("parts")).alias("__mix_cdf"))
     table = written(table, "mix-rates")
-    own = docs.drop("copy_no", "shuffle_key").withColumn("__mix_name", name_of(docs))
+    # numbered where rows still have their input's order, which a join by shuffling doesn't keep: a repeated task deals alike
+    own = docs.drop("copy_no", "shuffle_key").withColumns({"__mix_name": name_of(docs), "__mix_spread": F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))})
     if table.limit(broadcast_sources + 1).count() <= broadcast_sources:
         drawn = own.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__mix_source")))
     else:
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     copies = F.when(F.col("__mix_parts") == 1, one(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("__mix_parts")), F.lit(0), lambda a, part: a + one(part)))
     repeated = drawn.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
     digest = F.md5(F.concat_ws("|", F.col("__mix_name"), F.lit(f"{seed}-order"), F.col("copy_no").cast("string")))
-    keyed = repeated.withColumn("shuffle_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("__mix_spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    keyed = repeated.withColumn("shuffle_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     return keyed.repartition("shuffle_key", "__mix_spread").sortWithinPartitions("shuffle_key").drop("__mix_source", "__mix_parts", "__mix_cdf", "__mix_copies", "__mix_name", "__mix_spread")
 
 

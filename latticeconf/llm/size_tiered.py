@@ -29,6 +29,8 @@ import math
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,16 @@ class ShardedTable:
         """Adds rows as new small shards; returns the committed version."""
         base = self.version()
         new = self._written(rows, f"a{base + 1:08d}-{uuid.uuid4().hex[:8]}", base + 1)
-        while not (v := self._commit(self.manifest(base).unionByName(new), base)):
+        while True:
+            try:
+                shards = written(self.manifest(base).unionByName(new), "shards-next")
+            except (Py4JJavaError, PySparkException):
+                if self.version() == base:
+                    raise
+                shards = None  # expired meanwhile, so that there is a later version to go on from
+            if shards is not None and (v := self._commit(shards, base)):
+                return v
             base = self.version()
-        return v
 
     def plan(self, shards: DataFrame) -> DataFrame:
         """(shard, lane, grp, k, b) for the shards that are to be merged now: their group, its shards and bytes.

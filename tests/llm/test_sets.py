@@ -365,6 +365,13 @@ def test_salted_join_gives_the_same(spark, docs, edge, nothing):
     assert {r[0] for r in out.select("doc_id").collect()} <= {r[0] for r in edge.select("doc_id").collect()}
 
 
+def test_rows_are_dealt_before_joins(spark, docs):
+    """Above the join by shuffling nothing hangs on the order of rows, which a repeated task needn't keep."""
+    plan = poisson_mix.mix(docs, broadcast_sources=0)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "monotonically_increasing_id" not in above and "monotonically_increasing_id" in below
+
+
 def test_order_is_a_shuffle(spark, docs):
     mixed = poisson_mix.mix(docs, epochs=3.0)
     ids = [r["doc_id"] for r in mixed.orderBy("shuffle_key").collect()]
@@ -477,6 +484,25 @@ def test_expired_versions_leave_the_last_one_whole(spark, docs, tmp_path):
     assert files == live and t.read(docs.schema).count() == docs.count() + 12
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_a_version_expired_during_an_append(spark, docs, tmp_path, monkeypatch, late):
+    """The append goes on from the version that took its place, whether the note or the manifest is gone."""
+    a, b = (size_tiered.ShardedTable(spark, f"{tmp_path}/t", arrival_rows=5) for _ in "ab")
+    a.append(docs.limit(20))
+    real = size_tiered.ShardedTable.manifest
+
+    def overtaken(self, version=None):
+        monkeypatch.setattr(size_tiered.ShardedTable, "manifest", real)
+        before = real(self, version) if late else None
+        b.append(docs.limit(3))
+        b.expire()
+        return before if late else real(self, version)
+
+    monkeypatch.setattr(size_tiered.ShardedTable, "manifest", overtaken)
+    assert a.append(docs.limit(7)) == 3
+    assert a.read(docs.schema).count() == 30 and a.versions() == [2, 3]
+
+
 def test_merge_plan_against_a_plain_one(spark, tmp_path):
     """Groups of a tier in order of age, cut at the target, merged from FAN_IN shards or a full target on."""
     rng = random.Random(5)
