@@ -93,6 +93,19 @@ def tolerance(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength:
     return share.join(shift, keys, "left").select(*keys, (F.round(F.coalesce("shift", F.lit(0.0)), DIGITS) + 0.0).alias("tolerance"))
 
 
+def scored(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = 0.0, score: Callable[[Column, Column, Column], Column] = clipped_score, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their score, calibration rows of unknown keys left out; the tolerance is added to calibration scores."""
+    keys = list(keys)
+    c, t = F.col("null_number"), F.col("yhat")
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    cal = calib.where(known).withColumn("score", score(F.col("y"), t, c))
+    out = test.withColumn("score", score(c, t, c))
+    if isinstance(strength, str) or strength:
+        tol = tolerance(cal.withColumn("is_null", F.col("y") <= c), test.where(known), keys, strength, ranges)
+        cal = cal.join(tol, keys).withColumn("score", F.col("score") + F.col("tolerance")).drop("tolerance")
+    return cal, out
+
+
 def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: str | float = 0.0, score: Callable[[Column, Column, Column], Column] = clipped_score, ranges: int | None = None) -> DataFrame:
     """Test rows with p, p_adj and confidence. ranges: None takes as many as the counted scores ask for.
 
@@ -100,14 +113,13 @@ def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: s
     else is to be kept. Rows whose cluster key is NULL keep p = 1. A key without
     calibration rows has p = 1 as well.
     """
+    return ranked(*scored(calib, test, keys, strength, score, ranges), keys, ranges)
+
+
+def ranked(cal: DataFrame, out: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """out with p, p_adj and confidence, its score dropped; cal, out: as scored() gives them."""
     keys = list(keys)
-    c, t = F.col("null_number"), F.col("yhat")
     known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-    cal = calib.where(known).withColumn("score", score(F.col("y"), t, c))
-    out = test.withColumn("score", score(c, t, c))
-    if isinstance(strength, str) or strength:
-        tol = tolerance(cal.withColumn("is_null", F.col("y") <= c), test.where(known), keys, strength, ranges)
-        cal = cal.join(tol, keys).withColumn("score", F.col("score") + F.col("tolerance")).drop("tolerance")
     scores = distinct_scores(cal, out.where(known), keys)
     if ranges is None:
         scores = written(scores, "conformal-scores")
@@ -116,3 +128,19 @@ def adjusted(calib: DataFrame, test: DataFrame, keys: Sequence[str], strength: s
     joined = out.join(p, [*keys, "score"], "left").drop("score")
     filled = joined.withColumns({"p": F.coalesce("p", F.lit(1.0)), "p_adj": F.coalesce("p_adj", F.lit(1.0))})
     return filled.withColumn("confidence", confidence(F.col("p_adj")))
+
+
+def ranked_in_place(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Test rows with p, p_adj and confidence, by windows over rows of both sides (is_calib).
+
+    Every window is over the keys or finer, so rows that are stored by the keys stay
+    where they are. For keys whose rows one task can sort.
+    """
+    keys = list(keys)
+    whole, up = Window.partitionBy(*keys), _over(keys, F.col("score"))
+    c = F.col("is_calib").cast("long")
+    smaller = F.sum(c).over(up) - F.sum(c).over(Window.partitionBy(*keys, "score"))
+    p = rows.withColumn("p", (smaller + 1) / (F.sum(c).over(whole) + 1)).where("NOT is_calib")
+    raw = p.withColumn("_raw", F.count(F.lit(1)).over(whole) * F.col("p") / F.count(F.lit(1)).over(_over(keys, F.col("p"))))
+    out = raw.withColumn("p_adj", F.least(F.lit(1.0), F.min("_raw").over(_over(keys, F.col("p"), down=True))))
+    return out.drop("_raw", "score", "is_calib").withColumn("confidence", confidence(F.col("p_adj")))

@@ -1,8 +1,9 @@
 """Predictors and cross-fitting.
 
-Two predictors are fitted from sums that folds take their share out of, at any
-size: the mean by category (crossfit_mean, also plain SQL) and ridge regression of
-several targets (crossfit_ridge). Any other is a function fit_predict(train, test)
+Three predictors are fitted from sums that folds take their share out of, at any
+size: the mean by category (crossfit_mean, also plain SQL), ridge regression of
+several targets (crossfit_ridge), and scores of classes with a fitted temperature
+(ClassScores). Any other is a function fit_predict(train, test)
 -> values on pandas frames, applied by fold in applyInPandas to a bounded sample
 (crossfit); given is a small multilayer perceptron with an asymmetric loss in NumPy.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .folds import assign, in_fold, training_rows
+from .shared import written
 
 EPOCHS, RATE, UNDER, HIDDEN = 20, 1e-3, 2.0, (128, 64, 128)
 #: Cells that the models of crossfit() are fitted on, at most.
@@ -70,6 +73,64 @@ class CategoryMeans:
         return crossfit_mean(known, folds, self.category, self.y), lambda cells: cells.join(model, self.category, "left")
 
 
+@dataclass(frozen=True)
+class ClassScores:
+    """Shares of classes, for targets that are sets of them: `unit` times the probability of a target's members.
+
+    Each class has a linear score, fitted by least squares to its indicator from sums
+    that folds take their share out of. Softmax turns a cell's scores into probabilities
+    at the temperature of least cross-entropy on cross-fitted cells, whose own fold no
+    score has seen; the model of all known cells, used elsewhere, has that temperature too.
+    label: a cell's class, one of `classes`; other labels count for no class.
+    """
+
+    features: tuple[str, ...]
+    classes: tuple[str, ...]
+    members: dict[str, tuple[str, ...]]
+    label: str = "label"
+    unit: float = 1.0
+    penalty: float = 1.0
+    reads_twice: bool = True
+
+    def fit(self, known: DataFrame, folds: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        place = F.array_position(F.array(*map(F.lit, self.classes)), F.col(self.label)) - 1
+        once = known.where(F.col("target") == next(iter(self.members)))  # rows are cells by target
+        indicators = {f"_is_{i}": (F.coalesce(F.col(self.label), F.lit("")) == c).cast("double") for i, c in enumerate(self.classes)}
+        models = linear.ridge_models(once.withColumns(indicators), folds, self.features, list(indicators), self.penalty)
+        held, full = (t.withColumnRenamed("model", "_model") for t in linear.model_table(known, models, folds, []))
+        scores = linear.linear_values(F.col("_model"), self.features)
+        apart = assign(once, folds).join(F.broadcast(held), ["roi_idx", "fold_id"]).select(scores.alias("scores"), place.alias("place")).where("place >= 0")
+        heat = temperature(written(apart, "class-scores"), "scores", "place")
+        flags = F.create_map(*(x for t, m in self.members.items() for x in (F.lit(t), F.array(*(F.lit(float(c in m)) for c in self.classes)))))
+        odds = F.transform("_scores", lambda z: F.exp((z - F.array_max("_scores")) / heat))
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+        share = F.lit(self.unit) * total(F.zip_with(odds, flags[F.col("target")], lambda a, b: a * b)) / total(odds)
+        with_share = lambda df: df.withColumn("_scores", scores).withColumn("yhat", share).drop("_scores", "_model")
+        fitted = with_share(assign(known, folds).join(F.broadcast(held), ["roi_idx", "fold_id"]))
+        # one row, or none where nothing is known: an outer join keeps the cells
+        return fitted, lambda cells: with_share(cells.join(F.broadcast(full), F.lit(True), "left"))
+
+
+@dataclass(frozen=True)
+class ByKind:
+    """A predictor for each kind of target; kinds without one get NULL."""
+
+    predictors: dict[str, Predictor]
+    reads_twice: bool = True
+
+    def fit(self, known: DataFrame, folds: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        own = {k: p.fit(known.where(F.col("kind") == k), folds) for k, p in self.predictors.items()}
+        fitted = [f.select("roi_idx", "target", "grid_row", "grid_col", F.col("yhat").cast("double").alias("yhat")) for f, _ in own.values()]
+
+        def apply(cells: DataFrame) -> DataFrame:
+            columns = [c for c in cells.columns if c != "yhat"]
+            parts = [model(cells.where(F.col("kind") == k)).select(*columns, F.col("yhat").cast("double").alias("yhat")) for k, (_, model) in own.items()]
+            rest = cells.where(~F.coalesce(F.col("kind").isin(*own), F.lit(False))).select(*columns, F.lit(None).cast("double").alias("yhat"))
+            return reduce(DataFrame.unionByName, parts, rest)
+
+        return reduce(DataFrame.unionByName, fitted), apply
+
+
 def crossfit_ridge(cells: DataFrame, folds: DataFrame, features: Sequence[str], targets: Sequence[str], penalty: float = 1.0) -> tuple[DataFrame, list[list[float]]]:
     """Centre cells with yhat (array, by target) of ridge regressions that leave their fold out; and the full model's coefficients.
 

@@ -14,11 +14,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.conformal import adjusted
+from ..operators.conformal import adjusted, scored
 from ..operators.grid import RECT, checked_rects, extents, in_rects, roll_up, with_membership
 from ..operators.members import running_norm
 from ..operators.models import CategoryMeans, Predictor
 from ..operators.shared import written
+from ..sources.buckets import SideStore
 
 KEYS = ["target", "scale", "cluster"]
 AT = ["grid_row", "grid_col"]
@@ -47,7 +48,7 @@ def _with_strata(windows: DataFrame, strata: DataFrame | None, keys: Sequence[st
     return windows.drop("cluster").join(table.select(*on, "cluster"), on, "left")
 
 
-def confidence(cells: DataFrame, rects: Sequence[tuple], folds: DataFrame, scales: Sequence[int], strength: str | float = "medium", ranges: int | None = None, strata: DataFrame | None = None, predictor: Predictor | None = None, everywhere: bool = False) -> DataFrame:
+def confidence(cells: DataFrame, rects: Sequence[tuple], folds: DataFrame, scales: Sequence[int], strength: str | float = "medium", ranges: int | None = None, strata: DataFrame | None = None, predictor: Predictor | None = None, everywhere: bool = False, store: str | None = None) -> DataFrame:
     """(target, scale, grid_row, grid_col, cluster, y, null_number, p, p_adj, confidence) of windows that reach outside the ROIs.
 
     cells: grid_row, grid_col, tissue, cluster, and by target: target, kind,
@@ -55,6 +56,8 @@ def confidence(cells: DataFrame, rects: Sequence[tuple], folds: DataFrame, scale
     knows category). strata: (roi_idx, scale, grid_row, grid_col, cluster), of the
     slide where roi_idx is NULL, else of an ROI from its own corner. everywhere:
     also windows off the test mask (without tissue or within ROIs), with p = 1.
+    store: a name for both sides stored in buckets ("" for one of its own), which
+    other choices of targets can be ranked from later (sources.buckets.SideStore).
     """
     predictor = predictor or CategoryMeans("category", "y")
     in_roi = in_rects(cells, rects)
@@ -77,7 +80,10 @@ def confidence(cells: DataFrame, rects: Sequence[tuple], folds: DataFrame, scale
     windows = written(test, "confidence-slide") if everywhere else test
     # both are read several times: for shares, quantiles and ranks
     sides = written(divided(calib, norm, ["target", "scale", "roi_idx"]), "confidence-calib"), written(divided(_with_strata(windows.where(on_mask), strata, []), last, ["target", "scale"]), "confidence-test")
-    out = adjusted(*sides, KEYS, strength, ranges=ranges).select(*SHOWN)
+    if store is None:
+        out = adjusted(*sides, KEYS, strength, ranges=ranges).select(*SHOWN)
+    else:
+        out = SideStore.save(*scored(*sides, KEYS, strength, ranges=ranges), store).ranks(ranges=ranges).select(*SHOWN)
     if not everywhere:
         return out
     off = divided(_with_strata(windows.where(~on_mask), strata, []), last, ["target", "scale"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import LEVELS, clipped_score, confidence
-from ..operators import audit, conformal, folds, grid, linear
+from ..operators import audit, conformal, folds, grid, linear, models
 from ..operators.quantiles import quantiles
 from ..operators.shared import shared_path, written
 from ..sources.tables import ROI_SQL, ROIS, SPX_SQL, as_cells, cells
@@ -115,13 +115,13 @@ MEMBERS = {"click": ("click",), "click or purchase": ("click", "purchase")}
 SCALES = (1, 2, 4)
 
 
-def target_cells(spark, sf_dir):
-    """Cells by target: expression in cents, and types as millionths."""
+def target_cells(spark, sf_dir, also=()):
+    """Cells by target, with the columns in also: expression in cents, and types as millionths."""
     c = cells(spark, sf_dir).select("event_id", "grid_row", "grid_col", "tissue", "cluster", "ct", "y")
     known = (F.col("event_id") % 13).cast("string")
     one = lambda t, kind, null, category, y: F.struct(F.lit(t).alias("target"), F.lit(kind).alias("kind"), F.lit(null).alias("null_number"), F.concat_ws(":", F.lit(t), category).alias("category"), y.alias("y"))
     rows = [one("value", "expression", 0.05, F.col("ct"), F.col("y")), *(one(t, "type", 0.0, known, F.col("ct").isin(*m).cast("long") * 1_000_000) for t, m in MEMBERS.items())]
-    return c.withColumn("t", F.explode(F.array(*rows))).select("grid_row", "grid_col", "tissue", "cluster", "t.*")
+    return c.withColumn("t", F.explode(F.array(*rows))).select("grid_row", "grid_col", "tissue", "cluster", *also, "t.*")
 
 
 _CELLS = f"""{SPX_SQL}, {ROI_SQL}, {FOLD_SQL},
@@ -207,6 +207,61 @@ def confidence_learned(spark, sf_dir):
     return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
 
 
+CLASSES = ("click", "error", "purchase", "signup", "view")
+_HEAT_ROUNDS, _HEAT_STEPS = 4, 24
+
+
+def _heat_sql() -> str:
+    """The search for the temperature: tables h0 .. with the ends of each round's grid."""
+    out = ["h0 AS (SELECT ln(0.05) AS lo, ln(20.0) AS hi, NULL::DOUBLE AS best)"]
+    for r in range(1, _HEAT_ROUNDS + 1):
+        out.append(f"g{r} AS (SELECT i, lo + (hi - lo) * i / {_HEAT_STEPS - 1} AS g FROM h{r - 1}, range({_HEAT_STEPS}) u(i))")
+        out.append(f"l{r} AS (SELECT i, g, avg(ln(list_sum(list_transform(zs, lambda z: exp((z - top) / exp(g))))) - (own - top) / exp(g)) AS loss FROM zt CROSS JOIN g{r} GROUP BY ALL)")
+        out.append(f"h{r} AS (SELECT (SELECT g FROM l{r} WHERE i = greatest(0, m - 1)) AS lo, (SELECT g FROM l{r} WHERE i = least({_HEAT_STEPS - 1}, m + 1)) AS hi, (SELECT g FROM l{r} WHERE i = m) AS best FROM (SELECT arg_min(i, loss) AS m FROM l{r}))")
+    return ",\n".join([*out, f"heat AS (SELECT coalesce(exp(best), 1) AS t FROM h{_HEAT_ROUNDS})"])
+
+
+_SHARES = ", ".join(f"floor(1000000 * sum(exp((z - top) / t)) FILTER (WHERE cls IN ({', '.join(map(repr, m))})) / sum(exp((z - top) / t))) AS \"{t}\"" for t, m in MEMBERS.items())
+_UNPIVOT = "UNPIVOT {0} ON " + ", ".join(f'"{t}"' for t in MEMBERS) + " INTO NAME target VALUE yhat"
+#: Scores of classes by a regression on one feature, as shares of the targets: shr in the ROIs, shf by x elsewhere.
+_CLASS_SQL = f"""cls AS (SELECT unnest([{', '.join(map(repr, CLASSES))}]) AS cls),
+kc AS (SELECT s.*, s.grid_col % 10 AS x, roi_idx FROM spx s JOIN roi ON grid_row >= row0 AND grid_row < row0 + height AND grid_col >= col0 AND grid_col < col0 + width WHERE tissue),
+cm AS (SELECT f.roi_idx, f.fold_id, cls, regr_slope((ct = cls)::INTEGER, x) AS b, regr_intercept((ct = cls)::INTEGER, x) AS a FROM fold f JOIN kc s ON s.roi_idx <> f.roi_idx OR NOT ({within('f')}) CROSS JOIN cls GROUP BY ALL),
+zr AS (SELECT s.roi_idx, s.grid_row, s.grid_col, m.cls, a + b * x AS z, ct = m.cls AS is_own, max(a + b * x) OVER (PARTITION BY s.roi_idx, s.grid_row, s.grid_col) AS top FROM kc s JOIN fold f ON s.roi_idx = f.roi_idx AND {within('c')} JOIN cm m ON m.roi_idx = f.roi_idx AND m.fold_id = f.fold_id),
+zt AS (SELECT list(z) AS zs, max(top) AS top, max(z) FILTER (WHERE is_own) AS own FROM zr GROUP BY roi_idx, grid_row, grid_col),
+{_heat_sql()},
+sr AS (SELECT roi_idx, grid_row, grid_col, {_SHARES} FROM zr, heat GROUP BY ALL), shr AS ({_UNPIVOT.format('sr')}),
+zf AS (SELECT x, cls, a + b * x AS z, max(a + b * x) OVER (PARTITION BY x) AS top FROM (SELECT cls, regr_slope((ct = cls)::INTEGER, x) AS b, regr_intercept((ct = cls)::INTEGER, x) AS a FROM kc CROSS JOIN cls GROUP BY 1), range(10) u(x)),
+sf AS (SELECT x, {_SHARES} FROM zf, heat GROUP BY ALL), shf AS ({_UNPIVOT.format('sf')})"""
+#: As END_TO_END, with shares of classes for types.
+CLASSED = (
+    END_TO_END.replace("JOIN model m ON m.roi_idx = f.roi_idx AND m.fold_id = f.fold_id AND m.category = s.category),", f"JOIN model m ON m.roi_idx = f.roi_idx AND m.fold_id = f.fold_id AND m.category = s.category WHERE s.kind = 'expression' UNION ALL SELECT roi_idx, target, grid_row, grid_col, yhat FROM shr),")
+    .replace("fitted AS (", f"{_CLASS_SQL},\nfitted AS (")
+    .replace("coalesce(m.yhat, 0) AS yhat, scale", "coalesce(CASE WHEN kind = 'type' THEN shf.yhat ELSE m.yhat END, 0) AS yhat, scale")
+    .replace("LEFT JOIN full_model m USING (category), ext", "LEFT JOIN full_model m USING (category) LEFT JOIN shf ON shf.target = s.target AND shf.x = s.grid_col % 10, ext")
+)
+
+
+def class_predictor():
+    shares = models.ClassScores(("x",), CLASSES, MEMBERS, "ct", 1e6, 0.0)
+    return models.ByKind({"expression": models.CategoryMeans("category", "y"), "type": shares})
+
+
+@query(CLASSED)
+def confidence_classes(spark, sf_dir):
+    """Confidence of means for expression and of class probabilities, with a fitted temperature, for types."""
+    c = target_cells(spark, sf_dir, ["ct"]).withColumn("x", F.col("grid_col") % 10)
+    out = inference.confidence(c, ROIS, folds.fold_table(spark, FOLDS), SCALES, predictor=class_predictor())
+    return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
+
+
+@query(END_TO_END)
+def confidence_stored(spark, sf_dir):
+    """The same with both sides stored in buckets by (target, scale, cluster), and ranked bucket by bucket."""
+    out = inference.confidence(target_cells(spark, sf_dir), ROIS, folds.fold_table(spark, FOLDS), SCALES, store="")
+    return out.select("target", "scale", "grid_row", "grid_col", "cluster", F.round("p_adj", 9).alias("p_adj"), F.round(confidence(F.col("p_adj")), 6).alias("confidence"))
+
+
 @query(f"WITH {TOLERANCE} SELECT cluster, round(tolerance, 6) AS tolerance FROM tol")
 def batch_tolerance_by_ranges(spark, sf_dir):
     """The same with every stratum's values dealt to 8 ranges, as for strata too large for a task."""

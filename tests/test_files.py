@@ -84,16 +84,21 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
     assert {r["i"]: r["p"] for r in spark.table("scored").collect()} == pytest.approx(batch)
 
 
-def test_large_keys_are_ranked_exactly(spark):
-    """More scores than MOST_SCORES, with ties, infinite scores alone, and a small key."""
+@pytest.mark.parametrize("most_scores", [scoring.MOST_SCORES, 3])
+def test_large_keys_are_ranked_exactly(spark, most_scores):
+    """More scores than MOST_SCORES, or than parts hold, with ties, infinite scores alone, a small key and NULL predictions."""
     rng = np.random.default_rng(5)
-    few = scoring.MOST_SCORES + 2000
+    few = 3 * scoring.MOST_SCORES
     k = np.concatenate([np.zeros(few, int), np.ones(40, int), np.full(few, 2)])
     y = np.where(k == 2, 1, rng.random(len(k)) < 0.4).astype(float)
     h = np.where(rng.random(len(k)) < 0.2, 0.25, rng.normal(0, 1, len(k)))
     cal = spark.createDataFrame([(int(a), float(b), float(c), 0.0) for a, b, c in zip(k, y, h, strict=True)], "k int, y double, yhat double, null_number double")
     tes = spark.createDataFrame([(i, i % 4, 0.25 if i % 50 < 4 else float(x), 0.0) for i, x in enumerate(rng.normal(0, 1.5, 400))], "i int, k int, yhat double, null_number double")
-    got = {r["i"]: r["p"] for r in scoring.score_stream(tes, scoring.calibration_table(cal, ["k"]), ["k"]).collect()}
+    table = scoring.calibration_table(cal, ["k"], most_scores)
+    assert table.agg(F.max(F.size("scores"))).first()[0] <= (150 if most_scores > 3 else 20) and table.where("k = 0").count() > (400 if most_scores > 3 else 800)
+    nothing = scoring.score_stream(tes.limit(4).withColumn("yhat", F.lit(None).cast("double")), table, ["k"])
+    assert {r["p"] for r in nothing.collect()} == {1.0}
+    got = {r["i"]: r["p"] for r in scoring.score_stream(tes, table, ["k"]).collect()}
     lists = {a: np.sort(-h[(k == a) & (y <= 0)]) for a in range(3)}
     want = {r["i"]: 1.0 if r["k"] == 3 else (np.searchsorted(lists[r["k"]], -r["yhat"]) + 1) / ((k == r["k"]).sum() + 1) for r in tes.collect()}
     assert got == pytest.approx(want, abs=1e-12)
