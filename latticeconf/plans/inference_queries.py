@@ -52,8 +52,8 @@ def _sides(spark, sf_dir):
 @query(f"WITH {BASE} SELECT event_id, score FROM s")
 def nonconformity(spark, sf_dir):
     b = base(spark, sf_dir)
-    score = F.when(F.col("calib"), clipped_score(F.col("y"), F.col("yhat"), F.col("null_number"))).otherwise(-F.col("yhat"))
-    return b.select("event_id", score.cast("double").alias("score"))
+    yhat = F.col("yhat").cast("double")  # before the sign, which whole numbers lack at zero
+    return b.select("event_id", F.when(F.col("calib"), clipped_score(F.col("y"), yhat, F.col("null_number"))).otherwise(-yhat).alias("score"))
 
 
 @query(f"WITH {RANKED} SELECT event_id, p FROM p")
