@@ -42,6 +42,11 @@ def standardised(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, (F.least(F.greatest(x, lo), hi) - lo) / (hi - lo)).otherwise(F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits, halves away from zero; what rounds to zero keeps its sign, as in SQL on floating-point numbers."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def heat_colour(confidence: Column) -> Column:
     """Black-red-yellow-white ramp as an RGB struct, for confidence maps."""
     ramp = lambda a, b: F.round(255 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (confidence - a) / (b - a)))).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.scores import rounded
 from ..operators import blocks, embedding, grid, models, strata, tissue
 from ..operators.shared import shared_path
 from ..sources import part_source, results
@@ -263,7 +264,7 @@ def parts_round_trip(spark, sf_dir):
     part_source.write_parts(e, path, "vec_id", "embedding", 128)
     mask = grid.to_grid(e.where("label <> 3"), "vec_id", 20).select("grid_row", "grid_col")
     got = part_source.read_parts(spark, path, 20, rows_per_range=50, halves="local").join(mask, ["grid_row", "grid_col"], "left_semi")
-    return got.select("grid_row", "grid_col", F.transform("emb_local", lambda x: F.round(x.cast("double"), 4)).alias("emb"))
+    return got.select("grid_row", "grid_col", F.transform("emb_local", lambda x: rounded(x.cast("double"), 4)).alias("emb"))
 
 
 @query("WITH l AS (SELECT UNNEST([1, 2]) AS scale) SELECT scale, count(DISTINCT (vec_id // 20 // scale, vec_id % 20 // scale)) AS windows, true AS in_range, true AS nearest, true AS tighter FROM embeddings, l GROUP BY 1")
