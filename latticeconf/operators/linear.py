@@ -167,5 +167,6 @@ class Linear:
             models = expectile_models(known, folds, self.features, self.y, self.under, self.penalty, self.by)
         held, full = model_table(known, models, folds, self.by)
         value = F.get(linear_values(F.col("model"), self.features), F.lit(0)).alias("yhat")
-        fitted = assign(known, folds).join(held, [*self.by, "roi_idx", "fold_id"]).select("*", value).drop("model")
-        return fitted, lambda cells: cells.join(full, list(self.by), "left").select(*cells.columns, value)
+        # models are few and stood on the driver; joined by a shuffle, all rows of a target would meet in one task
+        fitted = assign(known, folds).join(F.broadcast(held), [*self.by, "roi_idx", "fold_id"]).select("*", value).drop("model")
+        return fitted, lambda cells: cells.join(F.broadcast(full), list(self.by), "left").select(*cells.columns, value)
