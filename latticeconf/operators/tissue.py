@@ -191,7 +191,9 @@ def connected_components(cells: DataFrame) -> DataFrame:
 
     Runs of a row are found by a window first, so that the graph has a vertex for
     each run; labels then spread along touching runs, with a jump to the label's
-    own label, until nothing changes. Each round is written out.
+    own label, until nothing changes. Each round is written out. Joins are by shuffle:
+    both sides grow with the cells, and broadcasts would send labels through the
+    driver in every round. Where one label may have most rows, these aren't sorted.
     """
     at = cells.select("grid_row", "grid_col").distinct()
     w = Window.partitionBy("grid_row").orderBy("grid_col")
@@ -200,25 +202,26 @@ def connected_components(cells: DataFrame) -> DataFrame:
     code = lambda r, c: F.col(r) * (1 << 31) + F.col(c)
     own = runs.select("grid_row", "grid_col", code("grid_row", "start").alias("v"))
     around = own.select((F.col("grid_row") + 1).alias("grid_row"), F.explode(F.array(F.col("grid_col") - 1, F.col("grid_col"), F.col("grid_col") + 1)).alias("grid_col"), F.col("v").alias("u"))
-    touch = own.join(around, ["grid_row", "grid_col"]).select("v", "u").distinct()
+    touch = own.join(around.hint("merge"), ["grid_row", "grid_col"]).select("v", "u").distinct()
     edges = written(touch.unionByName(touch.select(F.col("u").alias("v"), F.col("v").alias("u"))), "run-edges")
     labels = written(own.select("v", F.col("v").alias("label")).distinct(), "run-labels")
     while True:
-        heard = edges.join(labels, "v").groupBy(F.col("u").alias("v")).agg(F.min("label").alias("heard"))
-        one = labels.join(heard, "v", "left").select("v", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("one"))
+        heard = edges.join(labels.hint("merge"), "v").groupBy(F.col("u").alias("v")).agg(F.min("label").alias("heard"))
+        one = labels.join(heard.hint("merge"), "v", "left").select("v", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("one"))
         two = labels.select(F.col("v").alias("one"), F.col("label").alias("two"))
-        new = written(one.join(two, "one").select("v", "was", F.least("one", "two").alias("label")), "run-labels")
+        new = written(one.join(two.hint("shuffle_hash"), "one").select("v", "was", F.least("one", "two").alias("label")), "run-labels")
         if not new.where("was <> label").take(1):
             break
         labels = new.select("v", "label")
-    return cells.join(own.join(labels, "v").select("grid_row", "grid_col", F.col("label").alias("component")), ["grid_row", "grid_col"])
+    labelled = own.join(labels.hint("merge"), "v").select("grid_row", "grid_col", F.col("label").alias("component"))
+    return cells.join(labelled.hint("merge"), ["grid_row", "grid_col"])
 
 
 def without_small(cells: DataFrame, least: int = MIN_SIZE) -> DataFrame:
     """Cells of components of at least the given number of cells."""
     found = written(connected_components(cells), "components")
     big = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("component")
-    return found.join(big, "component", "left_semi")
+    return found.join(big.hint("shuffle_hash"), "component", "left_semi")
 
 
 def tissue_mask(tiles: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:

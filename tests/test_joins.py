@@ -1,12 +1,27 @@
 """What grows with the input is joined by shuffle, and what is few is broadcast."""
 
-from latticeconf.operators import folds, linear
+from latticeconf.operators import folds, linear, tissue
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_components_send_nothing_through_the_driver(spark, monkeypatch):
+    plans, keep = [], tissue.written
+
+    def watched(df, purpose):
+        plans.append(plan(df))
+        return keep(df, purpose)
+
+    monkeypatch.setattr(tissue, "written", watched)
+    cells = spark.createDataFrame([(r, c) for r in range(6) for c in range(0, 12, 2 if r % 2 else 1)] + [(20, 5)], "grid_row long, grid_col long")
+    got = tissue.without_small(keep(cells, "cells"), 2)
+    plans.append(plan(got))
+    assert got.count() == cells.count() - 1
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_linear_models_are_broadcast(spark):
     """Else all rows of a target are dealt to one task."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
