@@ -291,6 +291,39 @@ def test_recall_under_a_passage_in_all_texts(spark):
     assert recall(spark, {i: " ".join(x) for i, x in enumerate(texts)}) >= 0.98
 
 
+def band_groups(texts):
+    """The least id of each text's group by all pairs that share a band at a similarity of 0.8."""
+    keys, near = {}, near_pairs(texts)
+    for i, x in texts.items():
+        keys[i] = set(enumerate(near_copies.bands(near_copies.shingles(x.encode()))))
+    got = {}
+    for root in sorted(texts):
+        todo = [root] * (root not in got)
+        while todo:
+            if (i := todo.pop()) not in got:
+                got[i] = root
+                todo += [j for j in near[i] if keys[i] & keys[j]]
+    return got
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Chains of copies whose links mostly miss the leaders of their keys, in many keys beside a passage."""
+    monkeypatch.setattr(near_copies, "FEW", 2)
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    rng = random.Random(8)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for c in range(12):
+        chain = [passage + [f"c{c}-{i}" for i in range(60)]]
+        for k in range(10):
+            chain.append(changed(rng, chain[-1], 2, f"x{c}-{k}"))
+        texts += chain
+    rng.shuffle(texts)
+    texts = {i: " ".join(x) for i, x in enumerate(texts)}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = band_groups(texts)
+    assert len(set(want.values())) < 40 and sum(got[i] != want[i] for i in texts) == 0
+
+
 def test_pipeline_drops_copies_at_similarity(spark, docs):
     """No kept pair at a five-word Jaccard of 0.8, none dropped without a chain of such links; keys of more sets than are expanded."""
     import corpus_pipeline
