@@ -199,7 +199,7 @@ def linked_pairs(distinct: DataFrame, tau: int = TAU, heavy: int = HEAVY, plan=N
     while True:
         members = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         crowded = written(members, "gph-keys")
-        masks = [r["mask"] for r in crowded.where(F.col("n") > heavy).select("mask").distinct().collect()]  # one for each partition and refinement
+        masks = sorted(crowded.where(F.col("n") > heavy).agg(F.collect_set("mask")).first()[0])  # one for each partition and refinement
         if not masks:
             return _within(keyed, tau, pairs).distinct()
         hot = crowded.where(F.col("n") > heavy).select("mask", "key")
@@ -233,23 +233,26 @@ def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
 
     root is the smallest low reachable. A label is (low, fingerprint): rows of one
     doc_id with different texts share a low but not a label, so they don't join
-    groups. Each round every fingerprint takes the least label among its
-    neighbours and then its label's label; rounds are written to the shared folder
-    and stop when no label changes.
+    groups. Each round every fingerprint takes the least label among its own, its
+    neighbours' and that of the fingerprint which its label names; and the one that
+    its label before named is told its label, so that whole groups join: rounds
+    grow with the logarithm of a chain's length. A round is one join and one
+    partial aggregation, written to the shared folder; they stop when no label changes.
     """
     edges = written(pairs.select(F.col("a").alias("fp"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("to"))), "gph-edges")
     touched = edges.select("fp").distinct()
     own = F.struct(F.coalesce("low", F.lit(_NO_ID)).alias("low"), F.col("fp").alias("leader"))
-    labels = written(ids.join(touched, "fp", "left_semi").select("fp", own.alias("root")), "gph-labels")
+    labels = written(ids.join(touched, "fp", "left_semi").select("fp", own.alias("root"), own.alias("was")), "gph-labels")
     while True:
-        heard = edges.join(labels, "fp").groupBy(F.col("to").alias("fp")).agg(F.min("root").alias("heard"))
-        one = labels.join(heard, "fp").select("fp", F.col("root").alias("was"), F.least("root", "heard").alias("one"))
-        # what the label of the fingerprint that a label names has become
-        leaders = one.select(F.col("fp").alias("leader"), F.col("one").alias("two"))
-        new = written(one.withColumn("leader", F.col("one.leader")).join(leaders, "leader").select("fp", "was", F.least("one", "two").alias("root")), "gph-labels")
+        named = labels.select(F.col("root.leader").alias("fp"), F.col("fp").alias("to"))
+        left = labels.select("fp", F.col("was.leader").alias("to"))
+        ways = edges.unionByName(named.unionByName(left).where("fp <> to"))
+        told = ways.join(labels.select("fp", "root"), "fp").select(F.col("to").alias("fp"), "root")
+        kept = labels.select("fp", "root", F.col("root").alias("was"))
+        new = written(kept.unionByName(told, allowMissingColumns=True).groupBy("fp").agg(F.min("root").alias("root"), F.max("was").alias("was")), "gph-labels")
         if not new.where("was <> root").take(1):
             return new.select("fp", F.nullif(F.col("root.low"), F.lit(_NO_ID)).alias("root"))
-        labels = new.select("fp", "root")
+        labels = new
 
 
 def grouped(prints: DataFrame, tau: int = TAU, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame, DataFrame]:

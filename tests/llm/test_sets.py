@@ -163,6 +163,19 @@ def test_rows_of_one_id_keep_groups_apart(spark):
     assert rows(simhash_gph.components(pairs, ids), "fp", "root") == [(1, 5), (2, 5), (3, 3), (4, 3), (6, None), (7, None)]
 
 
+def test_rounds_of_a_chain_grow_with_its_logarithm(spark, monkeypatch):
+    """A chain of 300 whose ids are in no order, and a pair; each round is written once."""
+    rounds = []
+    monkeypatch.setattr(simhash_gph, "written", lambda df, purpose, f=simhash_gph.written: (rounds.append(purpose), f(df, purpose))[1])
+    low = list(range(300))
+    random.Random(2).shuffle(low)
+    pairs = spark.createDataFrame([*((i, i + 1) for i in range(299)), (400, 401)], "a long, b long")
+    ids = spark.createDataFrame([*enumerate(low), (400, 9), (401, None), (402, 1)], "fp long, low long")
+    got = rows(simhash_gph.components(pairs, ids), "fp", "root")
+    assert got == [*((i, 0) for i in range(300)), (400, 9), (401, 9)]
+    assert rounds.count("gph-labels") <= 20
+
+
 @pytest.mark.parametrize("plan", [None, [([*range(32)], 1), ([*range(32, 64)], 0)], [([*range(40)], 0), ([*range(40, 64)], 1)], [([*range(64)], 2)]])
 @pytest.mark.parametrize("heavy", [4, 10_000])
 def test_no_link_is_lost(spark, plan, heavy):
@@ -324,6 +337,24 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     assert len(set(want.values())) < 40 and sum(got[i] != want[i] for i in texts) == 0
 
 
+def test_driver_gets_no_rows_by_shingle(spark, monkeypatch):
+    """Sets of crowded keys that are joined by their rarest shingles: the driver takes the shingles' counters in columns."""
+    monkeypatch.setattr(near_copies, "FEW", 2)
+    rng = random.Random(8)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for c in range(12):
+        chain = [passage + [f"c{c}-{i}" for i in range(60)]]
+        for k in range(10):
+            chain.append(changed(rng, chain[-1], 2, f"x{c}-{k}"))
+        texts += chain
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    taken, frame, counted = [], type(df), []
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: (got := f(self), taken.append(len(got)))[0])
+    monkeypatch.setattr(near_copies, "prefixes", lambda *a, f=near_copies.prefixes: (counted.append(1), f(*a))[1])
+    near_copies.copies(df)
+    assert counted and max(taken, default=0) <= 64 * 64
+
+
 def test_pipeline_drops_copies_at_similarity(spark, docs):
     """No kept pair at a five-word Jaccard of 0.8, none dropped without a chain of such links; keys of more sets than are expanded."""
     import corpus_pipeline
